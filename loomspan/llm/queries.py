@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup
+from . import neardup, tokens
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -28,8 +28,30 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(_records(spark, d), 0.8, words=5, least=1).select(F.col("grp").alias("source_table"), "key", "class_id", "group_id", "n_links")
 
 
+def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of both corpora by source, language and task, with all subtotals."""
+    documents = table(spark, d, "documents").select(
+        F.lit("documents").alias("corpus"), F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("pos"), F.lit(None).cast("timestamp").alias("at"), tokens.source_label(F.col("source")).alias("source"), tokens.language_label(F.col("lang")).alias("language"), tokens.source_label(F.col("task")).alias("task"), "text"
+    )
+    samples = table(spark, d, "minilongbench_tiny").select("id", "task", "meta", F.col("prepared_at").alias("at"), F.posexplode("documents").alias("pos", "e"))
+    samples = samples.select(
+        F.lit("minilongbench_tiny").alias("corpus"), "id", "pos", "at", tokens.source_label(F.col("meta")["dataset"]).alias("source"), tokens.language_label(F.col("meta")["language"]).alias("language"), tokens.source_label(F.col("task")).alias("task"), F.col("e.text").alias("text")
+    )
+    plain = tokens.token_counts(documents).drop("id", "pos", "at")
+    # a repeated sample counts once, as last prepared; the counts move for that, not the texts
+    latest = tokens.token_counts(samples).groupBy("corpus", "id", "pos").agg(F.max_by(F.struct("source", "language", "task", "n_chars", "n_tokens"), F.coalesce("at", F.lit("1970-01-01").cast("timestamp"))).alias("r"))
+    return tokens.budget_cube(plain.unionByName(latest.select("corpus", "r.*")))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of each document by byte_bpe_50k."""
+    return tokens.encode(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p4_token_cube": p4_token_cube,
+    "p6_ids": p6_ids,
 }
 SQL: dict[str, str] = {}
