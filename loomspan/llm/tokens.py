@@ -33,13 +33,14 @@ def token_counts(texts: DataFrame, vocabulary: str = bpe.BYTE_BPE_50K, folder: s
     ship_package(texts.sparkSession)
     body = bpe.read_vocabulary(vocabulary, folder)
     kept = texts.drop("text")
+    names = [*kept.columns, "n_chars", "n_tokens"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.vocabulary(body)
         for batch in batches:
             values = batch.column(batch.num_columns - 1).to_pylist()
             columns = [*batch.columns[:-1], pa.array([len(t or "") for t in values], pa.int64()), pa.array([own.count(t) for t in values], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept.columns, "n_chars", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
     return texts.select(*kept.columns, "text").mapInArrow(run, f"{fields}, n_chars long, n_tokens long")
