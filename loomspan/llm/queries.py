@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, tokens
+from . import neardup, pairs, tokens
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +43,24 @@ def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
     return tokens.budget_cube(plain.unionByName(latest.select("corpus", "r.*")))
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    student = table(spark, d, "student_train").select(F.lit("student_train").alias("source_table"), "id", "question", F.col("output").alias("answer")).dropDuplicates(["id"])
+    latest = table(spark, d, "baseline_rag").groupBy("id").agg(F.max_by("pred", F.coalesce("appended_at", F.lit("1970-01-01").cast("timestamp"))).alias("answer"))
+    asked = table(spark, d, "minilongbench_tiny").groupBy("id").agg(F.max_by("question", F.coalesce("prepared_at", F.lit("1970-01-01").cast("timestamp"))).alias("question"))
+    rag = latest.join(asked, "id", "left").select(F.lit("baseline_rag").alias("source_table"), "id", "question", "answer")
+    return pairs.defects(student.unionByName(rag))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each defective answer with the first defect in the rules' order."""
+    return _answers(spark, d).where(F.size("defects") > 0).select("source_table", "id", F.col("defects")[0].alias("defect"))
+
+
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every triggered defect of every answer."""
+    return _answers(spark, d).select("source_table", "id", F.explode("defects").alias("defect"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of each document by byte_bpe_50k."""
     return tokens.encode(table(spark, d, "documents"))
@@ -52,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p4_token_cube": p4_token_cube,
+    "p5_found": p5_found,
+    "p5_defects": p5_defects,
     "p6_ids": p6_ids,
 }
 SQL: dict[str, str] = {}
