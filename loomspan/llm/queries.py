@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, pairs, tokens
+from . import leaks, neardup, pairs, pieces, tokens
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,24 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(_records(spark, d), 0.8, words=5, least=1).select(F.col("grp").alias("source_table"), "key", "class_id", "group_id", "n_links")
 
 
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    entry = table(spark, d, "minilongbench_tiny").select("id", F.explode("documents").alias("e"))
+    samples = entry.select(F.lit("minilongbench_tiny").alias("source_table"), F.col("id").alias("sample_id"), F.col("e.doc_id").alias("item_id"), F.lit(0).alias("base"), F.lit(None).cast("int").alias("size"), F.lit(1200).alias("limit"), F.col("e.text").alias("text"))
+    chunks = table(spark, d, "corpus_chunks").select(F.lit("corpus_chunks").alias("source_table"), "sample_id", F.col("chunk_id").alias("item_id"), F.coalesce("offset_start", F.lit(0)).alias("base"), (F.col("offset_end") - F.col("offset_start")).alias("size"), F.lit(512).alias("limit"), "text")
+    return pieces.pieces(samples.unionByName(chunks))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Oversized items and whether some piece had to be cut without a boundary."""
+    return _oversized(spark, d).select("source_table", "sample_id", "item_id", pieces.cut_kind(F.col("kinds")).alias("cut_kind")).distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The offsets of the pieces of each oversized item."""
+    once = _oversized(spark, d).dropDuplicates(["source_table", "sample_id", "item_id"])
+    return pieces.exploded(once).select("source_table", "sample_id", "item_id", "piece", (F.col("base") + F.col("piece_start")).alias("offset_start"), (F.col("base") + F.col("piece_end")).alias("offset_end"), "kind")
+
+
 def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of both corpora by source, language and task, with all subtotals."""
     documents = table(spark, d, "documents").select(
@@ -66,12 +84,27 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a run of an evaluation item's passage or question."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each item's passage and question each document holds, and in what order."""
+    measured = leaks.leaked(leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+    return measured.select("doc_id", "item_id", "part", "longest", "tiles", "covered", "coverage", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p4_token_cube": p4_token_cube,
     "p5_found": p5_found,
     "p5_defects": p5_defects,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 SQL: dict[str, str] = {}
