@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, neardup, pairs, pieces, tokens
+from . import crosssplit, leaks, neardup, pairs, pieces, tokens
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +46,19 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.exploded(once).select("source_table", "sample_id", "item_id", "piece", (F.col("base") + F.col("piece_start")).alias("offset_start"), (F.col("base") + F.col("piece_end")).alias("offset_end"), "kind")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training sample and a valid or test sample that are the same or almost so."""
+    found = crosssplit.overlaps(table(spark, d, "minilongbench_tiny").select("id", "question", "documents"))
+    return found.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping samples per held-out split and source."""
+    samples = table(spark, d, "minilongbench_tiny")
+    sources = samples.groupBy("id").agg(F.max(tokens.source_label(F.col("meta")["dataset"])).alias("source"))
+    return crosssplit.report(crosssplit.overlaps(samples.select("id", "question", "documents")), sources)
+
+
 def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of both corpora by source, language and task, with all subtotals."""
     documents = table(spark, d, "documents").select(
@@ -100,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_token_cube": p4_token_cube,
     "p5_found": p5_found,
     "p5_defects": p5_defects,
