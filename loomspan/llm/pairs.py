@@ -106,28 +106,26 @@ def _introduced(c: Column) -> Column:
     return F.regexp_replace(c, _INTRO.replace(r"\s*[:：.]?\s*", r"\s*(?:[:：.]|(?<=是))\s*"), "")
 
 
-def _any(c: Column, patterns: tuple[str, ...]) -> Column:
-    return c.rlike("(?iu)(?:" + "|".join(patterns) + ")")
-
-
 def is_search(answer: Column) -> Column:
     """A search request rather than an answer."""
     return F.coalesce(answer.rlike(r"(?i)^[\s\p{Cf}]*<?\s*search\s*>"), F.lit(False))
 
 
-def is_empty(answer: Column) -> Column:
-    bare = core(_introduced(answer))
+def is_empty(bare: Column) -> Column:
+    """Of the core of an answer without opening."""
     return (bare == "") | bare.isin(*PLACEHOLDERS)
 
 
-def is_refusal(answer: Column) -> Column:
-    plain = F.regexp_replace(F.lower(strip(_introduced(answer))), "[’`]", "'")
-    return reduce(lambda a, b: a | b, (_any(plain, p) for p in REFUSALS.values()))
+def is_refusal(plain: Column) -> Column:
+    """Of an answer in lower case with plain apostrophes."""
+    return plain.rlike("(?u)(?:" + "|".join(p for group in REFUSALS.values() for p in group) + ")")
+
 
+def is_copy(answer: Column, a: Column, q: Column) -> Column:
+    """Only the question: as it is, with up to a fifth of it changed, after an opening, or twice.
 
-def is_copy(answer: Column, question: Column) -> Column:
-    """Only the question: as it is, with up to a fifth of it changed, after an opening, or twice."""
-    q, a = core(_introduced(question)), core(_introduced(answer))
+    ``a`` and ``q`` are the cores of answer and question without openings.
+    """
     n, m = F.length(q), F.length(a)
     slack = F.greatest(F.lit(2), F.floor(n * 0.2)).cast("int")
     near = lambda x, y, d: F.levenshtein(x, y) <= d
@@ -139,7 +137,7 @@ def is_copy(answer: Column, question: Column) -> Column:
     head = F.left(a, m - F.length(tail))
     more = (F.length(tail) > 0) & (m > F.length(tail)) & (F.length(head) >= n - slack) & near(head, q, slack) & ~near(tail, q, slack)
     more = more | ((m > n) & (F.left(a, n) == q))
-    return F.coalesce((n >= 6) & (m > 0) & (twice | ((alone | opened) & ~more)), F.lit(False))
+    return F.coalesce((n >= 6) & (m >= n - slack) & (m <= F.greatest(n + 40, 2 * n + 2 * slack)) & (twice | ((alone | opened) & ~more)), F.lit(False))
 
 
 def _quoted_out(c: Column) -> Column:
@@ -150,62 +148,86 @@ def _hits(words: Column, known: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*known)))
 
 
-def language(c: Column, least: int = 2) -> Column:
-    """The language of a sentence, or null if it is too short or unclear to tell.
+_SCRIPTS = {"ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "ko": r"\p{IsHangul}", "el": r"\p{IsGreek}", "he": r"\p{IsHebrew}", "hi": r"\p{IsDevanagari}", "th": r"\p{IsThai}"}
+
+
+def with_language(df: DataFrame, text: str, out: str, least: int = 2) -> DataFrame:
+    """Adds the language of a sentence, or null if it is too short or unclear to tell.
 
-    By script, names (capitalised words) and quotations aside, then by function words.
+    By script, names (capitalised words) and quotations aside, then by ``least`` or more
+    function words. Each step is a projection of its own, so nothing is computed twice.
     """
-    plain = _quoted_out(F.coalesce(c, F.lit("")))
-    han = F.regexp_count(plain, F.lit(r"\p{IsHan}"))
-    kana = F.regexp_count(plain, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]"))
-    other = {"ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "ko": r"\p{IsHangul}", "el": r"\p{IsGreek}", "he": r"\p{IsHebrew}", "hi": r"\p{IsDevanagari}", "th": r"\p{IsThai}"}
-    latin = F.length(F.array_join(F.regexp_extract_all(plain, F.lit(r"(?<![\p{L}\p{N}])\p{Ll}[\p{Ll}']*"), F.lit(0)), ""))
-    words = F.regexp_extract_all(F.lower(plain), F.lit(r"\p{IsLatin}+"), F.lit(0))
-    votes = [F.struct(_hits(words, known).alias("n"), F.lit(name).alias("k")) for name, known in FUNCTION_WORDS.items()]
-    ranked = F.sort_array(F.array(*votes), asc=False)
-    best, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
-    out = F.when((kana >= 3) & (3 * (han + kana) > latin), "ja").when((han >= 5) & (3 * han > latin), "zh")
-    for k, script in other.items():
-        n = F.regexp_count(plain, F.lit(script))
-        out = out.when((n >= 8) & (n > latin), k)
-    return out.when((best["n"] >= least) & (best["n"] > second["n"]), best["k"])
-
-
-def is_wrong_language(answer: Column, question: Column) -> Column:
-    a, q = language(_introduced(answer), 3), language(question, 1)
-    return F.coalesce(a != q, F.lit(False))
-
-
-def is_truncated(answer: Column) -> Column:
-    """Ends within a word, phrase or bracket.
+    df = df.withColumn("_plain", _quoted_out(F.coalesce(F.col(text), F.lit(""))))
+    plain = F.col("_plain")
+    df = df.withColumns(
+        {
+            "_han": F.regexp_count(plain, F.lit(r"\p{IsHan}")),
+            "_kana": F.regexp_count(plain, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")),
+            "_small": F.length(F.array_join(F.regexp_extract_all(plain, F.lit(r"(?<![\p{L}\p{N}])\p{Ll}[\p{Ll}']*"), F.lit(0)), "")),
+            "_words": F.regexp_extract_all(F.lower(plain), F.lit(r"\p{IsLatin}+"), F.lit(0)),
+            "_rest": F.regexp_replace(plain, r"[\p{IsLatin}\p{IsHan}\P{L}]", ""),
+        }
+    )
+    votes = [F.struct(_hits(F.col("_words"), known).alias("n"), F.lit(name).alias("k")) for name, known in FUNCTION_WORDS.items()]
+    df = df.withColumn("_votes", F.sort_array(F.array(*votes), asc=False))
+    best, second = F.col("_votes")[0], F.col("_votes")[1]
+    small, marks = F.col("_small"), F.col("_han") + F.col("_kana")
+    found = F.when((F.col("_kana") >= 3) & (3 * marks > small), "ja").when((F.col("_han") >= 5) & (3 * F.col("_han") > small), "zh")
+    for name, script in _SCRIPTS.items():
+        n = F.regexp_count(F.col("_rest"), F.lit(script))
+        found = found.when((F.length("_rest") >= 8) & (n >= 8) & (n > small), name)
+    found = found.when((best["n"] >= least) & (best["n"] > second["n"]), best["k"])
+    return df.withColumn(out, found).drop("_plain", "_han", "_kana", "_small", "_words", "_rest", "_votes")
+
+
+_BRACKETS = ((r"\(|（", r"\)|）"), (r"\[|【", r"\]|】"), (r"\{", r"\}"), ("“", "”"), ("「", "」"), ("《", "》"))
+
+
+def with_truncated(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds whether an answer, without opening and outer space, ends within a word, phrase or bracket.
 
     The last sentence has no end and isn't a bare name, number, yes or no, or code; or a
     bracket, quotation or back-tick isn't closed.
     """
-    a = strip(_introduced(answer))
+    a = F.col(text)
     count = lambda p: F.regexp_count(a, F.lit(p))
-    opened = reduce(lambda x, y: x | y, (count(o) > count(c) for o, c in ((r"\(|（", r"\)|）"), (r"\[|【", r"\]|】"), (r"\{", r"\}"), ("“", "”"), ("「", "」"), ("《", "》"))))
-    opened = opened | (count("`") % 2 == 1)
-    ended = a.rlike(_ENDS + r"$")
-    last = F.regexp_replace(a, r"(?s)^.*(?:[.!?;…]\s+|[。！？；]\s*)(?=\S)", "")
-    after = F.regexp_extract(a, r"(?s)^.*([.!?;…]\s+|[。！？；]\s*)(?=\S)", 1)
+    opened = reduce(lambda x, y: x | y, (count(o) > count(c) for o, c in _BRACKETS))
+    opened = a.rlike("[(（\\[【{“「《`]") & (opened | (count("`") % 2 == 1))
+    before = r"(?s)^.*([.!?;…]\s+|[。！？；]\s*)(?=\S)"
+    df = df.withColumns({"_opened": opened, "_ended": a.rlike(_ENDS + r"$")})
+    df = df.withColumns({"_last": F.when(~F.col("_ended"), F.regexp_replace(a, before, "")), "_after": F.when(~F.col("_ended"), F.regexp_extract(a, before, 1))})
+    last = F.col("_last")
     number = last.rlike(r"^[\p{Sc}~≈+-]?\s*\d[\d.,:/ -]*\s*(?:%|\p{L}{0,3})$")
     name = last.rlike(r"^\p{Lu}[\p{L}'’.-]*(?:\s+(?:\p{Lu}[\p{L}'’.-]*|\d{1,4}|von|van|de|of|the|und|and)){0,3}$") & ~last.rlike(r"\s(?:von|van|de|of|the|und|and|\d+)$")
     han = last.rlike(r"^[\p{IsHan}·]{1,7}$") & ~last.rlike("[的于由在当并被与和]$")
     word = last.rlike(r"^[\p{L}\p{N}_.'’-]+$") & ~last.rlike(r"\p{IsHan}")
     code = last.rlike(r"^(?:return|import|from|def|class|if|for|while|print|self|[A-Za-z_][\w.]*\s*(?:=|\(|\[))\b?.*[\w)\]};:]$") & ~last.rlike(r"^(?:if|for|from|while|return)\s+\p{L}+\s+\p{L}+\s+\p{L}+")
     agreed = core(last).isin(*AGREEMENTS)
-    bare = number | code | agreed | ((name | han | word) & (F.regexp_replace(after, r"[?？\s]", "") == ""))
-    return F.coalesce((F.length(a) > 0) & (opened | (~ended & ~bare)), F.lit(False))
+    bare = number | code | agreed | ((name | han | word) & (F.regexp_replace("_after", r"[?？\s]", "") == ""))
+    return df.withColumn(out, F.coalesce((F.length(a) > 0) & (F.col("_opened") | (~F.col("_ended") & ~bare)), F.lit(False))).drop("_opened", "_ended", "_last", "_after")
 
 
 def defects(pairs: DataFrame) -> DataFrame:
     """``pairs`` (question, answer and any other columns) with ``defects``: every triggered type, in order.
 
-    An empty answer has only that defect, and a search request no other. A null question triggers neither a copy nor a
-    wrong language. The answer's tags are no part of it.
+    An empty answer has only that defect, and a search request no other. A null question
+    triggers neither a copy nor a wrong language. The answer's tags are no part of it.
+    Every step is a projection of its own, which the next ones read: nothing is inlined twice.
     """
-    a, q = without_tags(F.col("answer")), F.col("question")
-    tests = {"empty": is_empty(a), "copied_question": is_copy(a, q), "refusal": is_refusal(a), "wrong_language": is_wrong_language(a, q), "truncated": is_truncated(a)}
-    others = F.filter(F.array(*(F.when(tests[k] & ~is_search(F.col("answer")), k) for k in ORDER[1:])), lambda x: x.isNotNull())
-    return pairs.withColumn("defects", F.when(tests["empty"], F.array(F.lit("empty"))).otherwise(others))
+    df = pairs.withColumn("_own", without_tags(F.col("answer")))
+    df = df.withColumn("_own", strip(_introduced(F.col("_own"))))
+    df = df.withColumns({"_a": core(F.col("_own")), "_q": core(_introduced(F.col("question"))), "_lower": F.regexp_replace(F.lower("_own"), "[’`]", "'")})
+    df = with_truncated(with_language(with_language(df, "_own", "_spoken", 3), "question", "_asked", 1), "_own", "_truncated")
+    tests = {
+        "copied_question": is_copy(F.col("_own"), F.col("_a"), F.col("_q")),
+        "refusal": is_refusal(F.col("_lower")),
+        "wrong_language": F.coalesce(F.col("_spoken") != F.col("_asked"), F.lit(False)),
+        "truncated": F.col("_truncated"),
+    }
+    df = df.withColumn("_search", is_search(F.col("answer")))
+    others = F.filter(F.array(*(F.when(tests[k], k) for k in ORDER[1:])), lambda x: x.isNotNull())
+    found = F.when(is_empty(F.col("_a")), F.array(F.lit("empty"))).when(F.col("_search"), F.array().cast("array<string>")).otherwise(others)
+    # always true, but not deterministic to the optimizer: a filter on the result isn't moved
+    # below the steps, where every rule would be inlined into it over and over
+    kept = F.when(F.monotonically_increasing_id() >= 0, found)
+    return df.withColumn("defects", kept).select(*pairs.columns, "defects")

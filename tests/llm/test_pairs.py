@@ -49,4 +49,4 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("text,expected", [("This is the end of it.", "en"), ("Das ist der Rest von allem.", "de"), ("这是一个完整的句子。", "zh"), ("Zzz qqq", None), (None, None)])
 def test_language(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(pairs.language(df.t)).first()[0] == expected
+    assert pairs.with_language(df, "t", "k").first()["k"] == expected
