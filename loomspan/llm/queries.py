@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import crosssplit, leaks, neardup, pairs, pieces, tokens
+from . import crosssplit, leaks, neardup, pairs, pieces, subjects, tokens
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +108,25 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return measured.select("doc_id", "item_id", "part", "longest", "tiles", "covered", "coverage", "verdict")
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    named = [r.subject for r in table(spark, d, "subjects").select("subject").distinct().orderBy("subject").limit(1000).collect()]
+    model = subjects.train(subjects.labelled_sample(documents, table(spark, d, "doc_labels"), named), named)
+    return subjects.assign(documents, model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of each document."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and code points of the corpus by subject; a document counts for each of its subjects."""
+    sizes = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    named = sizes.join(_subjects(spark, d).select("doc_id", "subject"), "doc_id", "left")
+    return named.groupBy(F.coalesce("subject", F.lit("(none)")).alias("subject")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -121,5 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 SQL: dict[str, str] = {}
