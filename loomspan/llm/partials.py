@@ -22,7 +22,8 @@ def _emit(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["segment", "body"])
 
 
-def _merge(df: DataFrame, fold: Callable[[np.ndarray, bytes], None], size: int, dtype: str) -> np.ndarray:
+def _merge(df: DataFrame, fold: Callable[[np.ndarray, bytes], None], size: int, dtype: str, last: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """``last`` turns a merged segment into bytes of its own before it leaves its task."""
     width = size // _SEGMENTS
 
     def merge(groups: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,12 +33,12 @@ def _merge(df: DataFrame, fold: Callable[[np.ndarray, bytes], None], size: int,
                 tables.setdefault(segment, np.zeros(width, dtype))
                 fold(tables[segment], zstandard.decompress(body))
         if tables:
-            yield _emit([(s, zstandard.compress(t.tobytes())) for s, t in tables.items()])
+            yield _emit([(s, zstandard.compress((last(t) if last else t).tobytes())) for s, t in tables.items()])
 
-    out = np.zeros(size, dtype)
+    out = np.zeros(size, "u1" if last else dtype)
     merged = df.repartition(_SEGMENTS, "segment").mapInArrow(merge, _PARTIAL)
     for segment, body in merged.collect():  # at most _SEGMENTS rows of a fixed size
-        out[segment * width : (segment + 1) * width] = np.frombuffer(zstandard.decompress(bytes(body)), dtype)
+        out[segment * width : (segment + 1) * width] = np.frombuffer(zstandard.decompress(bytes(body)), out.dtype)
     return out
 
 
@@ -80,19 +81,25 @@ def has_bits(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def counters(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int = 18) -> np.ndarray:
-    """How many hashes of all rows fall into each of ``2 ** bits`` slots."""
+def grades(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 256 grades, eight to each doubling."""
+    return np.minimum(255, np.log2(counts + 1) * 8).astype(np.uint8)
+
+
+def counters(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int = 22) -> np.ndarray:
+    """How many hashes of all rows fall into each of ``2 ** bits`` slots, as grades."""
     size = 1 << bits
     width = size // _SEGMENTS
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size, np.int64)
         for batch in batches:
-            own += np.bincount((hashes(batch) >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
+            at, count = np.unique(hashes(batch) >> np.uint64(64 - bits), return_counts=True)
+            own[at] += count
         if own.any():
             yield _emit([(s, zstandard.compress(own[s * width : (s + 1) * width].tobytes())) for s in range(_SEGMENTS)])
 
     def fold(table: np.ndarray, body: bytes) -> None:
         table += np.frombuffer(body, np.int64)
 
-    return _merge(df.mapInArrow(partial, _PARTIAL), fold, size, "i8")
+    return _merge(df.mapInArrow(partial, _PARTIAL), fold, size, "i8", grades)
