@@ -85,7 +85,7 @@ def fused(dense: DataFrame, lexical: DataFrame, k: int = 5, pool: int = 20, dens
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     d, l = unit((F.coalesce("d", F.lit(0.0)) + 1) / 2), unit(F.coalesce("l", F.lit(0.0)))
     both = a.join(b, ["qid", "chunk_id"], "full").select("qid", "chunk_id", d.alias("score_dense"), l.alias("score_lexical"))
-    return top_k(both.withColumn("score", F.round(F.col("score_dense") * dense_weight + F.col("score_lexical") * lexical_weight, 6)), k)
+    return top_k(both.withColumn("score", F.round(F.col("score_dense") * dense_weight + F.col("score_lexical") * lexical_weight, 9)), k)
 
 
 def search(mode: str, queries: DataFrame, chunks: DataFrame, k: int = 5, formal: bool = False) -> DataFrame:

@@ -77,7 +77,7 @@ def dense_hashed_topk(spark, d):
 @query(
     f"WITH {SAMPLES}, {CHUNKS}, {_QUERIES}, {_LEXICAL}, {_DENSE}, a AS ({_rank('den', 20)}), b AS ({_rank('lex', 20)}), "
     "f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, least(1.0, greatest(0.0, (coalesce(a.score, 0.0) + 1) / 2)) AS score_dense, least(1.0, greatest(0.0, coalesce(b.score, 0.0))) AS score_lexical FROM a FULL JOIN b ON a.qid = b.qid AND a.chunk_id = b.chunk_id), "
-    f"g AS (SELECT *, round(score_dense * 0.65::DOUBLE + score_lexical * 0.35::DOUBLE, 6) AS score FROM f) {_rank('g', 5)}"
+    f"g AS (SELECT *, round(score_dense * 0.65::DOUBLE + score_lexical * 0.35::DOUBLE, 9) AS score FROM f) {_rank('g', 5)}"
 )
 def hybrid_topk(spark, d):
     return retrieve.search("hybrid", _questions(spark, d), chunks(spark, d))
