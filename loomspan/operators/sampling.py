@@ -46,10 +46,10 @@ def length_thresholds(df: DataFrame, length: str) -> DataFrame:
 
     Found from counts per length, which are few, not by sorting rows.
     """
-    counts = df.groupBy(length).agg(F.count("*").alias("n"))
-    w = Window.orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    at = [F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.col(length))).alias(f"q{i + 1}") for i, q in enumerate((0.25, 0.5, 0.75))]
+    counts = df.groupBy(F.col(length).alias("_length")).agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_length").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("_n").over(w)).withColumn("total", F.sum("_n").over(Window.partitionBy(F.lit(1))))
+    at = [F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.col("_length"))).alias(f"q{i + 1}") for i, q in enumerate((0.25, 0.5, 0.75))]
     return ranked.agg(*at)
 
 
