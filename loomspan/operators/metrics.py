@@ -77,7 +77,7 @@ def summary(rows: DataFrame, *by: str) -> DataFrame:
 def macro(per_task: DataFrame, tasks: list[str], *by: str) -> DataFrame:
     """Unweighted means of the tasks' values, percentiles and peaks included; counts are added up."""
     kept = per_task.where(F.col("task").isin(tasks))
-    return kept.groupBy(*by).agg(F.count("*").alias("n_tasks"), F.sum("n_samples").alias("n_samples"), *(F.round(F.avg(m), 6).alias(m) for m in MEASURES), F.sum("oom_count").alias("oom_count"))
+    return kept.groupBy(*by).agg(F.count("*").alias("n_tasks"), F.sum("n_samples").alias("n_samples"), *(F.round(F.avg(m), 9).alias(m) for m in MEASURES), F.sum("oom_count").alias("oom_count"))
 
 
 def error_cases(rows: DataFrame, below: float = 0.2) -> DataFrame:

@@ -31,7 +31,7 @@ def intervals(long: DataFrame, *by: str) -> DataFrame:
     n = F.count("value")
     base = long.groupBy(*by).agg(n.alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
     half = F.when(F.col("n") <= 1, 0.0).otherwise(t_quantile(F.col("n")) * F.col("std") / F.sqrt("n"))
-    return base.select(*by, "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("mean") - half, 6).alias("ci95_low"), F.round(F.col("mean") + half, 6).alias("ci95_high"))
+    return base.select(*by, "n", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("mean") - half, 6).alias("ci95_low"), F.round(F.col("mean") + half, 6).alias("ci95_high"))
 
 
 def weighted(df: DataFrame, keys: list[str], metrics: list[str], weight: str) -> DataFrame:
@@ -44,8 +44,8 @@ def calibration(runs: DataFrame) -> DataFrame:
     """Per method over its runs: means, 1.96 s / sqrt(n) half widths and summed errors."""
     half = lambda c: F.round(1.96 * F.coalesce(F.stddev_samp(c), F.lit(0.0)) / F.sqrt(F.count(c)), 6)
     return runs.groupBy("method").agg(
-        F.count("*").alias("n_seeds"), F.round(F.avg("f1"), 6).alias("mean_f1"), half("f1").alias("ci95_f1"), F.round(F.avg("p95_latency_ms"), 6).alias("mean_p95_latency_ms"), half("p95_latency_ms").alias("ci95_p95_latency_ms"),
-        F.round(F.avg("avg_steps"), 6).alias("mean_avg_steps"), F.round(F.avg("avg_retrieval"), 6).alias("mean_avg_retrieval"), F.sum("oom_count").alias("oom_sum"),
+        F.count("*").alias("n_seeds"), F.round(F.avg("f1"), 9).alias("mean_f1"), half("f1").alias("ci95_f1"), F.round(F.avg("p95_latency_ms"), 9).alias("mean_p95_latency_ms"), half("p95_latency_ms").alias("ci95_p95_latency_ms"),
+        F.round(F.avg("avg_steps"), 9).alias("mean_avg_steps"), F.round(F.avg("avg_retrieval"), 9).alias("mean_avg_retrieval"), F.sum("oom_count").alias("oom_sum"),
     )
 
 

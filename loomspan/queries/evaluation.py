@@ -29,7 +29,7 @@ AGG = (
     "round(coalesce(quantile_cont(coalesce(latency_ms.total, 0.0), 0.5), 0), 6) AS p50_latency_ms, round(coalesce(quantile_cont(coalesce(latency_ms.total, 0.0), 0.95), 0), 6) AS p95_latency_ms, round(coalesce(max(gpu_mem_mb.peak), 0), 6) AS gpu_peak_mb, round(coalesce(avg(coalesce(gpu_mem_mb.mean, 0)), 0), 6) AS gpu_mean_mb, "
     "count_if(coalesce(error_count, 0) > 0)::BIGINT AS oom_count"
 )
-_AVGS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in metrics.MEASURES)
+_AVGS = ", ".join(f"round(avg({m}), 9) AS {m}" for m in metrics.MEASURES)
 #: A method and a seed for each prediction, where the table has one run only.
 METHOD, SEED = "CASE WHEN n_retrieval > 1 THEN 'agent' ELSE 'baseline' END", "'seed_' || (length(id) + n_steps) % 3"
 _RUNS = f"runs AS (SELECT {METHOD} AS method, {SEED} AS run_tag, task, {AGG} FROM rows GROUP BY ALL)"
@@ -99,9 +99,9 @@ def seed_micro(spark, d):
     return stats.weighted(runs(spark, d), ["method", "run_tag"], ["f1", "p95_latency_ms", "avg_retrieval"], "n_samples")
 
 
-@query(f"WITH {ROWS}, {_RUNS} SELECT method, run_tag, round(avg(f1), 6) AS f1, round(avg(em), 6) AS em, round(avg(p95_latency_ms), 6) AS p95_latency_ms FROM runs WHERE task IN {_KEY} GROUP BY ALL")
+@query(f"WITH {ROWS}, {_RUNS} SELECT method, run_tag, round(avg(f1), 9) AS f1, round(avg(em), 9) AS em, round(avg(p95_latency_ms), 9) AS p95_latency_ms FROM runs WHERE task IN {_KEY} GROUP BY ALL")
 def seed_macro(spark, d):
-    return runs(spark, d).where(F.col("task").isin(KEY)).groupBy("method", "run_tag").agg(*(F.round(F.avg(m), 6).alias(m) for m in ("f1", "em", "p95_latency_ms")))
+    return runs(spark, d).where(F.col("task").isin(KEY)).groupBy("method", "run_tag").agg(*(F.round(F.avg(m), 9).alias(m) for m in ("f1", "em", "p95_latency_ms")))
 
 
 _LONG = "long AS (SELECT method, run_tag, task, unnest(['em', 'f1', 'avg_steps', 'avg_retrieval', 'p50_latency_ms', 'p95_latency_ms', 'gpu_peak_mb']) AS metric, unnest([em, f1, avg_steps, avg_retrieval, p50_latency_ms, p95_latency_ms, gpu_peak_mb]) AS value FROM runs)"
@@ -119,15 +119,15 @@ _TQ = "CASE WHEN n <= 2 THEN 12.706::DOUBLE " + " ".join(f"WHEN n - 1 <= {b} THE
 
 @query(
     f"WITH {ROWS}, {_RUNS}, {_LONG}, a AS (SELECT method, metric, count(value) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM long GROUP BY ALL), h AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE ({_TQ}) * s / sqrt(n) END AS h FROM a) "
-    "SELECT method, metric, n, round(m, 6) AS mean, round(s, 6) AS std, round(m - h, 6) AS ci95_low, round(m + h, 6) AS ci95_high FROM h"
+    "SELECT method, metric, n, round(m, 9) AS mean, round(s, 6) AS std, round(m - h, 6) AS ci95_low, round(m + h, 6) AS ci95_high FROM h"
 )
 def seed_ci(spark, d):
     return stats.intervals(stats.unpivoted(runs(spark, d), ["method", "run_tag", "task"], _SEVEN), "method", "metric")
 
 
 @query(
-    f"WITH {ROWS}, {_RUNS} SELECT method, count(*) AS n_seeds, round(avg(f1), 6) AS mean_f1, round(1.96 * coalesce(stddev_samp(f1), 0) / sqrt(count(f1)), 6) AS ci95_f1, round(avg(p95_latency_ms), 6) AS mean_p95_latency_ms, round(1.96 * coalesce(stddev_samp(p95_latency_ms), 0) / sqrt(count(p95_latency_ms)), 6) AS ci95_p95_latency_ms, "
-    "round(avg(avg_steps), 6) AS mean_avg_steps, round(avg(avg_retrieval), 6) AS mean_avg_retrieval, sum(oom_count)::BIGINT AS oom_sum FROM runs GROUP BY method"
+    f"WITH {ROWS}, {_RUNS} SELECT method, count(*) AS n_seeds, round(avg(f1), 9) AS mean_f1, round(1.96 * coalesce(stddev_samp(f1), 0) / sqrt(count(f1)), 6) AS ci95_f1, round(avg(p95_latency_ms), 9) AS mean_p95_latency_ms, round(1.96 * coalesce(stddev_samp(p95_latency_ms), 0) / sqrt(count(p95_latency_ms)), 6) AS ci95_p95_latency_ms, "
+    "round(avg(avg_steps), 9) AS mean_avg_steps, round(avg(avg_retrieval), 9) AS mean_avg_retrieval, sum(oom_count)::BIGINT AS oom_sum FROM runs GROUP BY method"
 )
 def calibration_ci(spark, d):
     return stats.calibration(runs(spark, d))
@@ -195,9 +195,9 @@ def score_failure_mode(spark, d):
     return stats.scores(points).select("run_tag", "score", "passed", "failure_mode")
 
 
-@query(f"WITH {ROWS}, {_RUNS} SELECT run_tag, method, round(avg(f1), 6) AS combo_f1 FROM runs WHERE task IN {_KEY} GROUP BY ALL")
+@query(f"WITH {ROWS}, {_RUNS} SELECT run_tag, method, round(avg(f1), 9) AS combo_f1 FROM runs WHERE task IN {_KEY} GROUP BY ALL")
 def high_value_combo(spark, d):
-    return runs(spark, d).where(F.col("task").isin(KEY)).groupBy("run_tag", "method").agg(F.round(F.avg("f1"), 6).alias("combo_f1"))
+    return runs(spark, d).where(F.col("task").isin(KEY)).groupBy("run_tag", "method").agg(F.round(F.avg("f1"), 9).alias("combo_f1"))
 
 
 @query(f"WITH {ROWS}, e AS (SELECT regexp_extract(id, '^lb_(.*)_[0-9]+_[a-z]+_[0-9]+$', 1) AS dataset, {METHOD} AS method FROM rows WHERE f1 < 0.2) SELECT dataset, count_if(method = 'agent')::BIGINT AS agent, count_if(method = 'baseline')::BIGINT AS baseline, count(*) AS total FROM e GROUP BY dataset")
@@ -230,11 +230,11 @@ def trigger_macro_f1(spark, d):
     return stats.label_scores(said, "truth", "said", ["search", "final"])
 
 
-@query(f"WITH {ROWS}, {_RUNS}, s AS (SELECT run_tag, avg(f1) AS f1, avg(f1) FILTER (task = 'single_doc_qa') AS single, max(p95_latency_ms) / 25000.0 AS ratio, sum(oom_count) AS oom FROM runs GROUP BY run_tag) SELECT round(avg(f1), 6) AS mean_f1, round(avg(single), 6) AS mean_single, round(avg(ratio), 6) AS mean_ratio, sum(oom)::BIGINT AS oom_sum, avg(f1) >= 0.34 AND avg(single) >= 0.29 AND avg(ratio) <= 1.8 AND sum(oom) = 0 AS passed FROM s")
+@query(f"WITH {ROWS}, {_RUNS}, s AS (SELECT run_tag, avg(f1) AS f1, avg(f1) FILTER (task = 'single_doc_qa') AS single, max(p95_latency_ms) / 25000.0 AS ratio, sum(oom_count) AS oom FROM runs GROUP BY run_tag) SELECT round(avg(f1), 9) AS mean_f1, round(avg(single), 9) AS mean_single, round(avg(ratio), 9) AS mean_ratio, sum(oom)::BIGINT AS oom_sum, avg(f1) >= 0.34 AND avg(single) >= 0.29 AND avg(ratio) <= 1.8 AND sum(oom) = 0 AS passed FROM s")
 def multi_seed_confirm(spark, d):
     per = runs(spark, d).groupBy("run_tag").agg(F.avg("f1").alias("f1"), F.avg(F.when(F.col("task") == "single_doc_qa", F.col("f1"))).alias("single"), (F.max("p95_latency_ms") / 25000.0).alias("ratio"), F.sum("oom_count").alias("oom"))
     passed = (F.avg("f1") >= 0.34) & (F.avg("single") >= 0.29) & (F.avg("ratio") <= 1.8) & (F.sum("oom") == 0)
-    return per.agg(F.round(F.avg("f1"), 6).alias("mean_f1"), F.round(F.avg("single"), 6).alias("mean_single"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.sum("oom").alias("oom_sum"), passed.alias("passed"))
+    return per.agg(F.round(F.avg("f1"), 9).alias("mean_f1"), F.round(F.avg("single"), 9).alias("mean_single"), F.round(F.avg("ratio"), 9).alias("mean_ratio"), F.sum("oom").alias("oom_sum"), passed.alias("passed"))
 
 
 @query(f"WITH {PREDS} SELECT phase, round(sum(ms), 3) AS ms, round(avg(ms), 6) AS mean_ms FROM (SELECT unnest(['total', 'llm', 'retrieval', 'overhead']) AS phase, unnest([latency_ms.total, latency_ms.llm, latency_ms.retrieval, latency_ms.overhead]) AS ms FROM preds) WHERE ms IS NOT NULL GROUP BY phase")

@@ -22,6 +22,11 @@ CODE_LANGUAGES = ["python", "java", "cpp", "javascript", "go"]
 NO_QUESTION, NO_ANSWER, NO_DOCUMENT = "Answer from the context.", "unknown", "N/A"
 
 
+def _record(**fields: Column) -> Column:
+    """A struct whose field names hold within nested lambda functions too."""
+    return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
+
+
 def task_group(dataset: Column) -> Column:
     out = F.when(F.lit(False), "")
     for group, names in GROUPS.items():
@@ -49,8 +54,8 @@ def split_passages(context: Column) -> Column:
     labels = F.regexp_extract_all(text, F.lit(r"(?i)(?:^|\n)(Passage\s+\d+\s*:)"), F.lit(1))
     bodies = F.transform(F.slice(F.split(text, marker), 2, 1_000_000), T.strip)
     label = lambda s: F.lower(F.replace(F.regexp_replace(s, " ", "_"), F.lit(":"), F.lit("")))
-    docs = F.filter(F.transform(F.arrays_zip(labels.alias("l"), bodies.alias("b")), lambda z: F.struct(label(z["l"]).alias("doc_id"), z["b"].alias("text"))), lambda e: e["text"] != "")
-    whole = F.array(F.struct(F.lit("d1").alias("doc_id"), text.alias("text")))
+    docs = F.filter(F.transform(F.arrays_zip(labels.alias("l"), bodies.alias("b")), lambda z: _record(doc_id=label(z["l"]), text=z["b"])), lambda e: e["text"] != "")
+    whole = F.array(_record(doc_id=F.lit("d1"), text=text))
     return F.when((F.size(labels) > 1) & (F.size(docs) > 0), docs).otherwise(whole)
 
 
@@ -66,9 +71,9 @@ def normalized(df: DataFrame) -> DataFrame:
 
     A document without an id is named by its place among all.
     """
-    named = F.transform("documents", lambda e, i: F.struct(F.coalesce(F.nullif(T.safe_text(e["doc_id"]), F.lit("")), F.concat(F.lit("d"), i + 1)).alias("doc_id"), T.safe_text(e["text"]).alias("text")))
+    named = F.transform("documents", lambda e, i: _record(doc_id=F.coalesce(F.nullif(T.safe_text(e["doc_id"]), F.lit("")), F.concat(F.lit("d"), i + 1)), text=T.safe_text(e["text"])))
     kept = F.filter(F.coalesce(named, F.array().cast("array<struct<doc_id:string,text:string>>")), lambda e: e["text"] != "")
-    empty = F.array(F.struct(F.lit("d1").alias("doc_id"), F.lit(NO_DOCUMENT).alias("text")))
+    empty = F.array(_record(doc_id=F.lit("d1"), text=F.lit(NO_DOCUMENT)))
     filled = lambda c, default: F.coalesce(F.nullif(T.safe_text(F.col(c)), F.lit("")), F.lit(default))
     return df.withColumns({"question": filled("question", NO_QUESTION), "answer": filled("answer", NO_ANSWER), "documents": F.when(F.size(kept) > 0, kept).otherwise(empty)})
 
@@ -96,7 +101,7 @@ def narrative(df: DataFrame, split: str, full_text: DataFrame | None = None) ->
     question = T.safe_text(F.col("question.text"))
     named = F.coalesce(F.nullif(F.col("_doc"), F.lit("")), F.lit("doc"))
     row = F.concat_ws("_", F.lit("nqa"), F.lit(split), named, F.substring(F.sha1(question), 1, 16))
-    docs = F.array(F.struct(F.coalesce(F.nullif(F.col("_doc"), F.lit("")), F.lit("d1")).alias("doc_id"), text.alias("text")))
+    docs = F.array(_record(doc_id=F.coalesce(F.nullif(F.col("_doc"), F.lit("")), F.lit("d1")), text=text))
     meta = F.create_map(F.lit("source_task"), F.lit("narrativeqa"), F.lit("kind"), T.safe_text(F.col("document.kind")), F.lit("uses_full_text"), F.col("_full").isNotNull().cast("string"))
     return normalized(df.select(row.alias("id"), F.lit("single_doc_qa").alias("task"), question.alias("question"), docs.alias("documents"), first_answer(F.transform("answers", lambda a: a["text"])).alias("answer"), meta.alias("meta")))
 
@@ -116,9 +121,9 @@ def papers(df: DataFrame, split: str) -> DataFrame:
 
     One row per question with a usable answer; its documents are the abstract and the sections with text.
     """
-    sections = F.transform(F.arrays_zip(F.col("full_text.section_name").alias("n"), F.col("full_text.paragraphs").alias("p")), lambda z, i: F.struct(F.format_string("sec_%02d", i + 1).alias("doc_id"), joined_lines(z["p"]).alias("b"), T.safe_text(z["n"]).alias("n")))
-    kept = F.transform(F.filter(sections, lambda s: s["b"] != ""), lambda s: F.struct(s["doc_id"].alias("doc_id"), T.strip(F.concat(s["n"], F.lit("\n"), s["b"])).alias("text")))
-    head = F.filter(F.array(F.struct(F.lit("abstract").alias("doc_id"), T.safe_text(F.col("abstract")).alias("text"))), lambda e: e["text"] != "")
+    sections = F.transform(F.arrays_zip(F.col("full_text.section_name").alias("n"), F.col("full_text.paragraphs").alias("p")), lambda z, i: F.named_struct(F.lit("doc_id"), F.format_string("sec_%02d", i + 1), F.lit("b"), joined_lines(z["p"]), F.lit("n"), T.safe_text(z["n"])))
+    kept = F.transform(F.filter(sections, lambda s: s["b"] != ""), lambda s: _record(doc_id=s["doc_id"], text=T.strip(F.concat(s["n"], F.lit("\n"), s["b"]))))
+    head = F.filter(F.array(_record(doc_id=F.lit("abstract"), text=T.safe_text(F.col("abstract")))), lambda e: e["text"] != "")
     asked = F.posexplode(F.arrays_zip(F.col("qas.question").alias("q"), F.col("qas.question_id").alias("i"), F.col("qas.answers").alias("a"))).alias("at", "z")
     rows = df.select("id", "title", F.concat(head, kept).alias("documents"), asked).withColumn("answer", paper_answer(F.col("z.a"))).where("answer <> ''")
     name = F.concat_ws("_", F.lit("qasper"), F.lit(split), T.safe_text(F.col("id")), F.substring(F.coalesce("z.i", F.col("at").cast("string")), 1, 24))
@@ -127,7 +132,7 @@ def papers(df: DataFrame, split: str) -> DataFrame:
 
 def titled_sentences(df: DataFrame, split: str) -> DataFrame:
     """Rows of id, question, answer, type, level and context (title[], sentences[][])."""
-    zipped = F.transform(F.arrays_zip(F.col("context.title").alias("t"), F.col("context.sentences").alias("s")), lambda z, i: F.struct(F.coalesce(F.nullif(T.safe_text(z["t"]), F.lit("")), F.concat(F.lit("doc"), i + 1)).alias("doc_id"), joined_lines(z["s"]).alias("text")))
+    zipped = F.transform(F.arrays_zip(F.col("context.title").alias("t"), F.col("context.sentences").alias("s")), lambda z, i: _record(doc_id=F.coalesce(F.nullif(T.safe_text(z["t"]), F.lit("")), F.concat(F.lit("doc"), i + 1)), text=joined_lines(z["s"])))
     meta = F.create_map(F.lit("source_task"), F.lit("hotpotqa"), F.lit("type"), T.safe_text(F.col("type")), F.lit("level"), T.safe_text(F.col("level")))
     return normalized(df.select(F.concat(F.lit(f"hpqa_{split}_"), T.safe_text(F.col("id"))).alias("id"), F.lit("multi_doc_qa").alias("task"), "question", zipped.alias("documents"), "answer", meta.alias("meta")))
 
@@ -135,7 +140,7 @@ def titled_sentences(df: DataFrame, split: str) -> DataFrame:
 def paragraphs(df: DataFrame, split: str) -> DataFrame:
     """Rows of id, question, answer and paragraphs (structs of title, paragraph_text)."""
     body = lambda e: T.safe_text(e["paragraph_text"])
-    docs = F.transform("paragraphs", lambda e, i: F.struct(F.coalesce(F.nullif(T.safe_text(e["title"]), F.lit("")), F.concat(F.lit("para"), i + 1)).alias("doc_id"), F.when(body(e) != "", T.strip(F.concat(T.safe_text(e["title"]), F.lit("\n"), body(e)))).otherwise("").alias("text")))
+    docs = F.transform("paragraphs", lambda e, i: _record(doc_id=F.coalesce(F.nullif(T.safe_text(e["title"]), F.lit("")), F.concat(F.lit("para"), i + 1)), text=F.when(body(e) != "", T.strip(F.concat(T.safe_text(e["title"]), F.lit("\n"), body(e)))).otherwise("")))
     return normalized(df.select(F.concat(F.lit(f"musique_{split}_"), T.safe_text(F.col("id"))).alias("id"), F.lit("multi_doc_qa").alias("task"), "question", docs.alias("documents"), "answer", F.create_map(F.lit("source_task"), F.lit("musique")).alias("meta")))
 
 
@@ -143,8 +148,8 @@ def repositories(df: DataFrame, lang: str) -> DataFrame:
     """Rows of repo_name, file_path, import_statement, cropped_code, next_line, level and context (path, identifier, snippet)."""
     t = lambda c: T.safe_text(F.col(c))
     target = T.strip(F.concat(F.lit("Repository: "), t("repo_name"), F.lit("\nTarget file: "), t("file_path"), F.lit("\nImports:\n"), t("import_statement"), F.lit("\nCurrent code prefix:\n"), t("cropped_code")))
-    others = F.transform(F.coalesce("context", F.array().cast("array<struct<path:string,identifier:string,snippet:string>>")), lambda e, i: F.struct(F.format_string("ctx_%02d", i + 1).alias("doc_id"), T.strip(F.concat(F.lit("Path: "), T.safe_text(e["path"]), F.lit("\nIdentifier: "), T.safe_text(e["identifier"]), F.lit("\nSnippet:\n"), T.safe_text(e["snippet"]))).alias("text")))
-    docs = F.concat(F.array(F.struct(F.lit("target_prefix").alias("doc_id"), target.alias("text"))), others)
+    others = F.transform(F.coalesce("context", F.array().cast("array<struct<path:string,identifier:string,snippet:string>>")), lambda e, i: _record(doc_id=F.format_string("ctx_%02d", i + 1), text=T.strip(F.concat(F.lit("Path: "), T.safe_text(e["path"]), F.lit("\nIdentifier: "), T.safe_text(e["identifier"]), F.lit("\nSnippet:\n"), T.safe_text(e["snippet"])))))
+    docs = F.concat(F.array(_record(doc_id=F.lit("target_prefix"), text=target)), others)
     file = F.coalesce(F.nullif(t("file_path"), F.lit("")), F.lit("the target file"))
     name = F.concat_ws("_", F.lit("repobench"), F.lit(lang), F.substring(F.replace(t("repo_name"), F.lit("/"), F.lit("_")), 1, 24), F.substring(F.md5(F.concat_ws("|", t("repo_name"), t("file_path"), t("cropped_code"))), 1, 12))
     meta = F.create_map(F.lit("source_task"), F.lit("repobench"), F.lit("level"), t("level"), F.lit("language"), F.lit(lang))
