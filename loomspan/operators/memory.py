@@ -20,7 +20,9 @@ def positioned(hits: DataFrame) -> DataFrame:
 
 def formatted_evidence(hits: DataFrame, most: int = 4) -> DataFrame:
     """``sample_id, evidence``: the first chunks of each sample, labelled, one to a line."""
-    kept = positioned(hits).where(F.col("pos") < most)
+    order = "pos" if "pos" in hits.columns else "chunk_id"
+    # a filter on the row number itself lets each map task keep only its first rows of a hot sample
+    kept = hits.withColumn("pos", F.row_number().over(Window.partitionBy("sample_id").orderBy(order))).where(F.col("pos") <= most)
     line = F.concat(F.lit("["), F.coalesce("doc_id", F.lit("")), F.lit("#"), F.col("chunk_id"), F.lit("] "), T.safe_text(F.col("text")))
     listed = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
     return kept.groupBy("sample_id").agg(listed.alias("l")).select("sample_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("evidence"))

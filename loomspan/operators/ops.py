@@ -83,6 +83,13 @@ def config_frame(spark: SparkSession, config: Mapping) -> DataFrame:
     return spark.createDataFrame(sorted(flattened(config).items()), "key string, value string")
 
 
+def limited(df: DataFrame, key: str, most: int) -> DataFrame:
+    """``line``: the first keys in order and, if there are more, a line that counts them."""
+    first = df.select(key).orderBy(key).limit(most)
+    rest = df.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.format_string("... and %d more", F.col("n") - most).alias("line"))
+    return first.select(F.col(key).alias("line")).unionByName(rest)
+
+
 def report_lines(status: DataFrame) -> DataFrame:
     """``method, report``: one fixed line per shard, in order."""
     line = F.format_string("%s[%d] %d-%d %s %d/%d", "method", "shard", "start", "end", "status", "out_lines", "expected")

@@ -105,6 +105,21 @@ def three_way(df: DataFrame, key: str, id_col: str, seed: int = 42, train: float
     return df.withColumn("split", F.when(F.col("_rn") <= a, "train").when(F.col("_rn") <= a + b, "valid").otherwise("test")).drop("_n", "_rn")
 
 
+def ranks(df: DataFrame, by: str, number: str, width: int = 100_000) -> DataFrame:
+    """Adds rank, from 1, in the order of a whole-number column within each group.
+
+    Rows are numbered within stretches of ``width`` numbers, and the stretches, which are
+    few, by a running sum of their counts, so that a hot group isn't one task. Ties have
+    no defined order; rows with a null number have no rank.
+    """
+    cut = df.where(F.col(number).isNotNull()).withColumn("_stretch", F.floor(F.col(number) / F.lit(width)))
+    counts = cut.groupBy(by, "_stretch").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(by, "_stretch", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "_stretch").orderBy(number))
+    return cut.withColumn("_own", own).join(before, [by, "_stretch"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_stretch", "_own", "_before")
+
+
 def slice_rows(df: DataFrame, order: list[Column], start: int, end: int) -> DataFrame:
     """Rows number start to end - 1 in the given order; an end before the start is an error."""
     if end < start:

@@ -185,10 +185,8 @@ def _plan(spark, d):
 
 
 def _status(spark, d):
-    from pyspark.sql import Window
-
-    ranked = table(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")))
-    done = ranked.groupBy(F.col("event_type").alias("method"), F.floor((F.col("rn") - 1) / 170).alias("shard")).agg(F.count_if(F.col("value") > 5).alias("out_lines"), F.max(F.col("user_id") % 4).alias("attempts"))
+    ranked = sampling.ranks(table(spark, d, "events"), "event_type", "event_id")
+    done = ranked.groupBy(F.col("event_type").alias("method"), F.floor((F.col("rank") - 1) / 170).alias("shard")).agg(F.count_if(F.col("value") > 5).alias("out_lines"), F.max(F.col("user_id") % 4).alias("attempts"))
     return ops.shard_status(_plan(spark, d), done)
 
 
@@ -252,3 +250,42 @@ def streaks(spark, d):
 def config_diff(spark, d):
     side = lambda r: table(spark, d, "events").where(F.col("event_id") % 2 == r).groupBy(F.concat("event_type", F.lit("."), F.col("user_id") % 5).alias("key")).agg(F.count("*").cast("string").alias("value"))
     return stats.changed(side(0), side(1))
+
+
+_VARIANTS = ["click", "pur"]
+
+
+@query("SELECT event_type AS variant, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE contains(event_type, 'click') OR contains(event_type, 'pur') GROUP BY 1")
+def variant_filter(spark, d):
+    named = validate.any_of(*(F.contains("event_type", F.lit(v)) for v in _VARIANTS))
+    return table(spark, d, "events").where(named).groupBy(F.col("event_type").alias("variant")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT arg_min(event_id, event_id) AS event_id, min(event_id) FILTER (contains(event_type, 'o')) AS by_part FROM events WHERE starts_with(event_type, 'c') OR contains(event_type, 'o')")
+def first_by_prefix(spark, d):
+    events = table(spark, d, "events").where(F.startswith("event_type", F.lit("c")) | F.contains("event_type", F.lit("o")))
+    return events.agg(F.min("event_id").alias("event_id"), F.min(F.when(F.contains("event_type", F.lit("o")), F.col("event_id"))).alias("by_part"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: {sql_strip('s')}), lambda s: s <> '')[-1], '') AS last_line, CASE WHEN starts_with(coalesce(text, ''), '/think') THEN text ELSE '/think ' || coalesce(text, '') END AS switched FROM chunks")
+def reasoning_fallback(spark, d):
+    from ..functions import text as T
+
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.strip), lambda s: s != "")
+    last = F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise("")
+    switched = F.when(F.startswith(F.coalesce("text", F.lit("")), F.lit("/think")), F.col("text")).otherwise(F.concat(F.lit("/think "), F.coalesce("text", F.lit(""))))
+    return chunks(spark, d).select("chunk_id", last.alias("last_line"), switched.alias("switched"))
+
+
+@query(f"WITH {PREDS}, p AS (SELECT id, 'results/seed_' || n_steps || '/' || coalesce(backend_mode, 'none') || '.jsonl' AS path FROM preds) SELECT id, regexp_extract(path, '([^/]+)\\.[^./]+$', 1) AS method, coalesce(nullif(regexp_extract(path, '.*(seed_[^/]*)', 1), ''), regexp_extract(path, '([^/]+)/[^/]+$', 1)) AS run_tag FROM p")
+def run_tags(spark, d):
+    path = F.concat(F.lit("results/seed_"), "n_steps", F.lit("/"), F.coalesce("backend_mode", F.lit("none")), F.lit(".jsonl"))
+    own = preds(spark, d).withColumn("path", path)
+    tag = F.coalesce(F.nullif(F.regexp_extract("path", ".*(seed_[^/]*)", 1), F.lit("")), F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
+    return own.select("id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("method"), tag.alias("run_tag"))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY key) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT c_mktsegment || '.' || c_nationkey AS key FROM customer)) SELECT CASE WHEN n = 13 THEN '... and ' || (total - 12) || ' more' ELSE key END AS line FROM r WHERE n <= 13")
+def limited_diff(spark, d):
+    keys = table(spark, d, "customer").select(F.concat("c_mktsegment", F.lit("."), "c_nationkey").alias("key")).distinct()
+    return ops.limited(keys, "key", 12)
