@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import crosssplit, leaks, neardup, pairs, pieces, subjects, tokens
+from .sql import SQL as SQL
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -143,4 +144,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
-SQL: dict[str, str] = {}
