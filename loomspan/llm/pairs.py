@@ -222,7 +222,8 @@ def defects(pairs: DataFrame) -> DataFrame:
         "copied_question": is_copy(F.col("_own"), F.col("_a"), F.col("_q")),
         "refusal": is_refusal(F.col("_lower")),
         "wrong_language": F.coalesce(F.col("_spoken") != F.col("_asked"), F.lit(False)),
-        "truncated": F.col("_truncated"),
+        # a question without its mark, and then a short answer, has no end either
+        "truncated": F.col("_truncated") & ~F.coalesce((F.length("_q") >= 6) & F.startswith("_a", "_q") & (F.length("_a") - F.length("_q")).between(1, 12), F.lit(False)),
     }
     df = df.withColumn("_search", is_search(F.col("answer")))
     others = F.filter(F.array(*(F.when(tests[k], k) for k in ORDER[1:])), lambda x: x.isNotNull())

@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 #: At most so many labelled documents are fitted on, in an order by hash.
-MOST_LABELLED = 4000
-_BITS = 18
+MOST_LABELLED = 5000
+_BITS = 22
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 _LINE = re.compile(r"\s*(?:\r\n|\n|\r|</p>|<br\s*/?>)\s*", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’)*\]\d]*\s+|(?<=[。！？；])\s*")
 #: Two sentences on an area count if they are so close together in their passage.
 REACH = 6
+_GAP = r"[^\S\n]"
 _CODE = re.compile(
-    r"^[ \t]*(?:(?:async +)?def +\w+ *\(|class +\w+[^\n]{0,80}[:{]\s*$|func +\w+ *\(|(?:public|private|protected|static)[\w<>\[\], ]+\(|function +\w+ *\(|import +[\w]+\.[\w.]+|from +[\w.]+ +import +\w|#include +[<\"])",
+    rf"^{_GAP}*(?:(?:async{_GAP}+)?def{_GAP}+\w+{_GAP}*\(|class{_GAP}+\w+[^\n]{{0,80}}[:{{]\s*$|func{_GAP}+\w+{_GAP}*\(|(?:public|private|protected|static)\b[\w<>\[\], \xa0]*\w\(|function{_GAP}+\w+{_GAP}*\(|import{_GAP}+\w+\.[\w.]+|from{_GAP}+[\w.]+{_GAP}+import{_GAP}+\w|#include{_GAP}+[<\"])",
     re.M,
 )
 #: Least gain of log-odds over the bias at which a sentence speaks for a subject.
@@ -82,7 +83,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def telling(ids: np.ndarray, owner: np.ndarray, targets: np.ndarray, known: int = 4, least: float = 4.0) -> np.ndarray:
+def telling(ids: np.ndarray, owner: np.ndarray, targets: np.ndarray, known: int = 4, least: float = 3.5) -> np.ndarray:
     """A place for each feature slot, or 0 for those that tell nothing.
 
     A slot tells something if it is in ``known`` documents or more and some class's share
@@ -103,7 +104,7 @@ def telling(ids: np.ndarray, owner: np.ndarray, targets: np.ndarray, known: int
     return places
 
 
-def fit(place: np.ndarray, row: np.ndarray, targets: np.ndarray, rounds: int = 30, rate: float = 0.5, shrink: float = 1e-2, scaled: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def fit(place: np.ndarray, row: np.ndarray, targets: np.ndarray, rounds: int = 15, rate: float = 0.5, shrink: float = 1e-2, scaled: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Logistic one-versus-rest weights by place and biases, by adaptive gradient steps.
 
     ``place`` and ``row`` are the telling features and their examples, in order of the

@@ -50,3 +50,8 @@ def test_empty_table(spark):
 def test_language(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string")
     assert pairs.with_language(df, "t", "k").first()["k"] == expected
+
+
+def test_a_question_without_its_mark_may_be_answered(spark):
+    df = spark.createDataFrame([("In which year did Ada measure the isotope?", "In which year did Ada measure the isotope 1944")], "question string, answer string")
+    assert pairs.defects(df).first().defects == []
