@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from math import sqrt
 
@@ -44,6 +45,9 @@ class Limits:
     forced: int = 1
     repairs: int = 1
     rewrites: int = 1
+    refine: bool = False
+    least_answer: int = 24
+    timeout_s: float = 0.0
     tasks: dict[str, dict[str, int]] = field(default_factory=lambda: {"multi_doc_qa": {"top_k": 5, "max_steps": 4}, "single_doc_qa": {"top_k": 3}})
     long_context: int = 20_000
 
@@ -148,7 +152,7 @@ def run_one(row: dict, model: Model, limits: Limits) -> dict:
     evidence = Evidence(sorted(row["chunks"] or [], key=lambda c: c["chunk_id"] or ""))
     retrieved = int(bool(evidence.chunks))
     evidence.add(evidence.search(question, row["top_k"]) if evidence.chunks else [], limits.budget)
-    errors, forced, rewrites, same, no_new, reason, final = 0, 0, 0, 0, 0, "max_steps", None
+    errors, forced, rewrites, same, no_new, reason, final, refined = 0, 0, 0, 0, 0, "max_steps", None, 0
     for step in range(1, row["max_steps"] + 1):
         try:
             tag, content = parsed(model(question, evidence.text(), step, row["max_steps"], False))
@@ -191,8 +195,33 @@ def run_one(row: dict, model: Model, limits: Limits) -> dict:
     if final is None:
         final = evidence.answer(question)
     task = row["task"]
+    doubtful = reason != "final" or len(final) < limits.least_answer or any(u in final.lower() for u in T.UNCERTAIN)
+    if row.get("refine") and doubtful and errors == 0 and limits.refine:
+        try:
+            tag, content = parsed(model(question, evidence.text(), len(steps), row["max_steps"], True))
+            if tag == "final" and content:
+                final, refined = content, 1
+        except Exception:
+            errors += 1
     final = answers.clean_code(final) if task == "code_qa" else answers.clean_text(final) if task == "single_doc_qa" else answers.compact(final, question)
-    return {"id": row["id"], "pred": final, "n_steps": len(steps), "n_retrieval": retrieved, "error_count": errors, "stop_reason": reason, "keywords": keywords, "steps": steps}
+    return {"id": row["id"], "pred": final, "n_steps": len(steps), "n_retrieval": retrieved, "error_count": errors, "stop_reason": reason + (";refined" if refined else ""), "keywords": keywords, "steps": steps}
+
+
+def run_in_time(row: dict, model: Model, limits: Limits) -> dict:
+    """The loop with a limit of seconds per sample, 0 for none; beyond it an answer from the evidence."""
+    if limits.timeout_s <= 0:
+        return run_one(row, model, limits)
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(run_one, row, model, limits).result(limits.timeout_s)
+    except TimeoutError:
+        evidence = Evidence(sorted(row["chunks"] or [], key=lambda c: c["chunk_id"] or ""))
+        asked = dict.fromkeys(tokens(row["question"]))
+        by_hits = sorted(range(len(evidence.chunks)), key=lambda i: (-sum(t in (evidence.chunks[i]["text"] or "").lower() for t in asked), -len(evidence.chunks[i]["text"] or ""), i))
+        evidence.held = by_hits[: row["top_k"]]
+        return {"id": row["id"], "pred": evidence.answer(row["question"] or ""), "n_steps": 1, "n_retrieval": int(bool(by_hits)), "error_count": 1, "stop_reason": "timeout", "keywords": [], "steps": []}
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
 
 
 def run(samples: DataFrame, chunks: DataFrame, model: Model = mock_model, limits: Limits = Limits()) -> DataFrame:
@@ -206,11 +235,11 @@ def run(samples: DataFrame, chunks: DataFrame, model: Model = mock_model, limits
     planned = policy(samples.select("id", "task", "question", F.coalesce(size, F.lit(0)).alias("context_chars")), limits)
     wanted = chunks.select(F.col("sample_id").alias("id"), F.struct("chunk_id", "text").alias("c")).join(samples.select("id"), "id", "left_semi")
     grouped = wanted.groupBy("id").agg(F.collect_list("c").alias("chunks"))
-    rows = planned.join(grouped, "id", "left").select("id", "task", "question", "top_k", "max_steps", "forced_retrieval", "chunks")
+    rows = planned.join(grouped, "id", "left").select("id", "task", "question", "top_k", "max_steps", "forced_retrieval", "refine", "chunks")
 
     def loop(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [run_one({**r, "chunks": list(r["chunks"]) if r["chunks"] is not None else []}, model, limits) for r in batch.to_dict("records")]
+            done = [run_in_time({**r, "chunks": list(r["chunks"]) if r["chunks"] is not None else []}, model, limits) for r in batch.to_dict("records")]
             yield pd.DataFrame(done, columns=[c.split(" ")[0] for c in "id,pred,n_steps,n_retrieval,error_count,stop_reason,keywords,steps".split(",")])
 
     return rows.mapInPandas(loop, RESULT)

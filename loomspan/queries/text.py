@@ -36,9 +36,9 @@ def approx_tokens(spark, d):
     return samples(spark, d).select("id", T.approx_tokens(F.col("answer")).alias("n"), T.approx_tokens(F.col("question"), 1).alias("m"))
 
 
-@query(f"WITH {CHUNKS}, t AS (SELECT chunk_id, lower({sql_strip('text')}) AS t FROM chunks) SELECT chunk_id, CASE WHEN contains(t, ' ') THEN list_filter(string_split(t, ' '), lambda x: x <> '') ELSE list_filter(string_split(t, ''), lambda x: x <> '' AND NOT regexp_full_match(x, '{W}')) END AS tokens FROM t")
+@query(f"WITH {CHUNKS}, t AS (SELECT chunk_id, lower({sql_strip('text')}) AS t FROM chunks) SELECT chunk_id, coalesce(array_to_string(CASE WHEN contains(t, ' ') THEN list_filter(string_split(t, ' '), lambda x: x <> '') ELSE list_filter(string_split(t, ''), lambda x: x <> '' AND NOT regexp_full_match(x, '{W}')) END, '|'), '') AS tokens FROM t")
 def token_list(spark, d):
-    return chunks(spark, d).select("chunk_id", T.bag_tokens(F.col("text")).alias("tokens"))
+    return chunks(spark, d).select("chunk_id", F.array_join(T.bag_tokens(F.col("text")), "|").alias("tokens"))
 
 
 @query(f"WITH {CHUNKS}, t AS (SELECT chunk_id, lower({sql_strip('text')}) AS t FROM chunks), u AS (SELECT chunk_id, unnest(CASE WHEN contains(t, ' ') THEN list_filter(string_split(t, ' '), lambda x: x <> '') ELSE list_filter(string_split(t, ''), lambda x: x <> '' AND NOT regexp_full_match(x, '{W}')) END) AS token FROM t) SELECT chunk_id, token, count(*) AS n FROM u GROUP BY ALL")
@@ -46,9 +46,9 @@ def token_bag(spark, d):
     return chunks(spark, d).select("chunk_id", F.explode(T.bag_tokens(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SAMPLES} SELECT id, {sql_query_tokens('question')} AS tokens, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({_STOP})) AS kept FROM samples")
+@query(f"WITH {SAMPLES} SELECT id, coalesce(array_to_string({sql_query_tokens('question')}, '|'), '') AS tokens, coalesce(array_to_string(list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({_STOP})), '|'), '') AS kept FROM samples")
 def query_token_lists(spark, d):
-    return samples(spark, d).select("id", T.query_tokens(F.col("question")).alias("tokens"), T.keyword_tokens(F.col("question")).alias("kept"))
+    return samples(spark, d).select("id", F.array_join(T.query_tokens(F.col("question")), "|").alias("tokens"), F.array_join(T.keyword_tokens(F.col("question")), "|").alias("kept"))
 
 
 @query(f"WITH {SAMPLES} SELECT id, regexp_replace(lower({sql_strip('question')}), '{W}+', ' ', 'g') AS keyword FROM samples")

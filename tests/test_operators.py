@@ -148,3 +148,31 @@ def test_loop_repairs_once_then_gives_up():
     got = agent.run_one({**SAMPLE, "chunks": CHUNKS}, lambda q, e, s, m, repair: "<final>fixed</final>" if repair else "garbage", agent.Limits())
     assert got["pred"] == "fixed" and got["error_count"] == 0
     assert agent.run_one({**SAMPLE, "chunks": CHUNKS}, lambda *_: "garbage", agent.Limits())["stop_reason"] == "no_protocol"
+
+
+def test_ranks_equal_one_window(spark):
+    rng = random.Random(8)
+    numbers = rng.sample(range(1_000_000), 300)
+    df = frame(spark, [("hot" if i % 3 else "cold", n) for i, n in enumerate(numbers)] + [("hot", None)], "g string, n long")
+    got = {(r.g, r.n): r["rank"] for r in sampling.ranks(df, "g", "n", 1000).collect()}
+    want = {}
+    for g in ("hot", "cold"):
+        own = sorted(n for i, n in enumerate(numbers) if ("hot" if i % 3 else "cold") == g)
+        want |= {(g, n): i + 1 for i, n in enumerate(own)}
+    assert got == want
+
+
+def test_limited_lines(spark):
+    df = frame(spark, [(f"k{i}",) for i in range(5)], "key string")
+    assert [r.line for r in ops.limited(df, "key", 3).collect()] == ["k0", "k1", "k2", "... and 2 more"]
+    assert ops.limited(df, "key", 9).count() == 5
+
+
+def test_loop_refines_a_doubtful_answer_and_ends_in_time():
+    import time
+
+    row = {**SAMPLE, "refine": True, "chunks": CHUNKS}
+    got = agent.run_one(row, lambda q, e, s, m, repair: "<final>a longer and certain answer here</final>" if repair else "<final>short</final>", agent.Limits(refine=True))
+    assert got["pred"] == "a longer and certain answer here" and got["stop_reason"] == "final;refined"
+    late = agent.run_in_time(row, lambda *_: time.sleep(1) or "<final>x</final>", agent.Limits(timeout_s=0.1))
+    assert late["stop_reason"] == "timeout" and late["error_count"] == 1 and late["pred"].startswith("Ada measured")
