@@ -105,9 +105,15 @@ def block_windows(points: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
     return h[at], owner
 
 
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for short arrays several times as fast as the general function."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def distinct_windows(text: str, k: int) -> np.ndarray:
     """Sorted distinct window hashes of a text that is a core already."""
-    return np.unique(window_hashes(code_points(text), k))
+    return sorted_distinct(window_hashes(code_points(text), k))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
