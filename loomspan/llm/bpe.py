@@ -45,6 +45,7 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.pattern = regex.compile(PATTERN)
+        self.white = regex.compile(r"\s")
         self.long = regex.compile(rf"\p{{L}}{{{LEAF}}}|\p{{N}}{{{LEAF}}}|[^\s\p{{L}}\p{{N}}]{{{LEAF}}}|\s{{{LEAF}}}")
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
@@ -193,19 +194,26 @@ class Vocabulary:
     def fragments(self, text: str, leaf: int = LEAF, most: int = 1 << 16):
         """Yields ``(run, text)``: whole pre-tokens together (run -1), or a fragment of a long one.
 
-        Fragments of one long pre-token have the same run and follow each other.
+        Fragments of one long pre-token have the same run and follow each other. The pattern
+        looks ahead at the end of white space, so text goes on after a white-space pre-token;
+        one that comes just before a long pre-token is a fragment of its own.
         """
-        start = 0
+        start = before = 0
         for run, match in enumerate(self.pattern.finditer(text)):
             s, e = match.span()
             if e - s > leaf:
+                if s > start and self.white.match(text, s - 1):
+                    if before > start:
+                        yield -1, text[start:before]
+                    start = before
                 if s > start:
                     yield -1, text[start:s]
                 yield from ((run, part) for part in halves(text[s:e], leaf))
                 start = e
-            elif e - start >= most:
+            elif e - start >= most and not self.white.match(text, e - 1):
                 yield -1, text[start:e]
                 start = e
+            before = s
         if start < len(text):
             yield -1, text[start:]
 

@@ -25,6 +25,26 @@ def test_long_unsplit_text(unit):
     assert own.count(text) == len(plain)
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\t\t", " \n", "\n ", "\n\n ", " ", "\n", "\n\n\n", "\u2003\n", "\x1c\n\n"])
+def test_white_space_before_a_cut_keeps_its_ids(gap):
+    long = f"foo.{gap}{'ab' * 3000}{gap}{'=' * 5000}{gap}end"
+    assert list(own.ids(long)) == own.encoding.encode_ordinary(long)
+    text = f"foo.{gap}abc{gap}12{gap}" * 5
+    plain = own.encoding.encode_ordinary(text)
+    for leaf in (1, 2, 4096):
+        for most in range(1, 24):
+            parts = [(run, own.fragment_ids(run, part)) for run, part in own.fragments(text, leaf, most)]
+            assert bpe.assemble(own, parts) == plain
+
+
+@pytest.mark.parametrize("gap", ["\n\n", "\t\t", " \n"])
+def test_encode_at_the_split_bound(spark, gap):
+    texts = ["x" * n + f".{gap}abc def" * 8 for n in range(90, 103)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode(df, split=100).collect())
+    assert got == [(i, own.encoding.encode_ordinary(t)) for i, t in enumerate(texts)]
+
+
 def test_empty_and_null_have_no_ids():
     assert list(own.ids(None)) == list(own.ids("")) == []
     assert own.count(None) == own.count("") == 0
