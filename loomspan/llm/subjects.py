@@ -30,10 +30,23 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"”’)*\]\d]*\s+|(?<=[。！？；])\s*")
 #: Two sentences on an area count if they are so close together in their passage.
 REACH = 6
 _GAP = r"[^\S\n]"
+_BREAK = re.compile(r"\r\n?|</p>|<br\s*/?>", re.I)
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_WORDS = "async def class func public private protected static function import from include".split()
+# keywords in lower or in upper case; a capital at the beginning alone is how a sentence begins
+_K = {w: f"(?:{w}|{w.upper()})" for w in _WORDS}
 _CODE = re.compile(
-    rf"^{_GAP}*(?:(?:async{_GAP}+)?def{_GAP}+\w+{_GAP}*\(|class{_GAP}+\w+[^\n]{{0,80}}[:{{]\s*$|func{_GAP}+\w+{_GAP}*\(|(?:public|private|protected|static)\b[\w<>\[\], \xa0]*\w\(|function{_GAP}+\w+{_GAP}*\(|import{_GAP}+\w+\.[\w.]+|from{_GAP}+[\w.]+{_GAP}+import{_GAP}+\w|#include{_GAP}+[<\"])",
+    rf"^(?:{_GAP}*<[^<>\n]{{1,80}}>)*{_GAP}*(?:(?:{_K['async']}{_GAP}+)?{_K['def']}{_GAP}+\w+{_GAP}*\(|{_K['class']}{_GAP}+\w+[^\n]{{0,80}}[:{{]\s*$|{_K['func']}{_GAP}+\w+{_GAP}*\("
+    rf"|(?:{_K['public']}|{_K['private']}|{_K['protected']}|{_K['static']})\b[\w<>\[\], \xa0]*\w\(|{_K['function']}{_GAP}+\w+{_GAP}*\(|{_K['import']}{_GAP}+\w+\.[\w.]+|{_K['from']}{_GAP}+[\w.]+{_GAP}+{_K['import']}{_GAP}+\w|#{_K['include']}{_GAP}+[<\"])",
     re.M,
 )
+_MARKUP = re.compile(r"<[^<>\n]{1,80}>")
+_COMMENT = re.compile(r"//|#(?!#)|/\*|\"\"\"|\'\'\'")
+#: A statement beside a comment: the head or end of a block, an assignment, a call or a return; a plain clause that ends in ':' or ';' is none.
+_STATEMENT = re.compile(
+    r".*\{$|[})\]]+[;,]?$|(?i:else|try|finally):$|(?i:if|elif|while)\b.*(?:[=!<>]=|[<>]|(?i:\bis none|\bin \w+)).*:$|(?i:for)\s+\w+(?:,\s*\w+)*\s+(?i:in)\s+[\w.()]+:$"
+    r"|(?i:return)\s+(?:-?\d+|\w+(?:\.\w+)+|[\w.]*\(.*\)|\[.*\]|\w+,\s*\w+|\w+;);?$|(?:\w[\w<>\[\]]*\s+)?[\w.\[\]]+\s*(?::|[-+*/|&])?=(?!=)\s*\S|(?:[a-z_][\w.]*|[A-Z_][A-Z0-9_.]+)\([^()]*\);?$"
+)
 #: Least gain of log-odds over the bias at which a sentence speaks for a subject.
 EVIDENCE = 1.0
 
@@ -49,8 +62,18 @@ def passages(text: str | None) -> list[list[str]]:
 
 
 def is_code(text: str | None) -> bool:
-    """Some line defines or imports as program code does."""
-    return _CODE.search(text or "") is not None
+    """Some line defines or imports as program code does, or comments a statement beside it."""
+    text = _UNSEEN.sub("", _BREAK.sub("\n", text or ""))
+    return _CODE.search(text) is not None or _comments(text)
+
+
+def _comments(text: str) -> bool:
+    """Some comment line stands next to a statement; '#' before lines of prose is no comment."""
+    if not _COMMENT.search(text):
+        return False
+    lines = [x for x in (_MARKUP.sub("", line).strip() for line in text.split("\n")) if x]
+    told = [_COMMENT.match(x) is not None for x in lines]
+    return any(told[i] != told[i + 1] and _STATEMENT.match(lines[i + told[i]]) for i in range(len(lines) - 1))
 
 
 @lru_cache(maxsize=1 << 18)

@@ -227,3 +227,16 @@ def test_subjects_on_held_out_documents(spark):
     assert not {1000, 1001, 1002} & set(found) and found[1003] == {"law"} and found[1004] == {"software"}
     untrained = subjects.train([], names)
     assert {r.subject for r in subjects.assign(d, untrained).collect()} <= {"software"}
+
+
+GO = "func Sum(a []string) (int, error) {\n\treturn 0, nil\n}\n"
+
+
+@pytest.mark.parametrize("code", [GO.upper(), f"<p>{GO}</p>", f'<div class="x"> <pre>{GO}', "IMPORT OS.PATH\n", "CLASS PARSER:\n    PASS", "a\rdef run(x):\r    return x", "fu\u200bnc Sum(a int) {", "Back to top  public static int sum(int[] a) {\n  // Adds all of them up.\n  int total = 7;", "# Adds all of them.\ntotal = add(a, b)", "if a == 4 {\n\t// Fails early.\n\treturn 0, bad\n}", "/* Frees it. */\n}"])
+def test_code_in_any_case_behind_markup_and_by_its_comments(code):
+    assert subjects.is_code(code)
+
+
+@pytest.mark.parametrize("prose", [None, "", "# Trees\nFor example:\nOaks.", "The court sat;\n# the judge, who was late,\n# left.", "From London import taxes fell.", "Function f(x) rises.", "# Menu\nReturn to top", "Class action:\n", "Public law(s) apply.", "see http://a.b/c\n// \nand so on", "# A\nWith thanks to:"])
+def test_prose_is_no_code(prose):
+    assert not subjects.is_code(prose)
