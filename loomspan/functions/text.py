@@ -199,6 +199,11 @@ def best_sentence(question: Column, context: Column) -> Column:
     return F.coalesce(F.array_max(rated)["s"], F.substring(F.coalesce(context, F.lit("")), 1, 160))
 
 
+def context(documents: Column) -> Column:
+    """The texts of all documents in order, one to a line; null texts and null documents are empty."""
+    return F.coalesce(F.array_join(F.transform(documents, lambda e: F.coalesce(e["text"], F.lit(""))), "\n"), F.lit(""))
+
+
 def typed_answer(text: Column, kind: Column) -> Column:
     """A count's digits, a paragraph's name, yes or no, or the first sentence, by kind."""
     src = safe_text(text)

@@ -218,6 +218,18 @@ def best_sentence(spark, d):
     return own.select("id", T.best_sentence(F.col("question"), F.col("documents")[0]["text"]).alias("sentence"))
 
 
+@query(
+    f"WITH {SAMPLES}, c AS (SELECT id, question, coalesce(array_to_string(list_transform(documents, lambda e: coalesce(e.text, '')), chr(10)), '') AS text FROM samples), "
+    "p AS (SELECT id, question, unnest(regexp_split_to_array(text, '[\\n。！？!?]')) AS raw, unnest(range(1, len(regexp_split_to_array(text, '[\\n。！？!?]')) + 1)) AS i FROM c), "
+    f"x AS (SELECT id, i, {sql_strip('raw')} AS s, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({_STOP})) AS k FROM p), "
+    "r AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY len(list_filter(k, lambda t: contains(lower(s), t))) DESC, i) AS n FROM x WHERE s <> '') "
+    "SELECT c.id, coalesce(r.s, substring(c.text, 1, 160)) AS sentence FROM c LEFT JOIN r ON r.id = c.id AND r.n = 1"
+)
+def best_sentence_context(spark, d):
+    """Over all documents of a sample; best_sentence reads the first only."""
+    return samples(spark, d).select("id", T.best_sentence(F.col("question"), T.context(F.col("documents"))).alias("sentence"))
+
+
 @query(f"WITH {SAMPLES} SELECT id, coalesce(list_sum(list_transform(documents, lambda e: length(coalesce(e.text, '')))), 0)::BIGINT AS context_chars, coalesce(len(documents), 0)::BIGINT AS n_docs FROM samples")
 def context_chars(spark, d):
     total = F.aggregate("documents", F.lit(0).cast("long"), lambda a, e: a + F.length(F.coalesce(e["text"], F.lit(""))))

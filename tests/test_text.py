@@ -89,6 +89,12 @@ def test_protocol(spark):
         assert list(zip(collected(df, tag), collected(df, content))) == list(expected.values())
 
 
+def test_best_sentence_of_all_documents(spark):
+    cases = [["Nothing here.", "Old.\nThe red fox sleeps. Then"], [None, " ", "A fox! The red fox"], ["The red fox", "The red fox too"], [], None, ["", None], ["no", "none"]]
+    df = spark.createDataFrame([(i, "red fox?", None if c is None else [(t,) for t in c]) for i, c in enumerate(cases)], "i int, q string, t array<struct<text:string>>")
+    assert collected(df, T.best_sentence(F.col("q"), T.context(F.col("t")))) == ["The red fox sleeps. Then", "The red fox", "The red fox", "", "", "\n", "no"]
+
+
 def test_answers_are_cleaned():
     assert answers.clean_text("Wait, maybe Answer: Paris and") == "Paris"
     assert answers.clean_text(None) == answers.clean_code("") == answers.compact(None, None) == ""
