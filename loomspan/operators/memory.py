@@ -18,14 +18,20 @@ def positioned(hits: DataFrame) -> DataFrame:
     return hits.withColumn("pos", F.row_number().over(Window.partitionBy("sample_id").orderBy("chunk_id")) - 1)
 
 
-def formatted_evidence(hits: DataFrame, most: int = 4) -> DataFrame:
-    """``sample_id, evidence``: the first chunks of each sample, labelled, one to a line."""
+def formatted_evidence(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """``sample_id, evidence``: the chunks of each sample, labelled, one to a line.
+
+    All of them in order of pos, or of chunk_id where there is none, or the first ``most``. A
+    sample's lines are one row, so hits of a retrieval are better than a pool's whole chunks.
+    """
     order = "pos" if "pos" in hits.columns else "chunk_id"
-    # a filter on the row number itself lets each map task keep only its first rows of a hot sample
-    kept = hits.withColumn("pos", F.row_number().over(Window.partitionBy("sample_id").orderBy(order))).where(F.col("pos") <= most)
     line = F.concat(F.lit("["), F.coalesce("doc_id", F.lit("")), F.lit("#"), F.col("chunk_id"), F.lit("] "), T.safe_text(F.col("text")))
-    listed = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
-    return kept.groupBy("sample_id").agg(listed.alias("l")).select("sample_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("evidence"))
+    if most is not None:
+        # a filter on the row number itself lets each map task keep only its first rows of a hot sample
+        hits = hits.withColumn("pos", F.row_number().over(Window.partitionBy("sample_id").orderBy(order))).where(F.col("pos") <= most)
+        order = "pos"
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line"))))
+    return hits.groupBy("sample_id").agg(listed.alias("l")).select("sample_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("evidence"))
 
 
 def facts(hits: DataFrame, limit: int = 3, width: int = 80) -> DataFrame:

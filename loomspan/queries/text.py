@@ -194,6 +194,14 @@ def format_evidence(spark, d):
     return formatted_evidence(chunks(spark, d), most=4)
 
 
+@query(f"WITH {CHUNKS}, r AS (SELECT sample_id, chunk_id, '[' || coalesce(doc_id, '') || '#' || chunk_id || '] ' || {sql_strip('text')} AS line FROM chunks) SELECT sample_id, string_agg(line, chr(10) ORDER BY chunk_id, line) AS evidence FROM r GROUP BY sample_id")
+def format_evidence_whole(spark, d):
+    """All chunks of a sample; format_evidence stops at four."""
+    from ..operators.memory import formatted_evidence
+
+    return formatted_evidence(chunks(spark, d))
+
+
 @query(
     f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY chunk_id) - 1 AS pos FROM chunks), k AS (SELECT * FROM r WHERE {sql_strip('text')} <> ''), "
     f"o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS m FROM k) SELECT sample_id, sample_id || '_f' || pos AS fact_id, 'summary' AS type, substring({sql_strip('text')}, 1, 80) AS content, doc_id, chunk_id, "

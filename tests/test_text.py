@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from loomspan.functions import text as T
-from loomspan.operators import answers, chunks, metrics
+from loomspan.operators import answers, chunks, memory, metrics
 from pyspark.sql import functions as F
 
 TEXT = st.lists(st.one_of(st.none(), st.text(st.sampled_from("aB c1_,.。！？ 世界é　 \n\t🙂<>/final"), max_size=30)), min_size=1, max_size=25)
@@ -95,6 +95,16 @@ def test_best_sentence_of_all_documents(spark):
     assert collected(df, T.best_sentence(F.col("q"), T.context(F.col("t")))) == ["The red fox sleeps. Then", "The red fox", "The red fox", "", "", "\n", "no"]
 
 
+def test_all_chunks_are_evidence(spark):
+    rows = [("s", f"c{i}", "d", f" text {i}\n") for i in range(7)] + [("t", "c", None, None)]
+    df = spark.createDataFrame(rows, "sample_id string, chunk_id string, doc_id string, text string")
+    lines = [f"[d#c{i}] text {i}" for i in range(7)]
+    got = lambda *a: {r.sample_id: r.evidence for r in memory.formatted_evidence(*a).collect()}
+    assert got(df) == {"s": "\n".join(lines), "t": "[#c] "}
+    assert got(df, 4) == {"s": "\n".join(lines[:4]), "t": "[#c] "}
+    assert got(df.withColumn("pos", F.lit(0) - F.substring("chunk_id", 2, 1).try_cast("int")))["s"] == "\n".join(lines[::-1])
+
+
 def test_answers_are_cleaned():
     assert answers.clean_text("Wait, maybe Answer: Paris and") == "Paris"
     assert answers.clean_text(None) == answers.clean_code("") == answers.compact(None, None) == ""
