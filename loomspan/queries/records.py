@@ -153,6 +153,16 @@ def distill_stats(spark, d):
     return distill.rates(_student(spark, d))
 
 
+@query()
+def distill_taught(spark, d):
+    return distill.train_rows(distill.taught(samples(spark, d)))
+
+
+@query()
+def distill_taught_stats(spark, d):
+    return distill.taught_rates(distill.taught(samples(spark, d)))
+
+
 @query(f"WITH {_STUDENT}, {_PARSED} SELECT task, count(*) AS n, round(avg((tag = 'search')::INT), 6) AS search_ratio, CASE WHEN avg((tag = 'search')::INT) >= 0.5 THEN 'search' ELSE 'final' END AS action, round_even(coalesce(avg(length(content)) FILTER (tag = 'search'), 0), 0)::BIGINT AS keyword_length FROM c WHERE reason = 'ok' GROUP BY task")
 def policy_fit(spark, d):
     return distill.policy(_student(spark, d))
