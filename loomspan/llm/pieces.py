@@ -76,6 +76,11 @@ def cut(text: str | None, limit: int, overlap: int) -> tuple[list[int], list[int
             if a < b:
                 later = places[a:b][places[a:b] > high]
                 end = int(later[0]) if len(later) else int(places[b - 1])
+            elif n - last <= limit:
+                starts.append(n - limit)  # what is left fits with less overlap
+                ends.append(n)
+                kinds.append("end")
+                return starts, ends, kinds
             else:
                 end, kind = goal, "forced"
         starts.append(max(start, end - limit))

@@ -113,6 +113,30 @@ def test_pieces_cover_the_text_within_the_limit(t, limit, overlap):
     assert ("forced" in kinds) == (stretch > limit and len(t) > limit)
 
 
+@pytest.mark.parametrize("limit, overlap", [(1200, 64), (512, 51)])
+def test_a_last_stretch_within_the_limit_is_not_forced(limit, overlap):
+    for head in ("word " * 300, ", "):
+        for n in (limit - overlap - 1, limit - overlap, limit - overlap + 1, limit - 1, limit, limit + 1):
+            t = head + "x" * n
+            starts, ends, kinds = pieces.cut(t, limit, overlap)
+            assert ("forced" in kinds) == (n > limit)
+            assert starts[0] == 0 and ends[-1] == len(t) and all(0 < e - s <= limit for s, e in zip(starts, ends))
+            assert all(0 <= e - a <= overlap for a, e in zip(starts[1:], ends))
+
+
+def test_short_texts_are_forced_only_by_a_stretch_over_the_limit():
+    assert pieces.cut(", ab", 3, 2)[2] == ["natural", "end"]
+    for n in range(1, 11):
+        for bits in range(1 << n):
+            t = "".join("a,"[bits >> i & 1] for i in range(n))
+            for limit in (2, 3, 4, 5):
+                for overlap in range(limit):
+                    starts, ends, kinds = pieces.cut(t, limit, overlap)
+                    assert ("forced" in kinds) == (max(map(len, t.split(","))) > limit), (t, limit, overlap)
+                    assert starts[0] == 0 and ends[-1] == n and all(0 < e - s <= limit for s, e in zip(starts, ends))
+                    assert all(0 <= e - a <= overlap for a, e in zip(starts[1:], ends)), (t, limit, overlap)
+
+
 def test_an_edit_changes_only_pieces_near_it():
     rng = random.Random(5)
     t = text(rng, 3000)
