@@ -204,7 +204,7 @@ class Model:
 def _second(own: np.ndarray) -> np.ndarray:
     """For each column, the best of the lesser scores of two rows at most REACH apart."""
     out = np.full(own.shape[1], -np.inf)
-    for step in range(1, min(REACH, len(own))):
+    for step in range(1, min(REACH, len(own) - 1) + 1):
         out = np.maximum(out, np.minimum(own[:-step], own[step:]).max(0))
     return out
 

@@ -264,3 +264,11 @@ def test_code_in_any_case_behind_markup_and_by_its_comments(code):
 @pytest.mark.parametrize("prose", [None, "", "# Trees\nFor example:\nOaks.", "The court sat;\n# the judge, who was late,\n# left.", "From London import taxes fell.", "Function f(x) rises.", "# Menu\nReturn to top", "Class action:\n", "Public law(s) apply.", "see http://a.b/c\n// \nand so on", "# A\nWith thanks to:"])
 def test_prose_is_no_code(prose):
     assert not subjects.is_code(prose)
+
+
+def test_two_sentences_count_up_to_reach_apart():
+    for apart in range(1, subjects.REACH + 3):
+        own = np.full((apart + 1, 2), -np.inf)
+        own[0, 0], own[apart, 0] = 2.0, 1.0
+        assert subjects._second(own).tolist() == [1.0 if apart <= subjects.REACH else -np.inf, -np.inf]
+    assert subjects._second(np.full((0, 2), 1.0)).tolist() == subjects._second(np.full((1, 2), 1.0)).tolist() == [-np.inf, -np.inf]
