@@ -50,11 +50,14 @@ def ship_package(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder of ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    A local session without that setting (tests, a laptop) gets a folder of its own; on a
+    cluster executors couldn't read one, so a missing setting is an error.
     """
     context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspan-checkpoint-"))
     return df.checkpoint()
 
