@@ -125,9 +125,19 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return common / (both - common)
 
 
-def text_id(points: np.ndarray, salt: bytes = b"") -> int:
-    """A signed 64-bit identity of a core."""
-    return int.from_bytes(hashlib.blake2b(points.tobytes(), digest_size=8, key=salt).digest(), "little", signed=True)
+def text_id(points: np.ndarray, salt: bytes = b"") -> bytes:
+    """A 128-bit identity of a core; ``salt`` has up to 64 bytes."""
+    return hashlib.blake2b(points.tobytes(), digest_size=16, key=salt).digest()
+
+
+def group_salt(name: str | None) -> bytes:
+    """32 bytes for a whole group name; a null one differs from an empty one."""
+    return hashlib.blake2b(b"" if name is None else b"=" + name.encode("utf-8", "surrogatepass"), digest_size=32).digest()
+
+
+@lru_cache(maxsize=1 << 17)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 def word_shingles(text: str | None, n: int = 5) -> np.ndarray:
@@ -136,10 +146,8 @@ def word_shingles(text: str | None, n: int = 5) -> np.ndarray:
     A text with fewer words has one shingle of all of them; CJK characters are words of their own.
     """
     words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
-    return np.unique(np.array([int.from_bytes(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for r in runs], np.uint64))
+    hashes = np.fromiter((_word_hash(w) for w in words), np.uint64, len(words))
+    return sorted_distinct(window_hashes(hashes, min(n, len(words)))) if words else hashes
 
 
 def words_of(text: str | None) -> list[str]:

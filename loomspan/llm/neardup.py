@@ -1,50 +1,97 @@
 """Near-duplicate records by HyperMinHash banding.
 
-Records are reduced to *classes* of equal core (exact copies cost one sketch per task
-and are never paired with each other). Bands of compressed registers name candidate
-pairs of classes; a collision-corrected estimate over other registers, which travel
-with each band, drops most chance collisions inside the join; what is left is verified
-on whole texts.
+Records are reduced to *classes* of equal core within a group: exact copies share one
+sketch and are never paired with each other. Each class has one sketch row. Bands of its
+compressed registers name candidate pairs of classes, in blocks where a band is hot; small
+sets, whose registers would be empty, have exact keys instead. A collision-corrected
+estimate over a few other registers, which travel with each band, drops chance collisions
+inside the join; one over both whole sketches drops most others; what is left is verified
+on whole texts. In joins a class goes by its *handle*, the first 64 bits of its 128-bit
+identity; two classes of one handle only cost a comparison.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_values, spread_join
 from ..session import checkpointed, ship_package
 from . import cores, partials, sketch
 
 #: Candidate filters use a map of 2 ** 22 bits (512 KiB), whatever the input.
 _FILTER_BITS = 22
+#: Most classes of one key that one task compares with each other.
+BLOCK = 2048
+#: Hot keys are looked for among one class in SAMPLE; it only decides on blocks, not on rows.
+SAMPLE, SEEN = 64, 8
+#: Hot keys are noted by slot: 2 ** 16 numbers, whatever the input.
+_SLOTS = 16
+#: Shingle hashes kept while pairs are verified.
+_KEPT = 4_000_000
+
+
+@dataclass
+class Block:
+    """Some rows (grp, key, text): their cores in a row with offsets, and class identities (None: too short)."""
+
+    groups: list
+    keys: list
+    texts: list
+    points: np.ndarray
+    offsets: np.ndarray
+    ids: list
+
+    def core(self, i: int) -> np.ndarray:
+        return self.points[self.offsets[i] : self.offsets[i + 1]]
+
+    def fresh(self, seen: set) -> list[int]:
+        """Rows whose class isn't in ``seen``, which they join."""
+        out = []
+        for i, own in enumerate(self.ids):
+            if own is not None and own not in seen:
+                seen.add(own)
+                out.append(i)
+        return out
+
+
+def handles(ids: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(i[:8] for i in ids), np.int64)
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
-    return cores.mix(ids.astype(np.int64).view(np.uint64))
+    return cores.mix(ids.view(np.uint64))
 
 
-def _classes(batches: Iterable[pa.RecordBatch], k: int, least: int, words: int) -> Iterator[tuple[list, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of rows (grp, key, text): groups, keys, class ids (0: too short), cores and offsets."""
+def read(batches: Iterable[pa.RecordBatch], least: int, words: int) -> Iterator[Block]:
+    salts: dict[str | None, bytes] = {}
     for batch in batches:
-        groups, keys, texts = (c.to_pylist() for c in batch.columns)
+        groups, keys, texts = (c.to_pylist() for c in batch.columns[:3])
         for lo, hi in cores.blocks(texts):
             points, offsets = cores.cores(texts[lo:hi])
-            size = np.diff(offsets)
-            ids = np.zeros(hi - lo, np.int64)
-            for i in np.flatnonzero(size >= max(least, 1)):
-                own = points[offsets[i] : offsets[i + 1]]
-                salt = (groups[lo + i] or "").encode()[:48]
-                if words:  # word boundaries are no part of a core
-                    own = cores.code_points(" ".join(cores.words_of(texts[lo + i])))
-                ids[i] = cores.text_id(own, salt)
-            yield groups[lo:hi], keys[lo:hi], texts[lo:hi], ids, points, offsets
-
-
-def members(records: DataFrame, k: int = 8, least: int = 100, words: int = 0) -> DataFrame:
+            block = Block(groups[lo:hi], keys[lo:hi], texts[lo:hi], points, offsets, [None] * (hi - lo))
+            for i in np.flatnonzero(np.diff(offsets) >= max(least, 1)):
+                g = block.groups[i]
+                if g not in salts:
+                    if len(salts) > 100_000:
+                        salts.clear()
+                    salts[g] = cores.group_salt(g)
+                # word boundaries are no part of a core
+                own = cores.code_points(" ".join(cores.words_of(block.texts[i]))) if words else block.core(i)
+                block.ids[i] = cores.text_id(own, salts[g])
+            yield block
+
+
+def _usable(records: DataFrame) -> DataFrame:
+    return records.select("grp", "key", "text").where(F.col("key").isNotNull() & F.col("text").isNotNull())
+
+
+def members(records: DataFrame, least: int = 100, words: int = 0) -> DataFrame:
     """``grp, key, cid``: each distinct record with the class of its text.
 
     ``records`` has grp, key and text. Records with a null key, or whose core is shorter
@@ -53,53 +100,99 @@ def members(records: DataFrame, k: int = 8, least: int = 100, words: int = 0) ->
     ship_package(records.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups, keys, _, ids, _, _ in _classes(batches, k, least, words):
-            ok = np.flatnonzero(ids)
+        for block in read(batches, least, words):
+            ok = [i for i, own in enumerate(block.ids) if own is not None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([groups[i] for i in ok], pa.string()), pa.array([keys[i] for i in ok], pa.string()), pa.array(ids[ok])], names=["grp", "key", "cid"]
+                [pa.array([block.groups[i] for i in ok], pa.string()), pa.array([block.keys[i] for i in ok], pa.string()), pa.array([block.ids[i] for i in ok], pa.binary())], names=["grp", "key", "cid"]
             )
 
-    return _usable(records).mapInArrow(run, "grp string, key string, cid long").distinct()
+    return _usable(records).mapInArrow(run, "grp string, key string, cid binary").distinct()
 
 
-def _usable(records: DataFrame) -> DataFrame:
-    return records.select("grp", "key", "text").where(F.col("key").isNotNull() & F.col("text").isNotNull())
+_SKETCH = "handle long, salt long, n int, regs binary, keys binary, sides binary"
 
 
-def band_rows(records: DataFrame, k: int = 8, least: int = 100, words: int = 0) -> DataFrame:
-    """``band, cid, witness``: one row per band of each class, once per task."""
+def sketches(records: DataFrame, threshold: float, k: int = 8, least: int = 100, words: int = 0) -> DataFrame:
+    """One row per class: its handle, its number of shingles, its registers, and its exact keys with their sides if it is small."""
     ship_package(records.sparkSession)
+    both = sketch.SMALL / threshold
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        salts: dict[str, int] = {}
-        for groups, _, texts, ids, points, offsets in _classes(batches, k, least, words):
-            fresh = []
-            for i in np.flatnonzero(ids):
-                if ids[i] not in seen:
-                    seen.add(ids[i])
-                    fresh.append(i)
+        seen: set[bytes] = set()
+        salts: dict[str | None, int] = {}
+        for block in read(batches, least, words):
+            fresh = block.fresh(seen)
             if not fresh:
                 continue
-            chosen = np.array(fresh)
             if words:
-                sets = [cores.word_shingles(texts[i], words) for i in chosen]
-                owner = np.repeat(np.arange(len(chosen)), [len(s) for s in sets])
+                sets = [cores.word_shingles(block.texts[i], words) for i in fresh]
+                sizes = np.array([len(s) for s in sets])
                 hashes = np.concatenate(sets)
             else:
-                hashes, owner = cores.block_windows(points, offsets, k)
-                place = np.full(len(ids), -1, np.int64)
-                place[chosen] = np.arange(len(chosen))
-                owner = place[owner]
-                hashes, owner = hashes[owner >= 0], owner[owner >= 0]
-            for g in {groups[i] for i in chosen} - salts.keys():
-                salts[g] = cores.text_id(cores.code_points(g or "")) & (2**63 - 1)
-            salt = np.array([salts[groups[i]] for i in chosen], np.uint64)
-            keys, witness = sketch.bands(sketch.registers(hashes, owner, len(chosen)), salt)
-            cid = np.repeat(ids[chosen], sketch.BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid), pa.array(witness.ravel())], names=["band", "cid", "witness"])
+                every, owner = cores.block_windows(block.points, block.offsets, k)
+                counts = np.maximum(np.diff(block.offsets) - (k - 1), 0)
+                chosen = np.zeros(len(block.ids), bool)
+                chosen[fresh] = True
+                hashes, sizes = every[chosen[owner]], counts[fresh]
+            ends = np.cumsum(sizes)
+            regs = sketch.registers(hashes, np.repeat(np.arange(len(fresh)), sizes), len(fresh))
+            for g in {block.groups[i] for i in fresh} - salts.keys():
+                salts[g] = int.from_bytes(cores.group_salt(g)[:8], "little", signed=True)
+            # a longer text may have few distinct windows too; its minima are then far from 0
+            few = (sizes <= 4 * both) | (sketch.zeros(regs).mean(1) < np.log2(both / sketch.BUCKETS) + 1.5)
+            n, keys, sides, bodies = [], [], [], []
+            for j, (end, size) in enumerate(zip(ends, sizes)):
+                own = hashes[end - size : end] if words else cores.sorted_distinct(hashes[end - size : end]) if few[j] else None
+                n.append(size if own is None else len(own))
+                a, b = sketch.exact_keys(own, threshold) if 0 < n[-1] <= both else (b"", b"")
+                keys.append(bytes(a))
+                sides.append(bytes(b))
+                bodies.append(regs[j].tobytes() if n[-1] > sketch.SMALL else b"")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(handles([block.ids[i] for i in fresh])), pa.array([salts[block.groups[i]] for i in fresh], pa.int64()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in (bodies, keys, sides))],
+                names=["handle", "salt", "n", "regs", "keys", "sides"],
+            )
+
+    return _usable(records).mapInArrow(run, _SKETCH).distinct()
+
+
+def key_rows(batch: pa.RecordBatch, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, handle, witness and side of every row by which the sketches of a batch meet others."""
+    handle, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+    regs, keys, sides = (batch.column(i).to_pylist() for i in (3, 4, 5))
+    large = np.array([i for i, r in enumerate(regs) if r], np.int64)
+    found, witness, holds = sketch.bands(np.frombuffer(b"".join(regs[i] for i in large), np.uint16).reshape(len(large), sketch.REGISTERS), salt[large], bands)
+    owner = np.repeat(large, holds.sum(1))
+    counts = [len(s) for s in sides]
+    small = np.repeat(np.arange(len(sides)), counts)
+    exact = cores.mix(np.frombuffer(b"".join(keys), np.uint64) ^ salt[small]).view(np.int64)
+    return (
+        np.concatenate([found[holds], exact]),
+        handle[np.concatenate([owner, small])],
+        np.concatenate([witness[holds], np.zeros(len(small), np.int64)]),
+        np.concatenate([np.zeros(len(owner), np.int8), np.frombuffer(b"".join(sides), np.int8)]),
+    )
+
+
+def hot_blocks(drawn: DataFrame, bands: int) -> np.ndarray:
+    """Into how many blocks the classes of a key are cut, by slot of the key: 1 but where a key is hot.
 
-    return _usable(records).mapInArrow(run, "band long, cid long, witness long")
+    Classes are drawn by their handles. A hot key that isn't seen costs time, not rows.
+    """
+
+    def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(batch.column(0).to_numpy() % SAMPLE == 0))
+            if part.num_rows:
+                key, _, _, side = key_rows(part, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(key[side == 0])], names=["key"])
+
+    found = drawn.mapInArrow(sampled, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    by_slot = found.groupBy(F.shiftrightunsigned("key", 64 - _SLOTS).alias("slot")).agg(F.max("n").alias("n"))
+    out = np.ones(1 << _SLOTS, np.int64)
+    for slot, n in by_slot.collect():  # at most 2 ** _SLOTS rows
+        out[slot] = -(-n * SAMPLE // BLOCK)
+    return out
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -110,102 +203,148 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.lit(sketch.WITNESSES) - F.bit_count(x)
 
 
-def candidates(bands: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` (a < b): classes that share a band and whose estimate reaches the threshold, less its error."""
-    placed = bands.repartition("band").dropDuplicates(["band", "cid"])
-    left, right = placed.alias("l"), placed.alias("r")
-    near = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.cid") < F.col("r.cid")))
-    near = near.where(agreeing(F.col("l.witness"), F.col("r.witness")) >= sketch.least_agreeing(threshold))
-    return near.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+def placed(drawn: DataFrame, threshold: float) -> DataFrame:
+    """``key, handle, witness, side``: the rows that meet by key.
+
+    The classes of a hot key are cut in blocks and each pair of blocks is a key of its
+    own, so no task compares more than two blocks.
+    """
+    bands = sketch.bands_for(threshold)
+    blocks = hot_blocks(drawn, bands)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, handle, witness, side = key_rows(batch, bands)
+            many = np.where(side == 0, blocks[(key.view(np.uint64) >> np.uint64(64 - _SLOTS)).astype(np.int64)], 1)
+            row = np.repeat(np.arange(len(key)), many)
+            if len(row) > len(key):
+                other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                many = many[row]
+                own = (_spread(handle)[row] % many.astype(np.uint64)).astype(np.int64)
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                apart = cores.mix(key[row].view(np.uint64) ^ cores.mix((low * (1 << 31) + high + 1).astype(np.uint64))).view(np.int64)
+                key = np.where(many > 1, apart, key[row])
+                side = np.where(many > 1, (own < other) * 1 + (own > other) * 2, side[row]).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(handle[row]), pa.array(witness[row]), pa.array(side)], names=["key", "handle", "witness", "side"])
+
+    return drawn.mapInArrow(run, "key long, handle long, witness long, side tinyint")
+
+
+def candidates(drawn: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (a < b): handles of sketches that share a key and whose estimate from the witnesses reaches the threshold, less its error."""
+    rows = placed(drawn, threshold)
+    left, right = rows.alias("l"), rows.alias("r")
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.handle") < F.col("r.handle")) & ((F.col("l.side") == 0) | (F.col("l.side") != F.col("r.side")))
+    near = left.join(right, met).where(agreeing(F.col("l.witness"), F.col("r.witness")) >= sketch.least_agreeing(threshold))
+    return near.select(F.col("l.handle").alias("a"), F.col("r.handle").alias("b")).distinct()
+
+
+def estimated(pairs: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
+    """Those of the candidates whose sketches' estimate reaches the threshold, less its error.
+
+    Pairs with a small set, which have met by an exact key, need no estimate; their sizes must allow the threshold.
+    """
+    least = sketch.least_estimate(threshold)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            x, y = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            keep = np.minimum(n, m) >= np.maximum(n, m) * threshold - 1e-9  # both are exact where one set is small
+            judged = np.array([i for i in range(len(a)) if x[i] and y[i]], np.int64)
+            both = [np.frombuffer(b"".join(s[i] for i in judged), np.uint16).reshape(len(judged), sketch.REGISTERS) for s in (x, y)]
+            keep[judged] = sketch.estimates(*both) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    side = lambda one, n, regs: drawn.select(F.col("handle").alias(one), F.col("n").alias(n), F.col("regs").alias(regs))
+    both = spread_join(spread_join(pairs, side("a", "n", "x"), "a", hot_values(pairs, "a")), side("b", "m", "y"), "b", hot_values(pairs, "b"))
+    return both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, records: DataFrame, threshold: float, k: int = 8, least: int = 100, words: int = 0) -> DataFrame:
-    """``a, b, similarity`` of the pairs whose whole texts reach the threshold.
+    """``a, b, similarity``: identities of the classes of each pair (a, b of handles) whose whole texts reach the threshold.
 
-    ``pairs`` should be checkpointed: it is read twice. Only texts of classes in some
-    pair move, found by a bit map of fixed size; each moves once per pair it is in.
+    ``pairs`` should be checkpointed: it is read several times. Only texts of classes in
+    some pair move, found by a bit map of fixed size; pairs of a class in very many are
+    split over tasks.
     """
     ship_package(records.sparkSession)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("handle"))
     wanted = partials.bit_map(ends, lambda batch: _spread(batch.column(0).to_numpy()), _FILTER_BITS)
 
     def bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, _, texts, ids, points, offsets in _classes(batches, k, least, words):
-            cid, body = [], []
-            for i in np.flatnonzero((ids != 0) & partials.has_bits(wanted, _spread(ids))):
-                if ids[i] not in seen:
-                    seen.add(ids[i])
-                    cid.append(ids[i])
-                    body.append(texts[i] if words else points[offsets[i] : offsets[i + 1]].tobytes().decode("utf-32-le", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(body, pa.string())], names=["cid", "body"])
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            shingles: Callable = (lambda t: cores.word_shingles(t, words)) if words else (lambda t: cores.distinct_windows(t, k))
-            values = [cores.overlap(shingles(s), shingles(t)) for s, t in zip(x, y)]
-            ok = [i for i, v in enumerate(values) if v >= threshold]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64()), pa.array([values[i] for i in ok], pa.float64())], names=["a", "b", "similarity"]
-            )
+        seen: set[bytes] = set()
+        for block in read(batches, least, words):
+            fresh = block.fresh(seen)
+            own = handles([block.ids[i] for i in fresh])
+            some = np.flatnonzero(partials.has_bits(wanted, _spread(own)))
+            body = [" ".join(cores.words_of(block.texts[fresh[j]])) if words else block.core(fresh[j]).tobytes().decode("utf-32-le", "replace") for j in some]
+            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array([block.ids[fresh[j]] for j in some], pa.binary()), pa.array(body, pa.string())], names=["handle", "cid", "body"])
+
+    texts = _usable(records).mapInArrow(bodies, "handle long, cid binary, body string").distinct()
+    side = lambda one, cid, body: texts.select(F.col("handle").alias(one), F.col("cid").alias(cid), F.col("body").alias(body))
+    both = spread_join(spread_join(pairs, side("a", "ca", "x"), "a", hot_values(pairs, "a")), side("b", "cb", "y"), "b", hot_values(pairs, "b"))
+    return both.select("ca", "x", "cb", "y").mapInArrow(lambda batches: compared(batches, threshold, k, words), "a binary, b binary, similarity double")
+
+
+def compared(batches: Iterable[pa.RecordBatch], threshold: float, k: int, words: int = 0) -> Iterator[pa.RecordBatch]:
+    """The overlap of two bodies, for rows of identity and body of each; a body's shingles are kept for its next pairs."""
+    known: dict[bytes, np.ndarray] = {}
+    held = 0
+
+    def shingles(cid: bytes, body: str) -> np.ndarray:
+        nonlocal held
+        if cid not in known:
+            if held > _KEPT:
+                known.clear()
+                held = 0
+            known[cid] = cores.word_shingles(body, words) if words else cores.distinct_windows(body, k)
+            held += len(known[cid])
+        return known[cid]
 
-    texts = _usable(records).mapInArrow(bodies, "cid long, body string").dropDuplicates(["cid"])
-    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("body").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, similarity double")
+    for batch in batches:
+        a, x, b, y = (c.to_pylist() for c in batch.columns)
+        values = [cores.overlap(shingles(*s), shingles(*t)) for s, t in zip(zip(a, x), zip(b, y))]
+        ok = [i for i, v in enumerate(values) if v >= threshold]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a[i] for i in ok], pa.binary()), pa.array([b[i] for i in ok], pa.binary()), pa.array([values[i] for i in ok], pa.float64())], names=["a", "b", "similarity"]
+        )
 
 
 def similar_classes(records: DataFrame, threshold: float = 0.8, k: int = 8, least: int = 100, words: int = 5) -> DataFrame:
-    """``a, b, similarity``: pairs of classes of different texts at or above the threshold.
+    """``a, b, similarity``: pairs of classes of different texts of one group at or above the threshold.
 
     ``words=0`` compares windows of ``k`` code points of the cores; otherwise runs of
     ``words`` words. Empty, null and too short texts have no class. An empty input gives
     an empty result. Columns beside grp, key and text are ignored.
     """
-    found = checkpointed(candidates(band_rows(records, k, least, words), threshold))
-    return verified(found, records, threshold, k, least, words)
-
-
-def near_pairs(records: DataFrame, threshold: float = 0.8, k: int = 8, least: int = 100, words: int = 5) -> DataFrame:
-    """``grp, key_a, key_b`` (key_a < key_b): every pair of near-duplicate records of one group, copies included.
-
-    The output is as large as the pairs are many; ``near_groups`` is the form to use
-    where a text may have very many copies.
-    """
-    classes = similar_classes(records, threshold, k, least, words)
-    member = checkpointed(members(records, k, least, words))
-    a = member.select("grp", F.col("cid").alias("a"), F.col("key").alias("ka"))
-    b = member.select(F.col("cid").alias("b"), F.col("key").alias("kb"))
-    near = classes.select("a", "b").join(a, "a").join(b, "b").select("grp", "ka", "kb")
-    same = a.join(b, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select("grp", "ka", "kb")
-    return (
-        near.unionByName(same)
-        .where(F.col("ka") != F.col("kb"))
-        .select("grp", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
-        .distinct()
-    )
+    drawn = checkpointed(sketches(records, threshold, k, least, words))
+    found = checkpointed(candidates(drawn, threshold))
+    near = checkpointed(estimated(found, drawn, threshold))
+    return verified(near, records, threshold, k, least, words)
 
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``node, root``: the least node of each connected component of ``edges (a, b)``.
 
-    Large-star and small-star steps in turn; each round is checkpointed, so the plan stays
-    short and a lost executor costs one round. Every node of an edge has one row. A star
-    keeps at most one edge per node, so no step gathers a component into one task.
+    Large-star and small-star steps in turn; each step is checkpointed, so the plan stays
+    short and a lost executor costs one step. Every node of an edge has one row. A root
+    with a large share of all edges is split over tasks in the joins.
     """
     current = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
     for _ in range(rounds):
-        both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        larger = both.where("v > u")
+        large = checkpointed(spread_join(larger, low, "u", hot_values(larger, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("v"), "u")
-        following = small.select("u", "v").unionByName(small.where("x <> v").select(F.col("x").alias("u"), "v")).where("u > v").distinct()
-        following = checkpointed(following)
-        state = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (current, following)]
-        current = following
-        if state[0] == state[1]:
+        small = spread_join(large, low, "u", hot_values(large, "u")).select(F.col("v").alias("x"), F.col("m").alias("v"), "u")
+        current = checkpointed(small.select("u", "v").unionByName(small.where("x <> v").select(F.col("x").alias("u"), "v")).where("u > v").distinct())
+        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
             break
+        before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
@@ -216,10 +355,13 @@ def near_groups(records: DataFrame, threshold: float = 0.8, k: int = 8, least: i
 
     Records with one ``class_id`` have the same text; ``group_id`` joins classes linked,
     directly or by others, by near-duplicate pairs; ``n_links`` counts the direct links of
-    the class. Records without a class (null, empty, too short) have no row.
+    the class. Ids are 128-bit values as 32 hexadecimal digits. Records without a class
+    (null, empty, too short) have no row.
     """
     links = checkpointed(similar_classes(records, threshold, k, least, words))
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    roots = connected(links).select(F.col("node").alias("cid"), "root")
-    own = members(records, k, least, words)
-    return own.join(degree, "cid", "left").join(roots, "cid", "left").select("grp", "key", F.col("cid").alias("class_id"), F.coalesce("root", "cid").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = degree.join(connected(links).select(F.col("node").alias("cid"), "root"), "cid")
+    own = checkpointed(members(records, least, words))
+    named = spread_join(own, of_class, "cid", hot_values(own, "cid"), "left")
+    text = lambda c: F.lower(F.hex(c))
+    return named.select("grp", "key", text("cid").alias("class_id"), text(F.coalesce("root", "cid")).alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -92,14 +92,19 @@ def counters(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits
     width = size // _SEGMENTS
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size, np.int64)
+        own = np.zeros(size, np.uint32)
         for batch in batches:
             at, count = np.unique(hashes(batch) >> np.uint64(64 - bits), return_counts=True)
-            own[at] += count
+            own[at] += count.astype(np.uint32)
         if own.any():
-            yield _emit([(s, zstandard.compress(own[s * width : (s + 1) * width].tobytes())) for s in range(_SEGMENTS)])
+            yield _emit([(s, zstandard.compress(own[s * width : (s + 1) * width].tobytes(), 1)) for s in range(_SEGMENTS)])
 
     def fold(table: np.ndarray, body: bytes) -> None:
-        table += np.frombuffer(body, np.int64)
+        table += np.frombuffer(body, np.uint32)
 
     return _merge(df.mapInArrow(partial, _PARTIAL), fold, size, "i8", grades)
+
+
+def bits_for(size: int, most: int = 26, least: int = 10) -> int:
+    """Bits of a table with a slot or more for each of ``size`` things, within bounds."""
+    return min(most, max(least, int(size).bit_length()))

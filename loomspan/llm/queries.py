@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..operators.skew import hot_values, spread_join
+from ..session import checkpointed, table
 from . import crosssplit, leaks, neardup, pairs, pieces, subjects, tokens
 from .sql import SQL as SQL
 
@@ -19,9 +20,25 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return samples.unionByName(chunks)
 
 
+def every_pair(records: DataFrame, threshold: float = 0.8, k: int = 8, least: int = 100, words: int = 5) -> DataFrame:
+    """``grp, key_a, key_b`` (key_a < key_b): every pair of near-duplicate records of one group, copies included.
+
+    The form that p1_found is given; as large as the pairs are many. ``neardup.near_groups``
+    has one row per record.
+    """
+    near = checkpointed(neardup.similar_classes(records, threshold, k, least, words).select("a", "b"))
+    member = checkpointed(neardup.members(records, least, words))
+    hot = hot_values(member, "cid")
+    a = member.select("grp", F.col("cid").alias("a"), F.col("key").alias("ka"))
+    b = member.select(F.col("cid").alias("b"), F.col("key").alias("kb"))
+    different = spread_join(spread_join(a, near, "a", hot), b, "b", hot).select("grp", "ka", "kb")
+    same = spread_join(a, b.withColumnRenamed("b", "a"), "a", hot).where("ka < kb").select("grp", "ka", "kb")
+    return different.unionByName(same).where("ka <> kb").select("grp", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate records: windows of 8 code points, overlap of at least 0.6."""
-    return neardup.near_pairs(_records(spark, d), 0.6, k=8, least=100, words=0).select(F.col("grp").alias("source_table"), "key_a", "key_b")
+    return every_pair(_records(spark, d), 0.6, k=8, least=100, words=0).select(F.col("grp").alias("source_table"), "key_a", "key_b")
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +66,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training sample and a valid or test sample that are the same or almost so."""
-    found = crosssplit.overlaps(table(spark, d, "minilongbench_tiny").select("id", "question", "documents"))
+    found = crosssplit.overlaps(table(spark, d, "minilongbench_tiny").select("id", "question", "documents", "prepared_at"))
     return found.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
 
 
@@ -57,7 +74,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping samples per held-out split and source."""
     samples = table(spark, d, "minilongbench_tiny")
     sources = samples.groupBy("id").agg(F.max(tokens.source_label(F.col("meta")["dataset"])).alias("source"))
-    return crosssplit.report(crosssplit.overlaps(samples.select("id", "question", "documents")), sources)
+    return crosssplit.report(crosssplit.overlaps(samples.select("id", "question", "documents", "prepared_at")), sources)
 
 
 def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,12 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Registers beside a band whose low bits travel with it, for the estimate at a collision.
 WITNESSES, WITNESS_BITS = 16, 4
+#: The register of an empty bucket.
+EMPTY = 65535
+#: Sets of up to this many shingles leave many buckets empty and get exact keys instead of bands.
+SMALL = 48
+#: Standard errors below the threshold at which an estimate over a whole sketch is still kept.
+ERRORS = 4.0
 _U = np.uint64
 _EMPTY = np.uint64((1 << 60) - 1)
 _SEEDS = mix(np.arange(1, PASSES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -29,7 +35,7 @@ def registers(hashes: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     """The ``(count, REGISTERS)`` 16-bit registers of ``count`` sets of shingle hashes.
 
     ``owner`` names the set of each hash; repeated hashes don't matter. The register
-    of an empty bucket is 65535.
+    of an empty bucket is EMPTY.
     """
     out = np.empty((count, REGISTERS), np.uint16)
     base = owner.astype(np.int64) * BUCKETS
@@ -51,28 +57,75 @@ def compress(least: np.ndarray) -> np.ndarray:
     aligned = least << zeros
     mantissa = (aligned >> _U(59 - MANTISSA)) & _U((1 << MANTISSA) - 1)
     value = ((zeros << _U(MANTISSA)) | mantissa).astype(np.uint16)
-    value[least == _EMPTY] = 65535
+    value[least == _EMPTY] = EMPTY
     return value
 
 
-def bands(regs: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and witnesses, both ``(sets, BANDS)`` signed 64-bit.
+def zeros(regs: np.ndarray) -> np.ndarray:
+    """The leading zeros noted in registers, 0 in empty ones."""
+    return np.where(regs == EMPTY, 0, regs >> np.uint16(MANTISSA))
 
-    Sets of different ``salt`` share no key. The witness of a band packs ``WITNESS_BITS`` bits of each of ``WITNESSES`` registers
-    outside the band.
+
+def bands_for(threshold: float, miss: float = 1e-3) -> int:
+    """How many bands leave a share of at most ``miss`` of pairs at the threshold without a common one, of those there are.
+
+    A pair of similarity s misses all of b bands with a probability of ``(1 - s ** ROWS) ** b``.
+    """
+    if threshold >= 1:
+        return 1
+    return min(BANDS, max(1, int(np.ceil(np.log(miss) / np.log(1 - threshold**ROWS))))) if threshold > 0 else BANDS
+
+
+def bands(regs: np.ndarray, salt: np.ndarray, count: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys and witnesses, both ``(sets, count)`` signed 64-bit, and which of them hold.
+
+    A band with an empty register says little and would bring all small sets together: it
+    doesn't hold. Sets of different ``salt`` share no key. The witness of a band packs
+    ``WITNESS_BITS`` bits of each of ``WITNESSES`` registers outside the band.
     """
     wide = regs.astype(np.uint64)
-    keys = np.empty((len(regs), BANDS), np.uint64)
-    witness = np.zeros((len(regs), BANDS), np.uint64)
+    keys = np.empty((len(regs), count), np.uint64)
+    witness = np.zeros((len(regs), count), np.uint64)
+    holds = np.empty((len(regs), count), bool)
     low = wide & _U((1 << WITNESS_BITS) - 1)
-    for b in range(BANDS):
+    for b in range(count):
         packed = np.zeros(len(regs), np.uint64)
         for r in range(ROWS):
             packed = (packed << _U(16)) | wide[:, b * ROWS + r]
         keys[:, b] = mix(mix(packed) ^ (salt + _U(b + 1)))
+        holds[:, b] = (regs[:, b * ROWS : (b + 1) * ROWS] != EMPTY).all(1)
         for w in range(WITNESSES):
             witness[:, b] = (witness[:, b] << _U(WITNESS_BITS)) | low[:, ((b + 1) * ROWS + w) % REGISTERS]
-    return keys.view(np.int64), witness.view(np.int64)
+    return keys.view(np.int64), witness.view(np.int64), holds
+
+
+def tiny(threshold: float) -> int:
+    """The largest size of sets whose only partners at the threshold are equal or have one element more."""
+    n = 0
+    while (n + 1) / (n + 3) < threshold - 1e-9 and n < SMALL:
+        n += 1
+    return n
+
+
+def exact_keys(own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sides of a small set of sorted distinct hashes; two sets at the threshold share a key.
+
+    Two rows of a key meet if their sides are 0 or differ. Up to ``tiny`` elements partners
+    are equal or lack one element of the other: a key of the whole set, and one of each set
+    less an element on the other side. Larger ones share one of their first hashes.
+    """
+    n, least = len(own), tiny(threshold)
+    keys, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+    if n <= least / threshold + 1e-9:
+        parts = mix(own ^ _SEEDS[0])
+        whole = parts.sum(dtype=np.uint64)
+        keys += [mix(np.array([whole], np.uint64) ^ _SEEDS[1]), mix(np.concatenate([[whole], whole - parts]) ^ _SEEDS[2])]
+        sides += [np.array([0, 1], np.int8), np.full(n, 2, np.int8)]
+    if n > least:
+        first = own[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+        keys.append(mix(first ^ _SEEDS[3]))
+        sides.append(np.zeros(len(first), np.int8))
+    return np.concatenate(keys), np.concatenate(sides)
 
 
 def corrected(agreeing: float, of: int = WITNESSES, bits: int = WITNESS_BITS) -> float:
@@ -91,10 +144,15 @@ def least_agreeing(threshold: float, of: int = WITNESSES, bits: int = WITNESS_BI
     return int(np.floor(of * p - 2 * np.sqrt(of * p * (1 - p))))
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Collision-corrected Jaccard estimate of two whole sketches."""
-    used = (a != 65535) | (b != 65535)
-    n = int(used.sum())
-    if not n:
-        return 0.0
-    return corrected(float(((a == b) & used).sum()), n, MANTISSA + 1)
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Collision-corrected Jaccard estimates of pairs of whole sketches, row by row."""
+    used = (a != EMPTY) | (b != EMPTY)
+    n = used.sum(1)
+    chance = 2.0 ** -(MANTISSA + 1)
+    share = ((a == b) & used).sum(1) / np.maximum(n, 1)
+    return np.maximum(0.0, (share - chance) / (1 - chance))
+
+
+def least_estimate(threshold: float) -> float:
+    """The estimate at which a pair of that similarity is still kept: one at it is dropped about once in 30,000 times."""
+    return threshold - ERRORS * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from loomspan.llm import cores, crosssplit, leaks, neardup, pieces, sketch, subjects
+from loomspan.llm import cores, crosssplit, leaks, neardup, pieces, queries, sketch, subjects
 
 WORDS = "amber basin cedar delta ember fjord glade haven inlet jetty knoll lagoon meadow nook orchard prairie quarry ridge summit tundra 河流 森林 高山 湖泊".split()
 
@@ -46,12 +47,12 @@ def records():
 def test_near_pairs_equal_brute_force(spark):
     rows = records()
     df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "grp string, key string, text string, cid int, band string")
-    got = {tuple(r) for r in neardup.near_pairs(df, 0.6, 8, 100, 0).collect()}
+    got = {tuple(r) for r in queries.every_pair(df, 0.6, 8, 100, 0).collect()}
     known = {(g, k): shingles(t, 8) for g, k, t in rows if k and t and len(shingles(t, 1) and "".join(ch for ch in t.lower() if ch.isalnum())) >= 100}
     keys = sorted(known)
     want = {(a[0], a[1], b[1]) for i, a in enumerate(keys) for b in keys[i + 1 :] if a[0] == b[0] and jaccard(known[a], known[b]) >= 0.6}
     assert got == want
-    assert neardup.near_pairs(df.limit(0), 0.6, 8, 100, 0).count() == 0
+    assert queries.every_pair(df.limit(0), 0.6, 8, 100, 0).count() == 0
 
 
 def test_near_groups_have_one_row_per_record(spark):
@@ -63,6 +64,59 @@ def test_near_groups_have_one_row_per_record(spark):
     assert got["g", "a1"].group_id == got["g", "b1"].group_id != got["g", "a2"].group_id
     assert got["h", "a1"].group_id != got["g", "a1"].group_id
     assert got["g", "short"].n_links == 0
+    assert len(got["g", "short"].class_id) == 32
+
+
+def test_groups_of_a_long_common_name_keep_apart(spark):
+    t, name = text(random.Random(1)), "g" * 70
+    df = spark.createDataFrame([(name + "1", "a", t), (name + "1", "b", t + " one"), (name + "2", "c", t), (None, "d", t), ("", "e", t)], "grp string, key string, text string")
+    assert [tuple(r) for r in queries.every_pair(df, 0.6, 8, 100, 0).collect()] == [(name + "1", "a", "b")]
+    assert len({r.group_id for r in neardup.near_groups(df).collect()}) == 4
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.9])
+def test_small_sets_share_an_exact_key_at_the_threshold(threshold):
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(1, sketch.SMALL + 1))
+        pool = rng.integers(0, 2**63, 2 * n + 4, dtype=np.uint64)
+        a = np.unique(pool[:n])
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], pool[n : n + int(rng.integers(0, n // 3 + 2))]]))
+        if cores.overlap(a, b) >= threshold:
+            rows = [set(zip(*(x.tolist() for x in sketch.exact_keys(s, threshold)))) for s in (a, b)]
+            assert any(k == l and (s == 0 or s != t) for k, s in rows[0] for l, t in rows[1])
+
+
+def test_many_short_texts_meet_few_others(spark):
+    rng = random.Random(6)
+    rows = [("g", str(i), " ".join(f"w{rng.randrange(30_000)}" for _ in range(rng.randint(1, 9)))) for i in range(20_000)]
+    rows += [("g", f"s{i}", f"subscribe to our free daily letter n{i}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "grp string, key string, text string").repartition(4)
+    drawn = neardup.checkpointed(neardup.sketches(df, 0.8, words=5, least=1))
+    assert neardup.candidates(drawn, 0.8).count() < 25_000
+    long = [("h", str(i), " ".join(f"w{rng.randrange(99)}" for _ in range(n)) + " x" * (i % 2)) for n in (7, 8, 9, 30, 47, 50, 58) for i in range(2)]
+    pairs = [("h", f"{i}{side}", " ".join(f"w{(7 * i + j) % 61}" for j in range(n + side))) for i, n in enumerate((5, 8, 9, 12, 24, 48, 50, 60)) for side in (0, 1)]
+    got = {tuple(r)[1:] for r in queries.every_pair(spark.createDataFrame(pairs + long, "grp string, key string, text string"), 0.8, words=5, least=1).collect()}
+    known = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, k, t in pairs + long for w in [t.split()]}
+    keys = sorted(known)
+    assert got == {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if jaccard(known[a], known[b]) >= 0.8} and got
+
+
+def test_a_hot_band_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 500)
+    rng = np.random.default_rng(8)
+    regs = rng.integers(0, 6000, (5000, sketch.REGISTERS)).astype(np.uint16)
+    regs[:, : sketch.ROWS] = 7
+    regs[1] = regs[0]
+    handles = rng.integers(-(2**62), 2**62, 5000)
+    df = spark.createDataFrame([(int(h), 0, 100, r.tobytes(), b"", b"") for h, r in zip(handles, regs)], neardup._SKETCH)
+    rows = neardup.placed(df, 0.6)
+    assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] < 3 * 500
+    assert rows.where("side > 0").select("key").distinct().count() > 20
+    a, b = sorted(handles[:2].tolist())
+    assert [tuple(r) for r in neardup.candidates(df, 0.9).collect()] == [(a, b)]
+    monkeypatch.setattr(sketch, "least_agreeing", lambda threshold: 0)
+    assert neardup.candidates(df, 0.6).count() == 5000 * 4999 // 2
 
 
 def test_components_equal_union_find(spark):
@@ -90,7 +144,7 @@ def test_estimates_follow_the_similarity():
         parts = [np.concatenate([both, rng.integers(0, 2**63, (2000 - len(both)) // 2, dtype=np.uint64)]) for _ in range(2)]
         owner = np.repeat([0, 1], [len(p) for p in parts])
         regs = sketch.registers(np.concatenate(parts), owner, 2)
-        assert abs(sketch.estimate(regs[0], regs[1]) - share) < 0.15
+        assert abs(sketch.estimates(regs[:1], regs[1:])[0] - share) < 0.15
 
 
 @given(st.text(st.sampled_from("ab c,。\nx"), max_size=400), st.integers(2, 60), st.integers(0, 40))
@@ -160,13 +214,10 @@ def samples(rng):
 
 
 @pytest.mark.parametrize("indexed", [True, False])
-def test_cross_split_overlaps_equal_brute_force(spark, monkeypatch, indexed):
-    if not indexed:
-        monkeypatch.setattr(crosssplit, "MOST_INDEXED", -1)
-        monkeypatch.setattr(crosssplit.similar_texts, "__defaults__", (*crosssplit.similar_texts.__defaults__[:-1], -1))
+def test_cross_split_overlaps_equal_brute_force(spark, indexed):
     rows = samples(random.Random(11))
     df = spark.createDataFrame(rows, "id string, question string, documents array<struct<doc_id:string,text:string>>, split string")
-    got = {tuple(r) for r in crosssplit.overlaps(df.drop("split")).collect()}
+    got = {tuple(r) for r in crosssplit.overlaps(df.drop("split"), most_indexed=crosssplit.MOST_INDEXED if indexed else -1).collect()}
 
     def docs(r):
         return [shingles(e[1], 8) for e in r[2] or [] if len("".join(c for c in (e[1] or "") if c.isalnum())) >= 100]
@@ -179,6 +230,16 @@ def test_cross_split_overlaps_equal_brute_force(spark, monkeypatch, indexed):
     assert sum(r.n_pairs for r in crosssplit.report(spark.createDataFrame(sorted(got), "train_id string, held_id string"), spark.createDataFrame([(k, "s") for k in held], "id string, source string")).collect()) == len(got)
 
 
+def test_the_question_last_prepared_counts(spark):
+    rng = random.Random(3)
+    t, q = text(rng, 40), text(rng, 8)
+    other = text(rng, 8)
+    rows = [("x_1_train_1", q, 1), ("x_1_train_1", "zz " + other, 2), ("x_1_test_1", q, 1), ("x_2_test_2", other, 1)]
+    df = spark.createDataFrame([(i, asked, [("d", t)], at) for i, asked, at in rows], "id string, question string, documents array<struct<doc_id:string,text:string>>, at int")
+    df = df.withColumn("prepared_at", F.timestamp_seconds("at"))
+    assert [tuple(r) for r in crosssplit.overlaps(df).collect()] == [("x_1_train_1", "x_2_test_2")]
+
+
 def longest_common(a, b):
     best = 0
     row = [0] * (len(b) + 1)
