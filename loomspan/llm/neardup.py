@@ -6,7 +6,7 @@ compressed registers name candidate pairs of classes, in blocks where a band is
 sets, whose registers would be empty, have exact keys instead. A collision-corrected
 estimate over a few other registers, which travel with each band, drops chance collisions
 inside the join; one over both whole sketches drops most others; what is left is verified
-on whole texts. In joins a class goes by its *handle*, the first 64 bits of its 128-bit
+on whole texts. In joins a class goes by its *handle*, the first 62 bits of its 128-bit
 identity; two classes of one handle only cost a comparison.
 """
 
@@ -61,7 +61,8 @@ class Block:
 
 
 def handles(ids: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(i[:8] for i in ids), np.int64)
+    """The first 62 bits of identities; two low bits are free for a side."""
+    return np.frombuffer(b"".join(i[:8] for i in ids), np.int64) & ~np.int64(3)
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
@@ -113,7 +114,27 @@ _SKETCH = "handle long, salt long, n int, regs binary, keys binary, sides binary
 
 
 def sketches(records: DataFrame, threshold: float, k: int = 8, least: int = 100, words: int = 0) -> DataFrame:
-    """One row per class: its handle, its number of shingles, its registers, and its exact keys with their sides if it is small."""
+    """One row per class: its handle, its number of shingles, its registers, and its exact keys with their sides if it is small.
+
+    Tasks note a class once each; only sketches noted by several tasks move, to be made one.
+    """
+    drawn = checkpointed(_drawn(records, threshold, k, least, words))
+    several = checkpointed(drawn.groupBy("handle").agg(F.count("*").alias("n")).where("n > 1").select("handle"))
+    repeated = partials.bit_map(several, lambda batch: _spread(batch.column(0).to_numpy()), partials.bits_for(16 * several.count(), 28, 16))
+    return _held(drawn, repeated, False).unionByName(checkpointed(_held(drawn, repeated, True).distinct()))
+
+
+def _held(drawn: DataFrame, table: np.ndarray, inside: bool) -> DataFrame:
+    """The sketches whose handles are perhaps in a bit map, or are certainly not."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(partials.has_bits(table, _spread(batch.column(0).to_numpy())) == inside))
+
+    return drawn.mapInArrow(run, _SKETCH)
+
+
+def _drawn(records: DataFrame, threshold: float, k: int, least: int, words: int) -> DataFrame:
     ship_package(records.sparkSession)
     both = sketch.SMALL / threshold
 
@@ -153,7 +174,7 @@ def sketches(records: DataFrame, threshold: float, k: int = 8, least: int = 100,
                 names=["handle", "salt", "n", "regs", "keys", "sides"],
             )
 
-    return _usable(records).mapInArrow(run, _SKETCH).distinct()
+    return _usable(records).mapInArrow(run, _SKETCH)
 
 
 def key_rows(batch: pa.RecordBatch, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +203,7 @@ def hot_blocks(drawn: DataFrame, bands: int) -> np.ndarray:
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(batch.column(0).to_numpy() % SAMPLE == 0))
+            part = batch.filter(pa.array(_spread(batch.column(0).to_numpy()) % np.uint64(SAMPLE) == 0))
             if part.num_rows:
                 key, _, _, side = key_rows(part, bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key[side == 0])], names=["key"])
@@ -204,7 +225,7 @@ def agreeing(a: Column, b: Column) -> Column:
 
 
 def placed(drawn: DataFrame, threshold: float) -> DataFrame:
-    """``key, handle, witness, side``: the rows that meet by key.
+    """``key, handle, witness``: the rows that meet by key; the side is in the two low bits of the handle.
 
     The classes of a hot key are cut in blocks and each pair of blocks is a key of its
     own, so no task compares more than two blocks.
@@ -220,23 +241,25 @@ def placed(drawn: DataFrame, threshold: float) -> DataFrame:
             if len(row) > len(key):
                 other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 many = many[row]
-                own = (_spread(handle)[row] % many.astype(np.uint64)).astype(np.int64)
+                own = (_spread(handle)[row] // np.uint64(SAMPLE) % many.astype(np.uint64)).astype(np.int64)
                 low, high = np.minimum(own, other), np.maximum(own, other)
                 apart = cores.mix(key[row].view(np.uint64) ^ cores.mix((low * (1 << 31) + high + 1).astype(np.uint64))).view(np.int64)
                 key = np.where(many > 1, apart, key[row])
                 side = np.where(many > 1, (own < other) * 1 + (own > other) * 2, side[row]).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(handle[row]), pa.array(witness[row]), pa.array(side)], names=["key", "handle", "witness", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(handle[row] | side), pa.array(witness[row])], names=["key", "handle", "witness"])
 
-    return drawn.mapInArrow(run, "key long, handle long, witness long, side tinyint")
+    return drawn.mapInArrow(run, "key long, handle long, witness long")
 
 
 def candidates(drawn: DataFrame, threshold: float) -> DataFrame:
     """``a, b`` (a < b): handles of sketches that share a key and whose estimate from the witnesses reaches the threshold, less its error."""
     rows = placed(drawn, threshold)
     left, right = rows.alias("l"), rows.alias("r")
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.handle") < F.col("r.handle")) & ((F.col("l.side") == 0) | (F.col("l.side") != F.col("r.side")))
+    side = F.col("l.handle").bitwiseXOR(F.col("r.handle")).bitwiseAND(F.lit(3)) != 0
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.handle") < F.col("r.handle")) & ((F.col("l.handle").bitwiseAND(F.lit(3)) == 0) | side)
     near = left.join(right, met).where(agreeing(F.col("l.witness"), F.col("r.witness")) >= sketch.least_agreeing(threshold))
-    return near.select(F.col("l.handle").alias("a"), F.col("r.handle").alias("b")).distinct()
+    bare = lambda c: F.col(c).bitwiseAND(F.lit(-4))
+    return near.select(bare("l.handle").alias("a"), bare("r.handle").alias("b")).where("a <> b").distinct()
 
 
 def estimated(pairs: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
@@ -256,11 +279,19 @@ def estimated(pairs: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame
             keep[judged] = sketch.estimates(*both) >= least
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    side = lambda one, n, regs: drawn.select(F.col("handle").alias(one), F.col("n").alias(n), F.col("regs").alias(regs))
+    wanted = _wanted(pairs)
+    some = _held(drawn, wanted, True)
+    side = lambda one, n, regs: some.select(F.col("handle").alias(one), F.col("n").alias(n), F.col("regs").alias(regs))
     both = spread_join(spread_join(pairs, side("a", "n", "x"), "a", hot_values(pairs, "a")), side("b", "m", "y"), "b", hot_values(pairs, "b"))
     return both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """A bit map of the handles in some pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("handle"))
+    return partials.bit_map(ends, lambda batch: _spread(batch.column(0).to_numpy()), _FILTER_BITS)
+
+
 def verified(pairs: DataFrame, records: DataFrame, threshold: float, k: int = 8, least: int = 100, words: int = 0) -> DataFrame:
     """``a, b, similarity``: identities of the classes of each pair (a, b of handles) whose whole texts reach the threshold.
 
@@ -269,8 +300,7 @@ def verified(pairs: DataFrame, records: DataFrame, threshold: float, k: int = 8,
     split over tasks.
     """
     ship_package(records.sparkSession)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("handle"))
-    wanted = partials.bit_map(ends, lambda batch: _spread(batch.column(0).to_numpy()), _FILTER_BITS)
+    wanted = _wanted(pairs)
 
     def bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -318,7 +348,7 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, k: int = 8, leas
     ``words`` words. Empty, null and too short texts have no class. An empty input gives
     an empty result. Columns beside grp, key and text are ignored.
     """
-    drawn = checkpointed(sketches(records, threshold, k, least, words))
+    drawn = sketches(records, threshold, k, least, words)
     found = checkpointed(candidates(drawn, threshold))
     near = checkpointed(estimated(found, drawn, threshold))
     return verified(near, records, threshold, k, least, words)
