@@ -19,8 +19,10 @@ FOLDER = os.environ.get("LOOMSPAN_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 #: A vocabulary file may be sent to the workers up to this size.
 MOST_BYTES = 64 << 20
-#: Longest pre-token, in code points, that is encoded in one piece.
-LEAF = 4096
+#: Most code points that are encoded in one piece; longer texts are trees of such leaves.
+LEAF = 2048
+#: Fixed value: places where the encodings of both sides follow each other, by the pattern above.
+SEAM = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])"
 
 
 def read_vocabulary(name: str = BYTE_BPE_50K, folder: str = FOLDER) -> bytes:
@@ -45,8 +47,7 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.pattern = regex.compile(PATTERN)
-        self.white = regex.compile(r"\s")
-        self.long = regex.compile(rf"\p{{L}}{{{LEAF}}}|\p{{N}}{{{LEAF}}}|[^\s\p{{L}}\p{{N}}]{{{LEAF}}}|\s{{{LEAF}}}")
+        self.after, self.before = regex.compile(SEAM), regex.compile(f"(?r){SEAM}")
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._counts: dict[str, int] = {}
@@ -142,7 +143,8 @@ class Vocabulary:
         if not text:
             return 0
         known, total = self._counts, 0
-        for piece in self.pattern.findall(text):
+        for match in self.pattern.finditer(text):
+            piece = match.group()
             n = known.get(piece)
             if n is None:
                 n = self.count_piece(piece.encode("utf-8"))
@@ -191,42 +193,65 @@ class Vocabulary:
             fragments = paired + fragments[len(paired) * 2 :]
         return fragments[0] if fragments else []
 
-    def fragments(self, text: str, leaf: int = LEAF, most: int = 1 << 16):
-        """Yields ``(run, text)``: whole pre-tokens together (run -1), or a fragment of a long one.
+    def seam(self, text: str) -> int:
+        """The place nearest the middle where the encodings of both sides simply follow each other; 0 if there is none.
 
-        Fragments of one long pre-token have the same run and follow each other. The pattern
-        looks ahead at the end of white space, so text goes on after a white-space pre-token;
-        one that comes just before a long pre-token is a fragment of its own.
+        A pre-token always begins at white space after something else, and where a run of
+        letters or of digits ends; what is before such a place doesn't depend on what follows.
+        """
+        middle = len(text) // 2
+        later = self.after.search(text, middle)
+        reach = later.start() - middle if later else len(text)
+        earlier = self.before.search(text, max(1, middle - reach), middle)
+        return earlier.start() if earlier else later.start() if later else 0
+
+    def leaves(self, text: str, leaf: int) -> list[tuple[bool, str]]:
+        """A text in halves at seams until no part is longer than ``leaf``: each part, and whether it joins the one before within a pre-token.
+
+        A part without a seam is cut at its pre-tokens, and a pre-token longer than ``leaf`` in halves.
+        """
+        done: list[tuple[bool, str]] = []
+        waiting = [text]
+        while waiting:
+            part = waiting.pop()
+            at = self.seam(part) if len(part) > leaf else 0
+            if at:
+                waiting += [part[at:], part[:at]]
+            elif len(part) <= leaf:
+                done.append((False, part))
+            else:
+                for match in self.pattern.finditer(part):
+                    done += [(i > 0, piece) for i, piece in enumerate(halves(match.group(), leaf))]
+        return done
+
+    def leaf_ids(self, joins: bool, whole: bool, text: str) -> list[int]:
+        """Ids of one leaf; ``whole`` unless it is a fragment of a pre-token."""
+        return self.encoding.encode_ordinary(text) if whole and not joins else self.piece_ids(text.encode("utf-8"))
+
+    def ids(self, text: str | None, leaf: int = LEAF, pool=None) -> np.ndarray | list[int]:
+        """Ids of a text, without special tokens; null and empty texts have none.
+
+        By tree concatenation: leaves are encoded on their own, by a pool of threads if one
+        is given, and joined pairwise; within a pre-token by windows around the join.
         """
-        start = before = 0
-        for run, match in enumerate(self.pattern.finditer(text)):
-            s, e = match.span()
-            if e - s > leaf:
-                if s > start and self.white.match(text, s - 1):
-                    if before > start:
-                        yield -1, text[start:before]
-                    start = before
-                if s > start:
-                    yield -1, text[start:s]
-                yield from ((run, part) for part in halves(text[s:e], leaf))
-                start = e
-            elif e - start >= most and not self.white.match(text, e - 1):
-                yield -1, text[start:e]
-                start = e
-            before = s
-        if start < len(text):
-            yield -1, text[start:]
-
-    def ids(self, text: str | None, leaf: int = LEAF) -> np.ndarray | list[int]:
-        """Ids of a text, without special tokens; null and empty texts have none."""
         if not text:
             return []
-        if len(text) <= leaf or (leaf == LEAF and not self.long.search(text)):
+        if len(text) <= leaf:
             return self.encoding.encode_to_numpy(text, disallowed_special=())
-        return assemble(self, [(run, self.fragment_ids(run, part)) for run, part in self.fragments(text, leaf)])
-
-    def fragment_ids(self, run: int, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text) if run < 0 else list(self.piece_ids(text.encode("utf-8")))
+        parts = self.leaves(text, leaf)
+        joins = [j for j, _ in parts]
+        whole = [not (i + 1 < len(parts) and joins[i + 1]) for i in range(len(parts))]
+        # encoders release the interpreter while they work
+        encoded = list((pool.map if pool else map)(self.leaf_ids, joins, whole, [t for _, t in parts]))
+        out: list[int] = []
+        at = 0
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and joins[end]:
+                end += 1
+            out += self.concatenate([list(e) for e in encoded[at:end]])
+            at = end
+        return out
 
 
 def halves(text: str, leaf: int) -> list[str]:
@@ -235,21 +260,3 @@ def halves(text: str, leaf: int) -> list[str]:
         return [text]
     middle = len(text) // 2
     return halves(text[:middle], leaf) + halves(text[middle:], leaf)
-
-
-def assemble(own: Vocabulary, encoded: list[tuple[int, list[int]]]) -> list[int]:
-    """A text's ids from those of its fragments in order."""
-    out: list[int] = []
-    at = 0
-    while at < len(encoded):
-        run = encoded[at][0]
-        if run < 0:
-            out.extend(encoded[at][1])
-            at += 1
-            continue
-        end = at
-        while end < len(encoded) and encoded[end][0] == run:
-            end += 1
-        out.extend(own.concatenate([ids for _, ids in encoded[at:end]]))
-        at = end
-    return out

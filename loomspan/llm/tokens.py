@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe
+from . import bpe, cores
 
 ALL = "(all)"
 
@@ -61,19 +62,16 @@ def budget_cube(counted: DataFrame) -> DataFrame:
     return cube.where("g_corpus = 0").select("corpus", *shown, "n_texts", "n_with_text", "n_chars", "n_tokens")
 
 
-def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = bpe.BYTE_BPE_50K, folder: str = bpe.FOLDER, leaf: int = bpe.LEAF, split: int = 1 << 18) -> DataFrame:
+def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = bpe.BYTE_BPE_50K, folder: str = bpe.FOLDER, leaf: int = bpe.LEAF, threads: int = 2) -> DataFrame:
     """``key, ids``: each text's token ids, without special tokens.
 
-    Null and empty texts have an empty list. A text of more than ``split`` code points is
-    cut into fragments, which are encoded as rows of their own wherever there is room and
-    concatenated; others are encoded where they are read. A pre-token longer than ``leaf``
-    is encoded in halves in either case. Equal keys keep their rows apart.
+    Null and empty texts have an empty list. Every text is a tree of leaves of up to
+    ``leaf`` code points, which ``threads`` threads encode and which are concatenated; see
+    ``bpe.Vocabulary.ids``. One pass, no shuffle. Equal keys keep their rows apart.
     """
     ship_package(documents.sparkSession)
     body = bpe.read_vocabulary(vocabulary, folder)
     kind = dict(documents.dtypes)[key]
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    long = F.coalesce(F.length("t"), F.lit(0)) > split
 
     def lists(ids: list) -> pa.Array:
         offsets = np.zeros(len(ids) + 1, np.int32)
@@ -81,41 +79,14 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.vocabulary(body)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists([own.ids(t, leaf) for t in part.column(1).to_pylist()])], names=["k", "ids"])
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.vocabulary(body)
-        for batch in batches:
-            for k, row, t in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, (run, part) in enumerate(own.fragments(t, leaf, split)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], batch.schema.field(0).type), pa.array([row]), pa.array([i], pa.int32()), pa.array([run], pa.int64()), pa.array([part])], names=["k", "row", "i", "run", "part"])
-
-    def fragments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.vocabulary(body)
-        for batch in batches:
-            ids = [own.fragment_ids(r, t) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists(ids)], names=["k", "row", "i", "run", "ids"])
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for lo, hi in cores.blocks(texts):
+                    part = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists([own.ids(t, leaf, pool) for t in texts[lo:hi]])], names=["k", "ids"])
 
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.vocabulary(body)
-        for batch in batches:
-            keys, done = [], []
-            for k, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                one = {f["i"]: (f["run"], f["ids"]) for f in found}  # repeated rows bring each fragment as often
-                copies = len(found) // len(one)
-                keys += [k] * copies
-                done += [bpe.assemble(own, [one[i] for i in sorted(one)])] * copies
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), lists(done)], names=["k", "ids"])
-
-    short = rows.where(~long).mapInArrow(whole, f"k {kind}, ids array<int>")
-    # a row's own name, stable if a task is run again: its key and text
-    parts = rows.where(long).select("k", F.xxhash64("k", "t").alias("row"), "t").mapInArrow(cut, f"k {kind}, row long, i int, run long, part string")
-    encoded = parts.repartition("k", "row", "i").mapInArrow(fragments, f"k {kind}, row long, i int, run long, ids array<int>")
-    grouped = encoded.groupBy("k", "row").agg(F.collect_list(F.struct("i", "run", "ids")).alias("found"))
-    joined = grouped.select("k", "found").mapInArrow(join, f"k {kind}, ids array<int>")
-    return short.unionByName(joined).select(F.col("k").alias(key), "ids")
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")

@@ -17,32 +17,43 @@ def test_counts_and_ids_equal_the_plain_encoding(text):
         assert list(own.ids(text, leaf)) == plain
 
 
-@pytest.mark.parametrize("unit", ["a", "ab", "你好", "é", "0", "=-", " ", "internationalization", "你 "])
-def test_long_unsplit_text(unit):
+@pytest.mark.parametrize("unit", ["a", "ab", "你好", "é", "0", "=-", " ", "internationalization", "你 ", "'s", "'re ", "a'", "\n\n ", "x\u0301"])
+@pytest.mark.parametrize("leaf", [5, 100, bpe.LEAF])
+def test_long_unsplit_text(unit, leaf):
     text = "x " + unit * (9000 // len(unit)) + "y"
     plain = own.encoding.encode_ordinary(text)
-    assert list(own.ids(text)) == plain
+    assert list(own.ids(text, leaf)) == plain
     assert own.count(text) == len(plain)
 
 
 @pytest.mark.parametrize("gap", ["\n\n", "\t\t", " \n", "\n ", "\n\n ", " ", "\n", "\n\n\n", "\u2003\n", "\x1c\n\n"])
-def test_white_space_before_a_cut_keeps_its_ids(gap):
-    long = f"foo.{gap}{'ab' * 3000}{gap}{'=' * 5000}{gap}end"
-    assert list(own.ids(long)) == own.encoding.encode_ordinary(long)
-    text = f"foo.{gap}abc{gap}12{gap}" * 5
-    plain = own.encoding.encode_ordinary(text)
-    for leaf in (1, 2, 4096):
-        for most in range(1, 24):
-            parts = [(run, own.fragment_ids(run, part)) for run, part in own.fragments(text, leaf, most)]
-            assert bpe.assemble(own, parts) == plain
+def test_white_space_at_a_cut_keeps_its_ids(gap):
+    for text in (f"foo.{gap}{'ab' * 3000}{gap}{'=' * 5000}{gap}end", f"foo.{gap}abc{gap}12{gap}" * 5, gap * 40 + "x" + gap * 40):
+        plain = own.encoding.encode_ordinary(text)
+        for leaf in (1, 2, 3, 10, 1000):
+            assert list(own.ids(text, leaf)) == plain
+
+
+def test_the_tree_is_balanced_where_there_are_seams():
+    text = "some words, 12 of them. " * 4000
+    sizes = [len(t) for joins, t in own.leaves(text, 2048) if not joins]
+    assert "".join(t for _, t in own.leaves(text, 2048)) == text
+    assert max(sizes) <= 2048 and min(sizes) > 500
+
 
+@pytest.mark.parametrize("size", [10_000, 100_000, 1_000_000])
+def test_the_query_encodes_unsplit_texts_exactly(spark, size, tmp_path):
+    from loomspan.llm import queries
 
-@pytest.mark.parametrize("gap", ["\n\n", "\t\t", " \n"])
-def test_encode_at_the_split_bound(spark, gap):
-    texts = ["x" * n + f".{gap}abc def" * 8 for n in range(90, 103)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode(df, split=100).collect())
-    assert got == [(i, own.encoding.encode_ordinary(t)) for i, t in enumerate(texts)]
+    texts = ["a" * size, "你好" * (size // 2), "ACGT" * (size // 4) + " end", "word " * (size // 5), "0" * (size // 10), " " * (size // 10), None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: list(r.ids) for r in queries.p6_ids(spark, str(tmp_path)).collect()}
+    # the plain encoder takes quadratic time on one endless pre-token: there, what was encoded must come back and be counted alike
+    for i, t in enumerate(texts):
+        if len(t or "") <= 100_000 or i == 3:
+            assert got[i] == own.encoding.encode_ordinary(t or "")
+        else:
+            assert own.encoding.decode(got[i]) == t and len(got[i]) == own.count(t)
 
 
 def test_empty_and_null_have_no_ids():
@@ -53,7 +64,7 @@ def test_empty_and_null_have_no_ids():
 def test_encode_splits_long_texts_and_keeps_repeated_rows(spark):
     rows = [(1, None, 9), (2, "", 9), (3, "word " * 50 + "x" * 400 + " end", 9), (3, "short", 9), (4, "你好" * 300, 9), (4, "你好" * 300, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, k int")
-    got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode(df, leaf=64, split=100).collect())
+    got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode(df, leaf=64).collect())
     plain = sorted((k, own.encoding.encode_ordinary(t or "")) for k, t, _ in rows)
     assert got == plain
 
@@ -65,3 +76,16 @@ def test_cube_totals(spark):
     assert rows[("a", "en", "q")] == (1, 2)
     assert rows[("b", "(all)", "(all)")] == (1, 0)
     assert tokens.budget_cube(tokens.token_counts(df.limit(0))).count() == 0
+
+
+def test_totals_of_a_whole_table_equal_the_plain_encoder(spark, data_dir):
+    from loomspan.llm import queries
+
+    rows = {r.corpus: r for r in queries.p4_token_cube(spark, data_dir).where("source = '(all)' and language = '(all)' and task = '(all)'").collect()}
+    texts = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("text").collect()]
+    assert rows["documents"].n_tokens == sum(len(own.encoding.encode_ordinary(t or "")) for t in texts)
+    assert rows["documents"].n_texts == len(texts)
+    samples = {r.id: r for r in sorted(spark.read.parquet(f"{data_dir}/minilongbench_tiny.parquet").collect(), key=lambda r: r.prepared_at)}
+    entries = [e.text or "" for r in samples.values() for e in r.documents or []]
+    assert rows["minilongbench_tiny"].n_tokens == sum(len(own.encoding.encode_ordinary(t)) for t in entries)
+    assert rows["minilongbench_tiny"].n_texts == len(entries)
