@@ -127,10 +127,12 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "text")
-    named = [r.subject for r in table(spark, d, "subjects").select("subject").distinct().orderBy("subject").limit(1000).collect()]
-    model = subjects.train(subjects.labelled_sample(documents, table(spark, d, "doc_labels"), named), named)
-    return subjects.assign(documents, model)
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    named = [r.subject for r in table(spark, d, "subjects").where("subject is not null").select("subject").distinct().orderBy("subject").limit(subjects.MOST_SUBJECTS + 1).collect()]
+    if len(named) > subjects.MOST_SUBJECTS:
+        raise ValueError(f"more than {subjects.MOST_SUBJECTS} subjects")
+    sample = subjects.labelled_sample(documents, table(spark, d, "doc_labels"), named)
+    return subjects.assign(documents, subjects.train(*sample, named, spread=subjects.spread_over(spark)))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,28 +1,36 @@
 """Subject areas of documents: one-versus-rest linear classifiers on hashed word n-grams.
 
-Labels are weak: some are wrong and they name a document's areas, not its sentences'. A
-first fit on whole documents gives each labelled document's sentences one of its areas, or
-none; the second fit is on those sentences. A document has an area if some passage has two
-sentences whose calibrated score reaches that area's threshold.
+Labels are weak: some are wrong, they name a document's areas, not its sentences', and some
+come from a document's source alone. A first fit on whole documents gives each labelled
+document's sentences one of its areas, or none; the second fit is on those sentences. A
+document has an area if some passage has two sentences whose calibrated score reaches that
+area's threshold, or a definition or comment of program code one. What a line looks like
+(a call, an assignment, a keyword) is a feature as words are; which area it speaks for is
+learned.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import checkpointed, ship_package
+from . import cores
 
-#: At most so many labelled documents are fitted on, in an order by hash.
-MOST_LABELLED = 5000
+#: At most so many labelled documents are fitted on, in an order by hash, and at most so many features of theirs (32 MB).
+MOST_LABELLED, MOST_FEATURES = 5000, 8_000_000
+#: At most so many subjects; more are an error, not left out.
+MOST_SUBJECTS = 1000
+#: A source labels its documents if this share of its labelled ones, and so many of them, have one subject.
+SOURCE_SHARE, SOURCE_KNOWN = 0.9, 20
 _BITS = 22
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 _LINE = re.compile(r"\s*(?:\r\n|\n|\r|</p>|<br\s*/?>)\s*", re.I)
@@ -47,33 +55,71 @@ _STATEMENT = re.compile(
     r".*\{$|[})\]]+[;,]?$|(?i:else|try|finally):$|(?i:if|elif|while)\b.*(?:[=!<>]=|[<>]|(?i:\bis none|\bin \w+)).*:$|(?i:for)\s+\w+(?:,\s*\w+)*\s+(?i:in)\s+[\w.()]+:$"
     r"|(?i:return)\s+(?:-?\d+|\w+(?:\.\w+)+|[\w.]*\(.*\)|\[.*\]|\w+,\s*\w+|\w+;);?$|(?:\w[\w<>\[\]]*\s+)?[\w.\[\]]+\s*(?::|[-+*/|&])?=(?!=)\s*\S|(?:[a-z_][\w.]*|[A-Z_][A-Z0-9_.]+)\([^()]*\);?$"
 )
+#: What a line may look like; a feature each.
+_SHAPES = {
+    "call": r"\w\([^()]*\)",
+    "member": r"\w\.\w+\(|\w\[\w*\]",
+    "assignment": r"[\w\]]\s*[-+*/|&:]?=(?!=)",
+    "comparison": r"[=!<>]=|->|=>",
+    "opening": r"[{:]\s*$",
+    "ending": r";\s*$",
+    "snake": r"\b[^\W_]+(?:_[^\W_]+)+\b",
+    "camel": r"\b[a-z]+[A-Z]\w+",
+    "keyword": r"(?i)^\s*(?:return|if|for|while|else|elif|try|import|from|def|class|func|public|private|static|int|self)\b",
+}
+_SHAPE = {name: re.compile(p) for name, p in _SHAPES.items()}
+#: A line without any of these has none of the shapes, defines nothing and is no comment.
+_HINT = re.compile(r"[{}=;_\[#]|\w\(|//|/\*|\"\"\"|\'\'\'|->|(?i:import|class|return|self|public|private|static|def|func)")
 #: Least gain of log-odds over the bias at which a sentence speaks for a subject.
 EVIDENCE = 1.0
 
 
-def passages(text: str | None) -> list[list[str]]:
-    """Sentences of each line of a text; lines without letters or digits are dropped."""
-    out = []
-    for line in _LINE.split(text or ""):
-        sentences = [s for s in _SENTENCE.split(line) if _WORD.search(s)]
-        if sentences:
-            out.append(sentences)
-    return out
+@dataclass
+class Unit:
+    """A sentence or a line of code, its shapes, and whether it counts alone."""
 
+    text: str
+    shapes: tuple[str, ...] = ()
+    alone: bool = False
 
-def is_code(text: str | None) -> bool:
-    """Some line defines or imports as program code does, or comments a statement beside it."""
-    text = _UNSEEN.sub("", _BREAK.sub("\n", text or ""))
-    return _CODE.search(text) is not None or _comments(text)
 
+def passages(text: str | None) -> list[list[Unit]]:
+    """The units of each line of a text; lines without letters or digits are dropped.
 
-def _comments(text: str) -> bool:
-    """Some comment line stands next to a statement; '#' before lines of prose is no comment."""
-    if not _COMMENT.search(text):
-        return False
-    lines = [x for x in (_MARKUP.sub("", line).strip() for line in text.split("\n")) if x]
-    told = [_COMMENT.match(x) is not None for x in lines]
-    return any(told[i] != told[i + 1] and _STATEMENT.match(lines[i + told[i]]) for i in range(len(lines) - 1))
+    A line that defines or imports as program code does, or a comment beside a statement,
+    is one unit that counts alone.
+    """
+    lines = _LINE.split(text or "")
+    hinted = [_HINT.search(line) is not None for line in lines]
+    told = _alone(lines) if any(hinted) else [""] * len(lines)
+    out = []
+    for line, hint, kind in zip(lines, hinted, told):
+        shapes: tuple[str, ...] = ()
+        if hint:
+            plain = _MARKUP.sub("", _UNSEEN.sub("", line))
+            shapes = tuple(n for n, p in _SHAPE.items() if p.search(plain))
+        if kind:
+            units = [Unit(line, (*shapes, kind), True)] if _WORD.search(line) else []
+        else:
+            units = [Unit(s, shapes) for s in _SENTENCE.split(line) if _WORD.search(s)]
+        if units:
+            out.append(units)
+    return out
+
+
+def _alone(lines: list[str]) -> list[str]:
+    """For each line "definition", "comment" (beside a statement; '#' before lines of prose is none) or an empty string."""
+    plain = [_UNSEEN.sub("", line) for line in lines]
+    bare = [_MARKUP.sub("", line).strip() for line in plain]
+    kept = [i for i, x in enumerate(bare) if x]
+    comment = [_COMMENT.match(bare[i]) is not None for i in kept]
+    out = ["definition" if _CODE.search(x) else "" for x in plain]
+    for j in range(len(kept) - 1):
+        i, k = kept[j], kept[j + 1]
+        if comment[j] != comment[j + 1] and _STATEMENT.match(bare[k] if comment[j] else bare[i]):
+            at = i if comment[j] else k
+            out[at] = out[at] or "comment"
+    return out
 
 
 @lru_cache(maxsize=1 << 18)
@@ -81,9 +127,9 @@ def _slot(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def features(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and word pairs of all sentences in a row, and each sentence's number of them."""
-    words = [[_slot(w) for w in _WORD.findall(s.lower())] for s in sentences]
+def features(units: list[Unit]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, word pairs and shapes of all units in a row, and each unit's number of them."""
+    words = [[_slot(w) for w in _WORD.findall(u.text.lower())] for u in units]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.fromiter((h for w in words for h in w), np.uint64, int(sizes.sum()))
     mask = np.uint64((1 << _BITS) - 1)
@@ -94,7 +140,46 @@ def features(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes) - 1
     keep = np.ones((len(flat), 2), bool)
     keep[ends[sizes > 0], 1] = False  # the last word of a sentence begins no pair
-    return both[keep], np.maximum(2 * sizes - 1, 0)
+    ids, sizes = both[keep], np.maximum(2 * sizes - 1, 0)
+    shapes = np.array([len(u.shapes) for u in units], np.int64)
+    if shapes.any():
+        slots = np.array([_slot(f"\0{x}") for u in units for x in u.shapes], np.int64) & ((1 << _BITS) - 1)
+        ids = np.insert(ids, np.repeat(np.cumsum(sizes), shapes), slots)
+    return ids, sizes + shapes
+
+
+@dataclass
+class Parsed:
+    """Texts as numbers: features of all units in a row, how many each unit has, which count alone, units of each passage, passages of each text."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    alone: np.ndarray
+    passages: np.ndarray
+    texts: np.ndarray
+
+    def units(self) -> np.ndarray:
+        """The number of units of each text."""
+        return _sums(self.passages[:, None].astype(float), self.texts)[:, 0].astype(np.int64)
+
+    def part(self, i: int) -> "Parsed":
+        """One text."""
+        p = slice(int(self.texts[:i].sum()), int(self.texts[: i + 1].sum()))
+        u = slice(int(self.passages[: p.start].sum()), int(self.passages[: p.stop].sum()))
+        f = slice(int(self.sizes[: u.start].sum()), int(self.sizes[: u.stop].sum()))
+        return Parsed(self.ids[f], self.sizes[u], self.alone[u], self.passages[p], self.texts[i : i + 1])
+
+
+def parsed(texts: list[str | None]) -> Parsed:
+    split = [passages(t) for t in texts]
+    units = [u for doc in split for p in doc for u in p]
+    ids, sizes = features(units)
+    return Parsed(ids, sizes, np.array([u.alone for u in units], bool), np.array([len(p) for doc in split for p in doc], np.int64), np.array([len(doc) for doc in split], np.int64))
+
+
+def joined(parts: list[Parsed]) -> Parsed:
+    none = [np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int64, np.int64)]
+    return Parsed(*(np.concatenate([empty, *(getattr(p, f) for p in parts)]) for f, empty in zip(("ids", "sizes", "alone", "passages", "texts"), none)))
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -127,31 +212,43 @@ def telling(ids: np.ndarray, owner: np.ndarray, targets: np.ndarray, known: int
     return places
 
 
-def fit(place: np.ndarray, row: np.ndarray, targets: np.ndarray, rounds: int = 15, rate: float = 0.5, shrink: float = 1e-2, scaled: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic one-versus-rest weights by place and biases, by adaptive gradient steps.
+@dataclass
+class Fit:
+    """Logistic weights by place and a bias for one target, by adaptive gradient steps."""
+
+    place: np.ndarray
+    row: np.ndarray
+    value: np.ndarray
+    rounds: int
+    rate: float
+    shrink: float
+
+    def __call__(self, target: np.ndarray) -> tuple[np.ndarray, float]:
+        n, width = len(target), int(self.place.max(initial=0)) + 1
+        own, bias, past, past_bias = np.zeros(width), -2.0, np.full(width, 1e-8), 1e-8
+        for _ in range(self.rounds):
+            found = np.bincount(self.row, own[self.place] * self.value, n) + bias
+            error = (1 / (1 + np.exp(-np.clip(found, -30, 30))) - target) / n
+            slope = np.bincount(self.place, error[self.row] * self.value, width) + self.shrink / n * own
+            past += slope**2
+            own -= self.rate * slope / np.sqrt(past)
+            slope = error.sum()
+            past_bias += slope**2
+            bias -= self.rate * slope / np.sqrt(past_bias)
+        own[0] = 0
+        return own, bias
+
+
+def fit(place: np.ndarray, row: np.ndarray, targets: np.ndarray, rounds: int = 15, rate: float = 0.5, shrink: float = 1e-2, scaled: bool = False, spread: Callable = map) -> tuple[np.ndarray, np.ndarray]:
+    """One-versus-rest weights by place and biases.
 
     ``place`` and ``row`` are the telling features and their examples, in order of the
     examples. ``scaled`` divides by the root of an example's number of them.
     """
-    n, classes = targets.shape
-    sizes = np.bincount(row, minlength=n)
-    value = (1 / np.sqrt(np.maximum(sizes, 1)) if scaled else np.ones(n))[row]
-    width = int(place.max(initial=0)) + 1
-    weights, biases = np.zeros((width, classes)), np.full(classes, -2.0)
-    for c in range(classes):
-        own, bias, past, past_bias = weights[:, c], -2.0, np.full(width, 1e-8), 1e-8
-        for _ in range(rounds):
-            found = np.bincount(row, own[place] * value, n) + bias
-            error = (1 / (1 + np.exp(-np.clip(found, -30, 30))) - targets[:, c]) / n
-            slope = np.bincount(place, error[row] * value, width) + shrink / n * own
-            past += slope**2
-            own -= rate * slope / np.sqrt(past)
-            slope = error.sum()
-            past_bias += slope**2
-            bias -= rate * slope / np.sqrt(past_bias)
-        biases[c] = bias
-    weights[0] = 0
-    return weights.astype(np.float32), biases
+    sizes = np.bincount(row, minlength=len(targets))
+    value = (1 / np.sqrt(np.maximum(sizes, 1)) if scaled else np.ones(len(targets)))[row]
+    done = list(spread(Fit(place, row, value, rounds, rate, shrink), targets.T))
+    return np.stack([w for w, _ in done], 1).astype(np.float32), np.array([b for _, b in done])
 
 
 def score(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -170,34 +267,29 @@ class Model:
     biases: np.ndarray
     thresholds: np.ndarray
 
-    def scores(self, sentences: list[str]) -> np.ndarray:
-        """The log-odds of each sentence for each subject."""
-        ids, sizes = features(sentences)
-        return score(ids, sizes, self.places, self.weights) + self.biases
+    def documents(self, texts: Parsed) -> np.ndarray:
+        """Each text's score for each subject: its best passage's second best unit nearby, or best unit that counts alone.
 
-    def documents(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's score for each subject: its best passage's second best sentence nearby.
-
-        A sentence speaks for the subject it scores highest on alone; program code speaks
-        for software as surely as anything can.
+        A unit speaks for the subject it scores highest on alone. An untrained model has no scores.
         """
-        split = [passages(t) for t in texts]
-        flat = [s for doc in split for p in doc for s in p]
-        out = np.full((len(texts), len(self.subjects)), -np.inf)
-        if flat:
-            raw = self.scores(flat)
-            best, at = raw.argmax(1), np.arange(len(raw))
-            own = np.full(raw.shape, -np.inf)
-            own[at, best] = np.where(raw[at, best] >= self.biases[best] + EVIDENCE, raw[at, best], -np.inf)
-            at = 0
-            for i, doc in enumerate(split):
-                for p in doc:
-                    out[i] = np.maximum(out[i], _second(own[at : at + len(p)]))
-                    at += len(p)
-        if "software" in self.subjects:
-            for i, t in enumerate(texts):
-                if t and is_code(t):
-                    out[i, self.subjects.index("software")] = np.inf
+        out = np.full((len(texts.texts), len(self.subjects)), -np.inf)
+        if not len(texts.sizes) or not self.subjects:
+            return out
+        raw = score(texts.ids, texts.sizes, self.places, self.weights) + self.biases
+        best, at = raw.argmax(1), np.arange(len(raw))
+        own = np.full(raw.shape, -np.inf)
+        own[at, best] = np.where(raw[at, best] >= self.biases[best] + EVIDENCE, raw[at, best], -np.inf)
+        spoke = np.isfinite(own[at, best])
+        at = passage = 0
+        for i, n in enumerate(texts.texts):
+            for size in texts.passages[passage : passage + n]:
+                if spoke[at : at + size].any():
+                    block = own[at : at + size]
+                    out[i] = np.maximum(out[i], _second(block))
+                    if texts.alone[at : at + size].any():
+                        out[i] = np.maximum(out[i], block[texts.alone[at : at + size]].max(0))
+                at += size
+            passage += n
         return out
 
 
@@ -209,35 +301,42 @@ def _second(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(labelled: list[tuple[str, list[str]]], subjects: list[str], held: int = 5) -> Model:
-    """A model from ``(text, subjects)`` pairs; every ``held``-th pair only sets the thresholds."""
-    texts = [t for t, _ in labelled]
-    truth = np.array([[s in named for s in subjects] for _, named in labelled], float).reshape(len(labelled), len(subjects))
-    rest = np.arange(len(texts)) % held == held - 1
+def train(texts: Parsed, named: list[list[str]], weak: list[bool], subjects: list[str], held: int = 5, spread: Callable = map) -> Model:
+    """A model from texts and the subjects of each; every ``held``-th text only sets the thresholds.
+
+    Texts with ``weak`` labels, which a source gave, are examples of the fits, but neither
+    decide which features tell something nor set thresholds. The fits of one round, one per subject, don't depend on each other: ``spread`` maps them.
+    """
+    truth = np.array([[s in own for s in subjects] for own in named], float).reshape(len(named), len(subjects))
+    sure = ~np.array(weak, bool)
+    rest = (np.arange(len(named)) % held == held - 1) & sure
     model = Model(subjects, np.zeros(1 << _BITS, np.int32), np.zeros((1, len(subjects)), np.float32), np.full(len(subjects), -1.0), np.zeros(len(subjects)))
-    chosen = np.flatnonzero(~rest)
-    sentences = [[s for p in passages(texts[i]) for s in p] for i in chosen]
-    flat = [s for own in sentences for s in own]
-    if not flat:
+    units = texts.units()
+    text = np.repeat(np.arange(len(named)), units)  # of each unit
+    unit = np.repeat(np.arange(len(text)), texts.sizes)  # of each feature
+    used = ~rest[text]
+    if not (used & sure[text]).any() or not truth[~rest].any():
         return model
-    ids, sizes = features(flat)
-    owner = np.repeat(np.arange(len(chosen)), [len(s) for s in sentences])
-    sentence = np.repeat(np.arange(len(flat)), sizes)
-    model.places = telling(ids, owner[sentence], truth[chosen])
+    number = np.cumsum(~rest) - 1
+    chosen = used[unit]
+    ids, owner = texts.ids[chosen], number[text[used]]
+    sentence = np.repeat(np.arange(int(used.sum())), texts.sizes[used])
+    asked = sure[~rest]
+    model.places = telling(ids[asked[owner[sentence]]], (np.cumsum(asked) - 1)[owner[sentence]][asked[owner[sentence]]], truth[~rest][asked])
     place = model.places[ids]
     sentence, place = sentence[place > 0], place[place > 0]
-    counts = np.bincount(sentence, minlength=len(flat))
-    model.weights, _ = fit(place, owner[sentence], truth[chosen], scaled=True)
-    at = np.arange(len(flat))
-    allowed = truth[chosen][owner] > 0
+    counts = np.bincount(sentence, minlength=len(owner))
+    model.weights, _ = fit(place, owner[sentence], truth[~rest], scaled=True, spread=spread)
+    at = np.arange(len(owner))
+    allowed = truth[~rest][owner] > 0
     for _ in range(2):
         raw = _sums(model.weights[place], counts)
         best = np.where(allowed, raw, -np.inf).argmax(1)
-        sure = allowed.any(1) & (raw[at, best] > 0) & (raw[at, best] >= raw.max(1))
+        clear = allowed.any(1) & (raw[at, best] > 0) & (raw[at, best] >= raw.max(1))
         targets = np.zeros_like(raw)
-        targets[at[sure], best[sure]] = 1
-        model.weights, model.biases = fit(place, sentence, targets)
-    scores = model.documents([texts[i] for i in np.flatnonzero(rest)])
+        targets[at[clear], best[clear]] = 1
+        model.weights, model.biases = fit(place, sentence, targets, spread=spread)
+    scores = model.documents(joined([texts.part(i) for i in np.flatnonzero(rest)]))
     for c in range(len(subjects)):
         model.thresholds[c] = calibrate(scores[:, c], truth[rest][:, c] > 0)
     return model
@@ -259,13 +358,81 @@ def calibrate(scores: np.ndarray, truth: np.ndarray) -> float:
     return float(np.clip(middle, -4.0, 2.0))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = MOST_LABELLED) -> list[tuple[str, list[str]]]:
-    """At most ``most`` documents with all labels given to them, chosen by hash of their ids."""
-    named = labels.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+def source_labels(documents: DataFrame, labels: DataFrame, share: float = SOURCE_SHARE, known: int = SOURCE_KNOWN) -> DataFrame:
+    """``doc_id, subject``: labels of unlabelled documents by their source alone.
+
+    Of a source's labelled documents, ``known`` or more, at least ``share`` must have the
+    subject. Null sources label nothing. ``labels`` has distinct rows.
+    """
+    placed = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("source")).alias("source")).where("source is not null").distinct()
+    told = placed.join(labels, "doc_id")
+    totals = told.groupBy("source").agg(F.countDistinct("doc_id").alias("n"))
+    rules = told.groupBy("source", "subject").agg(F.countDistinct("doc_id").alias("hits")).join(totals, "source").where((F.col("n") >= known) & (F.col("hits") >= share * F.col("n")))
+    return placed.join(rules.select("source", "subject"), "source").join(labels.select("doc_id").distinct(), "doc_id", "leftanti").select("doc_id", "subject")
+
+
+_FEATURES = "ids array<int>, sizes array<int>, alone array<boolean>, passages array<int>"
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = MOST_LABELLED, features: int = MOST_FEATURES) -> tuple[Parsed, list[list[str]], list[bool]]:
+    """At most ``most`` documents with all labels given to them, as numbers, chosen by hash of their ids, and whether the labels are a source's.
+
+    No text leaves its task, and at most ``features`` numbers do: whole documents in order
+    of the hash, the first of which always. Where ``documents`` has a source, it labels too.
+    """
+    ship_package(documents.sparkSession)
+    labels = labels.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).select("doc_id", "subject").distinct()
+    if "source" in documents.columns:
+        weak = source_labels(documents, labels).withColumn("weak", F.lit(True))
+        labels = labels.withColumn("weak", F.lit(False)).unionByName(weak)
+    else:
+        labels = labels.withColumn("weak", F.lit(False))
+    named = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"), F.max("weak").alias("weak"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                own = parsed([text])
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int32())
+                lists = [pa.array([x.tolist()], pa.list_(k)) for x, k in zip((own.ids, own.sizes, own.alone, own.passages), kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(3)), *lists], names=["at", "subjects", "weak", "ids", "sizes", "alone", "passages"])
+
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # bounded by ``most``
-    return [(r.text, r.subjects) for r in sorted(rows, key=lambda r: (crc32(str(r.doc_id).encode()), r.text))]
+    # of a repeated id one text, the same in any run
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("subjects").alias("subjects"), F.first("weak").alias("weak"))
+    rows = checkpointed(rows.select(F.xxhash64("doc_id").alias("at"), "subjects", "weak", "text").mapInArrow(run, f"at long, subjects array<string>, weak boolean, {_FEATURES}"))
+    total, last = 0, None
+    for r in rows.select("at", F.size("ids").alias("n")).orderBy("at").collect():  # at most ``most`` rows of two numbers
+        total += r.n
+        if last is not None and total > features:
+            break
+        last = r.at
+    kept = [] if last is None else rows.where(F.col("at") <= last).orderBy("at").toArrow().to_pylist()
+    parts = [Parsed(*(np.array(r[c], t) for c, t in (("ids", np.int64), ("sizes", np.int64), ("alone", bool), ("passages", np.int64))), np.array([len(r["passages"])])) for r in kept]
+    return joined(parts), [r["subjects"] for r in kept], [r["weak"] for r in kept]
+
+
+def spread_over(spark: SparkSession) -> Callable:
+    """A map over the executors, for functions of one array that return an array and a number; one task per argument."""
+
+    def run(f: Callable, arrays: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, float]]:
+        ship_package(spark)
+        shared = spark.sparkContext.broadcast((f, list(arrays)))
+        count = len(shared.value[1])
+
+        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    own, arguments = shared.value
+                    weights, bias = own(arguments[i])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["i", "w", "b"])
+
+        found = spark.range(0, count, 1, count).mapInArrow(work, "i long, w binary, b double").collect()
+        for r in sorted(found, key=lambda r: r.i):
+            yield np.frombuffer(bytes(r.w)), r.b
+
+    return run
 
 
 def assign(documents: DataFrame, model: Model) -> DataFrame:
@@ -276,15 +443,17 @@ def assign(documents: DataFrame, model: Model) -> DataFrame:
     """
     ship_package(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(model.subjects)
+        own = shared.value
+        names = np.array(own.subjects)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                scores = model.documents(part.column(1).to_pylist())
-                doc, subject = np.nonzero(scores >= model.thresholds)
-                picked = part.column(0).take(pa.array(doc))
+            texts = batch.column(1).to_pylist()
+            for lo, hi in cores.blocks(texts):
+                scores = own.documents(parsed(texts[lo:hi]))
+                doc, subject = np.nonzero((scores >= own.thresholds) & np.isfinite(scores))
+                picked = batch.column(0).slice(lo, hi - lo).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([picked, pa.array(names[subject].tolist(), pa.string()), pa.array(np.clip(scores[doc, subject], -99, 99))], names=["doc_id", "subject", "score"])
 
     return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, f"doc_id {kind}, subject string, score double")

@@ -304,15 +304,34 @@ def test_subjects_on_held_out_documents(spark):
     labels = [(i, c if rng.random() > 0.05 else rng.choice(names), "ann") for i, _, cs in docs[:300] for c in cs]
     extra = [(1000, None), (1001, " "), (1002, "Back to top. Menu."), (1003, topical(rng, "law", 4) + " " + topical(rng, "sport", 1)), (1004, "def run(x):\n    return x\n"), (1000, None)]
     d = spark.createDataFrame([(i, t, "x") for i, t, _ in docs] + [(i, t, "x") for i, t in extra], "doc_id long, text string, subject string")
-    model = subjects.train(subjects.labelled_sample(d, spark.createDataFrame(labels + labels[:9] + [(None, "law", "a"), (5, None, "a"), (6, "other", "a")], "doc_id long, subject string, annotator string"), names), names)
+    code = [(2000 + i, f"def {rng.choice(TOPICS['software'])}_{i}(x):\n    # The {rng.choice(TOPICS['software'])} was kept.\n    return x + {i}\n", "x") for i in range(40)]
+    d = d.unionByName(spark.createDataFrame(code, "doc_id long, text string, subject string"))
+    labels += [(i, "software", "ann") for i, _, _ in code]
+    told = spark.createDataFrame(labels + labels[:9] + [(None, "law", "a"), (5, None, "a"), (6, "other", "a")], "doc_id long, subject string, annotator string")
+    sample = subjects.labelled_sample(d, told, names)
+    assert len(sample[1]) == 340
+    model = subjects.train(*sample, names)
+    spread = subjects.train(*sample, names, spread=subjects.spread_over(spark))
+    assert np.array_equal(model.weights, spread.weights) and np.array_equal(model.thresholds, spread.thresholds)
     found = {}
     for r in subjects.assign(d, model).collect():
         found.setdefault(r.doc_id, set()).add(r.subject)
     right = sum(found.get(i, set()) == set(cs) for i, _, cs in docs[300:])
     assert right >= 95
     assert not {1000, 1001, 1002} & set(found) and found[1003] == {"law"} and found[1004] == {"software"}
-    untrained = subjects.train([], names)
-    assert {r.subject for r in subjects.assign(d, untrained).collect()} <= {"software"}
+    untrained = subjects.train(*subjects.labelled_sample(d, told.limit(0), names), names)
+    assert subjects.assign(d, untrained).count() == 0
+    assert len(subjects.labelled_sample(d, told, names, most=7)[1]) == 7
+    few = subjects.labelled_sample(d, told, names, features=500)
+    assert 1 <= len(few[1]) < 10 and len(few[0].ids) <= 500
+
+
+def test_a_source_of_one_subject_labels_its_other_documents(spark):
+    rows = [(i, "Code_A " if i % 2 else "code_a", "x") for i in range(30)] + [(100 + i, "mixed", "x") for i in range(30)] + [(200, None, "x"), (None, "code_a", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    labels = spark.createDataFrame([(i, "software") for i in range(24)] + [(100 + i, "law" if i % 2 else "sport") for i in range(25)], "doc_id long, subject string")
+    assert sorted(tuple(r) for r in subjects.source_labels(d, labels).collect()) == [(i, "software") for i in range(24, 30)]
+    assert [w for _, w in sorted(zip(*subjects.labelled_sample(d, labels, ["law", "software", "sport"])[1:], strict=True), key=lambda x: x[1])].count(True) == 6
 
 
 GO = "func Sum(a []string) (int, error) {\n\treturn 0, nil\n}\n"
@@ -320,12 +339,12 @@ GO = "func Sum(a []string) (int, error) {\n\treturn 0, nil\n}\n"
 
 @pytest.mark.parametrize("code", [GO.upper(), f"<p>{GO}</p>", f'<div class="x"> <pre>{GO}', "IMPORT OS.PATH\n", "CLASS PARSER:\n    PASS", "a\rdef run(x):\r    return x", "fu\u200bnc Sum(a int) {", "Back to top  public static int sum(int[] a) {\n  // Adds all of them up.\n  int total = 7;", "# Adds all of them.\ntotal = add(a, b)", "if a == 4 {\n\t// Fails early.\n\treturn 0, bad\n}", "/* Frees it. */\n}"])
 def test_code_in_any_case_behind_markup_and_by_its_comments(code):
-    assert subjects.is_code(code)
+    assert any(u.alone and u.shapes for p in subjects.passages(code) for u in p)
 
 
 @pytest.mark.parametrize("prose", [None, "", "# Trees\nFor example:\nOaks.", "The court sat;\n# the judge, who was late,\n# left.", "From London import taxes fell.", "Function f(x) rises.", "# Menu\nReturn to top", "Class action:\n", "Public law(s) apply.", "see http://a.b/c\n// \nand so on", "# A\nWith thanks to:"])
 def test_prose_is_no_code(prose):
-    assert not subjects.is_code(prose)
+    assert not any(u.alone for p in subjects.passages(prose) for u in p)
 
 
 def test_two_sentences_count_up_to_reach_apart():
