@@ -119,7 +119,13 @@ def cut_kind(kinds: Column) -> Column:
 
 
 def exploded(cut_items: DataFrame) -> DataFrame:
-    """One row per piece: piece, piece_start, piece_end, kind."""
-    zipped = F.posexplode(F.arrays_zip("starts", "ends", "kinds")).alias("piece", "p")
+    """One row per piece: piece, piece_start, piece_end, overlap, kind.
+
+    overlap is how much the piece repeats of the one before it: what was asked for, or less
+    where a boundary lay beyond the free length.
+    """
+    before = F.concat(F.slice("starts", 1, 1), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))))
+    zipped = F.posexplode(F.arrays_zip("starts", "ends", "kinds", before.alias("before"))).alias("piece", "p")
     others = [c for c in cut_items.columns if c not in ("starts", "ends", "kinds")]
-    return cut_items.select(*others, zipped).select(*others, "piece", F.col("p.starts").alias("piece_start"), F.col("p.ends").alias("piece_end"), F.col("p.kinds").alias("kind"))
+    start, end = F.col("p.starts").alias("piece_start"), F.col("p.ends").alias("piece_end")
+    return cut_items.select(*others, zipped).select(*others, "piece", start, end, (F.col("p.before") - F.col("p.starts")).alias("overlap"), F.col("p.kinds").alias("kind"))

@@ -59,9 +59,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """The offsets of the pieces of each oversized item."""
-    once = _oversized(spark, d).dropDuplicates(["source_table", "sample_id", "item_id"])
-    return pieces.exploded(once).select("source_table", "sample_id", "item_id", "piece", (F.col("base") + F.col("piece_start")).alias("offset_start"), (F.col("base") + F.col("piece_end")).alias("offset_end"), "kind")
+    """The offsets of the pieces of each oversized item, and what each repeats of the one before.
+
+    Of repeated items that differ the one with the greatest pieces in order is kept.
+    """
+    once = _oversized(spark, d).groupBy("source_table", "sample_id", "item_id").agg(F.max(F.struct("base", "starts", "ends", "kinds")).alias("r")).select("source_table", "sample_id", "item_id", "r.*")
+    return pieces.exploded(once).select("source_table", "sample_id", "item_id", "piece", (F.col("base") + F.col("piece_start")).alias("offset_start"), (F.col("base") + F.col("piece_end")).alias("offset_end"), "overlap", "kind")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,15 +118,22 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+#: Share of an item that a document must hold for a row of p7_leaks; p7_found takes any run.
+LEAST_COVERAGE = 0.25
+
+
+def _leaked(spark: SparkSession, d: str, least: float) -> DataFrame:
+    return leaks.leaked(leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")), least)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a run of an evaluation item's passage or question."""
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+    return _leaked(spark, d, 0.0).select("doc_id", "item_id").distinct()
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each item's passage and question each document holds, and in what order."""
-    measured = leaks.leaked(leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
-    return measured.select("doc_id", "item_id", "part", "longest", "tiles", "covered", "coverage", "verdict")
+    """How much of each item's passage and question each document holds, and in what order, where tiles cover a quarter or more."""
+    return _leaked(spark, d, LEAST_COVERAGE).select("doc_id", "item_id", "part", "longest", "tiles", "covered", "coverage", "verdict")
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures with all kinds of dirt."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -192,6 +193,14 @@ def test_short_texts_are_forced_only_by_a_stretch_over_the_limit():
                     assert all(0 <= e - a <= overlap for a, e in zip(starts[1:], ends)), (t, limit, overlap)
 
 
+def test_pieces_tell_their_overlap(spark):
+    df = spark.createDataFrame([("a", "word " * 500, 1000), ("b", "x" * 2500, 1000), ("c", "short", 1000)], "item_id string, text string, limit int").withColumn("size", F.lit(None).cast("int"))
+    rows = pieces.exploded(pieces.pieces(df)).orderBy("item_id", "piece").collect()
+    for before, r in zip([None, *rows], rows):
+        assert r.overlap == (0 if r.piece == 0 else before.piece_end - r.piece_start)
+    assert {r.item_id for r in rows} == {"a", "b"} and all(r.overlap <= 64 for r in rows)
+
+
 def test_an_edit_changes_only_pieces_near_it():
     rng = random.Random(5)
     t = text(rng, 3000)
@@ -278,6 +287,40 @@ def test_leaks_equal_brute_force(spark, most):
     assert leaks.leaks(d, e.limit(0), most).count() == leaks.leaks(d.limit(0), e, most).count() == 0
 
 
+@given(st.text(st.sampled_from("ab"), max_size=80), st.text(st.sampled_from("ab"), max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_tiles_by_length_cover_what_tiles_by_run_do(x, y):
+    a, b = cores.code_points(x + y[:20]), cores.code_points(y + x[5:30])
+    found = [leaks.tiles(a, b, 4), leaks.tiles(a, b, 4, most=0)]
+    for tiled in found:
+        for start in (0, 1):
+            places = [i for t in tiled for i in range(t[start], t[start] + t[2])]
+            assert len(places) == len(set(places))
+        assert all(np.array_equal(a[p : p + n], b[q : q + n]) for p, q, n in tiled)
+    assert [max((t[2] for t in tiled), default=0) for tiled in found] == [max((t[2] for t in found[0]), default=0)] * 2
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "abcde"])
+def test_repetitive_texts_are_tiled_in_linear_time(unit):
+    points = cores.code_points((unit * 100_000)[:100_000])
+    began = time.monotonic()
+    assert leaks.tiles(points, points, 20) == [(0, 0, 100_000)]
+    assert time.monotonic() - began < 1
+
+
+def test_coverage_decides_which_leaks_are_kept(spark):
+    rng = random.Random(10)
+    whole = text(rng, 60)
+    words = whole.split(" ")
+    mixed = " ".join(" ".join(words[i : i + 12]) + " zz" for i in (48, 0, 24, 12, 36))
+    docs = [(1, whole), (2, mixed), (3, "x " + " ".join(words[:12]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(1, "en", None, whole)], "item_id long, lang string, question string, passage string")
+    measured = leaks.leaks(d, e)
+    assert {r.doc_id: r.verdict for r in leaks.leaked(measured).collect()} == {1: "full", 2: "reordered", 3: "part"}
+    assert {r.doc_id for r in leaks.leaked(measured, 0.5).collect()} == {1, 2}
+
+
 def test_tiles_catch_a_reordered_passage():
     rng = random.Random(9)
     a, b = cores.core_text(text(rng, 20)), cores.core_text(text(rng, 20))
