@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+from . import languages
+
 ORDER = ("empty", "copied_question", "refusal", "wrong_language", "truncated")
 
 _TAG = r"(?is)^[\s\p{Cf}]*<?/?\s*(?:final|search|answer)\s*>|<?\s*/?\s*(?:final|search|answer)\s*>?[\s\p{Cf}]*$"
@@ -25,42 +30,47 @@ PLACEHOLDERS = (
 #: Answers of one word to a question of yes or no, as cores.
 AGREEMENTS = "yes no true false ja nein oui non sí si 是 是的 否 不是 不是的 对 对的 不对 没有 有 有的 不是".split()
 
-#: Phrases by which a writer declines or says that they cannot answer. Reports
-#: of someone else's refusal ("X declined to answer ...") are none.
+#: How a writer declines or says that they cannot answer, in the first person or without one.
+#: Reports of someone else's refusal ("X declined to answer", "said it could not be told") are none.
+_REPORTED = r"(?<!\b(?:said|says|say|claimed|claims|added|noted|wrote|stated|argued|thought|explained|held|felt) (?:that )?)"
+_UNSURE = r"(?:answer|answered|settle|settled|say|said|tell|told|determine|determined|resolve|resolved|know|known|establish|established|decide|decided|help|assist|respond|comment|provide|give|given|offer)"
 REFUSALS = {
     "en": (
-        r"\b(?:i|we) (?:am|are|was|were)? ?(?:not able|unable|not in a position|not allowed|not permitted)\b",
-        r"\bi'm (?:not able|unable|afraid i|not in a position|not allowed|not permitted)\b",
-        r"\b(?:i|we) (?:just |really |simply )?(?:cannot|can't|can not|could not|couldn't|won't|will not|do not know|don't know|must decline|must refuse|decline to|refuse to|have to (?:decline|pass|refuse)|would rather not|would prefer not)\b",
-        r"\b(?:i'd|we'd) (?:rather|prefer) not\b",
-        r"^(?:i'm |i am |we are |we're )?(?:sorry|apologies|my apologies)\b[,;.!]",
-        r"^(?:i'm|i am) sorry\b",
+        r"\b(?:i|we) (?:am|are|was|were)? ?(?:\p{L}+ )?(?:not able|unable|not in a position|not allowed|not permitted|not willing|unwilling|not going)\b",
+        r"\b(?:i'm|we're) (?:\p{L}+ )?(?:not able|unable|afraid (?:i|we|that)|not in a position|not allowed|not permitted|not willing|unwilling|not going|not sure)\b",
+        r"\b(?:i|we) (?:\p{L}+ ){0,2}(?:cannot|can't|can not|could not|couldn't|won't|will not|do not know|don't know|have no idea|have no way|lack the|must decline|must refuse|must pass|decline|refuse|have to (?:decline|pass|refuse)|would rather not|would prefer not)\b",
+        r"\b(?:i'd|we'd|i'll|we'll) (?:\p{L}+ )?(?:rather not|prefer not|have to (?:decline|pass|refuse))\b",
+        r"^(?:i'm |i am |we are |we're )?(?:very |so |truly )?(?:sorry|apologies|my apologies)\b[,;.!]",
+        r"^(?:i'm|i am|we are|we're) (?:very |so |truly )?sorry\b",
+        r"^(?:i|we) apologi[sz]e\b",
         r"\bas an? (?:ai|large|language|ai language|large language)[ -]?(?:language )?(?:model|assistant)\b",
-        r"\bbeyond what i can\b",
-        r"\bimpossible (?:for me )?to (?:say|tell|answer|determine)\b",
-        r"\bwould be guesswork\b",
-        r"\bno answer can be given\b",
-        r"\bnothing i can (?:say|tell|add)\b",
-        r"\b(?:question|this|it|that) (?:cannot|can't|can not|could not) be (?:settled|answered|determined|resolved)\b(?! before)",
-        r"\bunable to (?:answer|help|assist|determine|respond)\b",
+        r"\b(?:beyond|outside) (?:what (?:i|we) (?:can|could|am|are|know)|(?:my|our) (?:knowledge|abilit\p{L}+|capabilit\p{L}+|scope|reach|remit|power))\b",
+        rf"{_REPORTED}\bimpossible (?:for (?:me|us) )?to {_UNSURE}\b",
+        r"\b(?:(?:would|could|can) (?:only |just |merely )?be|is|am|i'd be|be) (?:only |just |mere |pure |merely )?(?:guesswork|guessing|speculation|speculating)\b",
+        r"\bno (?:clear |definite |reliable |useful )?(?:answer|reply|response|statement) (?:can|could|will|is) (?:be )?(?:given|made|offered|provided|possible)\b",
+        r"\bnothing (?:i|we) (?:can|could) (?:\p{L}+)\b",
+        rf"{_REPORTED}\b(?:question|request|this|it|that) (?:cannot|can't|can not|could not|couldn't) (?:\p{{L}}+ )?be {_UNSURE}\b",
+        rf"\bunable to {_UNSURE}\b",
+        r"\b(?:not|insufficient|too little|no) (?:enough )?(?:information|evidence|context|data)\b.{0,30}\bto (?:answer|say|tell|determine|decide)\b",
     ),
     "de": (
         r"\bsprachmodell\b",
-        r"^(?:tut mir leid|es tut mir leid|entschuldigung|verzeihung|ich bedaure|bedaure)\b",
+        r"^(?:tut mir leid|es tut mir leid|entschuldigung|entschuldigen sie|verzeihung|ich bedaure|bedaure|bedauerlicherweise (?:kann|muss|ist|darf))\b",
         r"^leider (?:kann|muss|ist|darf|lässt|können|weiß|fehlen)\b",
-        r"\b(?:kann|darf|möchte|will|werde) ich (?:\p{L}+ ){0,4}(?:nichts?|keine)\b",
-        r"\bich (?:kann|darf|möchte|will|werde|weiß) (?:\p{L}+ ){0,5}(?:nichts?|keine)\b",
-        r"\bmuss ich (?:hier |leider |da )?(?:passen|ablehnen)\b",
-        r"\bmir (?:\p{L}+ )?keine auskunft möglich\b",
-        r"\blässt sich (?:\p{L}+ ){0,4}nicht (?:klären|beantworten|sagen|feststellen)\b",
+        r"\b(?:kann|darf|möchte|will|werde) (?:ich|wir) (?:\p{L}+ ){0,4}(?:nichts?|keine)\b",
+        r"\b(?:ich|wir) (?:kann|darf|möchte|will|werde|weiß|können|dürfen|möchten|wissen) (?:\p{L}+ ){0,5}(?:nichts?|keine)\b",
+        r"\bmuss ich (?:\p{L}+ ){0,3}(?:passen|ablehnen|verzichten)\b",
+        r"\bich (?:muss|möchte) (?:\p{L}+ ){0,3}(?:passen|ablehnen|verzichten)\b",
+        r"\bmir (?:\p{L}+ ){0,3}(?:keine auskunft|keine antwort|nicht) (?:möglich|bekannt)\b",
+        r"\blässt sich (?:\p{L}+ ){0,4}nicht (?:klären|beantworten|sagen|feststellen|bestimmen)\b",
         r"\bkeine (?:antwort|auskunft|aussage) (?:möglich|geben)\b",
     ),
     "zh": (
         r"^(?:很|非常|十分)?(?:抱歉|对不起|不好意思|遗憾)",
         r"语言模型",
-        r"我(?:也|还|暂时|目前|实在)?(?:无法|不能|不便|没法|没有办法|不会|拒绝|不予|不愿)",
+        r"我(?:也|还|暂时|目前|实在)?(?:无法|不能|不便|没法|没有办法|不会|拒绝|不予|不愿|不知道|不清楚)",
         r"恕(?:难|我|不)",
-        r"无从(?:回答|作答|得知|判断)",
+        r"无从(?:回答|作答|得知|判断|知晓)",
         r"没有办法(?:给出|回答|确定|判断)",
         r"超出了?我",
         r"无法(?:回答|作答|给出|确定|提供|判断)(?:这|该|此|答|结|任|相|，|。|$)",
@@ -73,17 +83,6 @@ REFUSALS = {
     ),
 }
 
-#: Frequent function words by language.
-FUNCTION_WORDS = {
-    "en": "the of and was were by with that to for is at from it this which did does do how what who in on as an be been had has have when after before their its not or about according no few more than into near once left ones most".split(),
-    "de": "der die das und wurde wurden im in hat haben bei zu von mit dass wie wer was den dem des ein eine einer einem für als aus ist sind war auf nach nicht sich über ging zum zur am um vor dazu weitere welchem laut gehört sondern so".split(),
-    "fr": "le la les des et du de que par dans selon ce cette avec une un est pour sur en au aux qui il elle a été dont son ses plus ne pas autres l d".split(),
-    "es": "el la los las de del en que y por con una un se al según para es fue su sus como más no lo otros hay".split(),
-    "it": "il lo la gli le di del della che e per con una un nel nella secondo è fu ha si da al dei sono altri".split(),
-    "pt": "o a os as de do da dos das em no na que e por com uma um se ao segundo foi para mais não outros".split(),
-    "nl": "de het een en van in op dat die met voor werd is door bij volgens niet aan te heeft er nog andere".split(),
-}
-
 
 def core(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{Nd}]", "")
@@ -128,7 +127,7 @@ def is_copy(answer: Column, a: Column, q: Column) -> Column:
     """
     n, m = F.length(q), F.length(a)
     slack = F.greatest(F.lit(2), F.floor(n * 0.2)).cast("int")
-    near = lambda x, y, d: F.levenshtein(x, y) <= d
+    near = lambda x, y, d: F.call_function("levenshtein", x, y, d) >= 0  # noqa: E731  # of the matrix only a band of that width; -1 beyond
     alone = (F.abs(n - m) <= slack) & near(a, q, slack)
     opened = (m > n) & (m - n <= 40) & near(F.right(a, n), q, (n * 0.1).cast("int"))
     twice = (F.abs(m - 2 * n) <= 2 * slack) & near(a, F.concat(q, q), 2 * slack)
@@ -140,46 +139,6 @@ def is_copy(answer: Column, a: Column, q: Column) -> Column:
     return F.coalesce((n >= 6) & (m >= n - slack) & (m <= F.greatest(n + 40, 2 * n + 2 * slack)) & (twice | ((alone | opened) & ~more)), F.lit(False))
 
 
-def _quoted_out(c: Column) -> Column:
-    return F.regexp_replace(c, "“[^”]*”|\"[^\"]*\"|`[^`]*`|「[^」]*」|《[^》]*》|[A-Za-z_]+_[A-Za-z_0-9]+(?:\\([^)]*\\))?", " ")
-
-
-def _hits(words: Column, known: list[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*known)))
-
-
-_SCRIPTS = {"ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "ko": r"\p{IsHangul}", "el": r"\p{IsGreek}", "he": r"\p{IsHebrew}", "hi": r"\p{IsDevanagari}", "th": r"\p{IsThai}"}
-
-
-def with_language(df: DataFrame, text: str, out: str, least: int = 2) -> DataFrame:
-    """Adds the language of a sentence, or null if it is too short or unclear to tell.
-
-    By script, names (capitalised words) and quotations aside, then by ``least`` or more
-    function words. Each step is a projection of its own, so nothing is computed twice.
-    """
-    df = df.withColumn("_plain", _quoted_out(F.coalesce(F.col(text), F.lit(""))))
-    plain = F.col("_plain")
-    df = df.withColumns(
-        {
-            "_han": F.regexp_count(plain, F.lit(r"\p{IsHan}")),
-            "_kana": F.regexp_count(plain, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")),
-            "_small": F.length(F.array_join(F.regexp_extract_all(plain, F.lit(r"(?<![\p{L}\p{N}])\p{Ll}[\p{Ll}']*"), F.lit(0)), "")),
-            "_words": F.regexp_extract_all(F.lower(plain), F.lit(r"\p{IsLatin}+"), F.lit(0)),
-            "_rest": F.regexp_replace(plain, r"[\p{IsLatin}\p{IsHan}\P{L}]", ""),
-        }
-    )
-    votes = [F.struct(_hits(F.col("_words"), known).alias("n"), F.lit(name).alias("k")) for name, known in FUNCTION_WORDS.items()]
-    df = df.withColumn("_votes", F.sort_array(F.array(*votes), asc=False))
-    best, second = F.col("_votes")[0], F.col("_votes")[1]
-    small, marks = F.col("_small"), F.col("_han") + F.col("_kana")
-    found = F.when((F.col("_kana") >= 3) & (3 * marks > small), "ja").when((F.col("_han") >= 5) & (3 * F.col("_han") > small), "zh")
-    for name, script in _SCRIPTS.items():
-        n = F.regexp_count(F.col("_rest"), F.lit(script))
-        found = found.when((F.length("_rest") >= 8) & (n >= 8) & (n > small), name)
-    found = found.when((best["n"] >= least) & (best["n"] > second["n"]), best["k"])
-    return df.withColumn(out, found).drop("_plain", "_han", "_kana", "_small", "_words", "_rest", "_votes")
-
-
 _BRACKETS = ((r"\(|（", r"\)|）"), (r"\[|【", r"\]|】"), (r"\{", r"\}"), ("“", "”"), ("「", "」"), ("《", "》"))
 
 
@@ -212,23 +171,46 @@ def defects(pairs: DataFrame) -> DataFrame:
 
     An empty answer has only that defect, and a search request no other. A null question
     triggers neither a copy nor a wrong language. The answer's tags are no part of it.
-    Every step is a projection of its own, which the next ones read: nothing is inlined twice.
+    Rules on text are expressions, each step a projection of its own; languages are told
+    in batches, after which no filter can move the rules into itself.
     """
+    ship_package(pairs.sparkSession)
     df = pairs.withColumn("_own", without_tags(F.col("answer")))
     df = df.withColumn("_own", strip(_introduced(F.col("_own"))))
     df = df.withColumns({"_a": core(F.col("_own")), "_q": core(_introduced(F.col("question"))), "_lower": F.regexp_replace(F.lower("_own"), "[’`]", "'")})
-    df = with_truncated(with_language(with_language(df, "_own", "_spoken", 3), "question", "_asked", 1), "_own", "_truncated")
-    tests = {
+    df = with_truncated(df, "_own", "_truncated")
+    flags = {
+        "_empty": is_empty(F.col("_a")),
+        "_search": is_search(F.col("answer")),
         "copied_question": is_copy(F.col("_own"), F.col("_a"), F.col("_q")),
         "refusal": is_refusal(F.col("_lower")),
-        "wrong_language": F.coalesce(F.col("_spoken") != F.col("_asked"), F.lit(False)),
         # a question without its mark, and then a short answer, has no end either
         "truncated": F.col("_truncated") & ~F.coalesce((F.length("_q") >= 6) & F.startswith("_a", "_q") & (F.length("_a") - F.length("_q")).between(1, 12), F.lit(False)),
     }
-    df = df.withColumn("_search", is_search(F.col("answer")))
-    others = F.filter(F.array(*(F.when(tests[k], k) for k in ORDER[1:])), lambda x: x.isNotNull())
-    found = F.when(is_empty(F.col("_a")), F.array(F.lit("empty"))).when(F.col("_search"), F.array().cast("array<string>")).otherwise(others)
-    # always true, but not deterministic to the optimizer: a filter on the result isn't moved
-    # below the steps, where every rule would be inlined into it over and over
-    kept = F.when(F.monotonically_increasing_id() >= 0, found)
-    return df.withColumn("defects", kept).select(*pairs.columns, "defects")
+    marked = df.select(*pairs.columns, F.col("question").alias("_asked"), "_own", *(F.coalesce(c, F.lit(False)).alias(f"_is_{n}") for n, c in flags.items()))
+    schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+    names = list(flags)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, own = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+            told = [dict(zip(names, row)) for row in zip(*(batch.column(width + 2 + i).to_pylist() for i in range(len(names))))]
+            found = []
+            for q, a, is_ in zip(asked, own, told):
+                if is_["_empty"]:
+                    found.append(["empty"])
+                elif is_["_search"]:
+                    found.append([])
+                else:
+                    is_["wrong_language"] = in_another_language(q, a)
+                    found.append([k for k in ORDER[1:] if is_[k]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names[:width], "defects"])
+
+    width = len(pairs.columns)
+    return marked.mapInArrow(run, f"{schema}, defects array<string>")
+
+
+def in_another_language(question: str | None, answer: str | None) -> bool:
+    """Whether the answer's language can be told and the question is clearly in another one, or in another script."""
+    spoken = languages.language(answer)
+    return spoken is not None and languages.other_than(question, spoken)

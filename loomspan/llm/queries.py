@@ -96,9 +96,11 @@ def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    student = table(spark, d, "student_train").select(F.lit("student_train").alias("source_table"), "id", "question", F.col("output").alias("answer")).dropDuplicates(["id"])
-    latest = table(spark, d, "baseline_rag").groupBy("id").agg(F.max_by("pred", F.coalesce("appended_at", F.lit("1970-01-01").cast("timestamp"))).alias("answer"))
-    asked = table(spark, d, "minilongbench_tiny").groupBy("id").agg(F.max_by("question", F.coalesce("prepared_at", F.lit("1970-01-01").cast("timestamp"))).alias("question"))
+    student = table(spark, d, "student_train").select(F.lit("student_train").alias("source_table"), "id", "question", F.col("output").alias("answer")).groupBy("source_table", "id").agg(F.max(F.struct("question", "answer")).alias("r")).select("source_table", "id", "r.*")
+    # of a repeated id the latest row, and of equal times the greatest value, in any run
+    last = lambda value, at: F.max(F.struct(F.coalesce(F.col(at), F.lit("1970-01-01").cast("timestamp")).alias("at"), F.col(value).alias("v")))["v"]
+    latest = table(spark, d, "baseline_rag").groupBy("id").agg(last("pred", "appended_at").alias("answer"))
+    asked = table(spark, d, "minilongbench_tiny").groupBy("id").agg(last("question", "prepared_at").alias("question"))
     rag = latest.join(asked, "id", "left").select(F.lit("baseline_rag").alias("source_table"), "id", "question", "answer")
     return pairs.defects(student.unionByName(rag))
 
