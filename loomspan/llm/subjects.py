@@ -15,6 +15,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +34,7 @@ MOST_SUBJECTS = 1000
 SOURCE_SHARE, SOURCE_KNOWN = 0.9, 20
 _BITS = 22
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
+_WORDS_AND_ENDS = re.compile(_WORD.pattern + r"|\n")
 _LINE = re.compile(r"\s*(?:\r\n|\n|\r|</p>|<br\s*/?>)\s*", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’)*\]\d]*\s+|(?<=[。！？；])\s*")
 #: Two sentences on an area count if they are so close together in their passage.
@@ -69,13 +71,12 @@ _SHAPES = {
 }
 _SHAPE = {name: re.compile(p) for name, p in _SHAPES.items()}
 #: A line without any of these has none of the shapes, defines nothing and is no comment.
-_HINT = re.compile(r"[{}=;_\[#]|\w\(|//|/\*|\"\"\"|\'\'\'|->|(?i:import|class|return|self|public|private|static|def|func)")
+_HINT = re.compile(r"[{}=;_\[#]|\w\(|//|/\*|\"\"\"|\'\'\'|->|(?i:\bimport\b|\bclass\s+\w)")
 #: Least gain of log-odds over the bias at which a sentence speaks for a subject.
 EVIDENCE = 1.0
 
 
-@dataclass
-class Unit:
+class Unit(NamedTuple):
     """A sentence or a line of code, its shapes, and whether it counts alone."""
 
     text: str
@@ -91,7 +92,7 @@ def passages(text: str | None) -> list[list[Unit]]:
     """
     lines = _LINE.split(text or "")
     hinted = [_HINT.search(line) is not None for line in lines]
-    told = _alone(lines) if any(hinted) else [""] * len(lines)
+    told = _alone(lines, hinted) if any(hinted) else [""] * len(lines)
     out = []
     for line, hint, kind in zip(lines, hinted, told):
         shapes: tuple[str, ...] = ()
@@ -107,13 +108,15 @@ def passages(text: str | None) -> list[list[Unit]]:
     return out
 
 
-def _alone(lines: list[str]) -> list[str]:
+def _alone(lines: list[str], hinted: list[bool]) -> list[str]:
     """For each line "definition", "comment" (beside a statement; '#' before lines of prose is none) or an empty string."""
     plain = [_UNSEEN.sub("", line) for line in lines]
-    bare = [_MARKUP.sub("", line).strip() for line in plain]
+    out = ["definition" if hint and _CODE.search(x) else "" for hint, x in zip(hinted, plain)]
+    if not any(hint and _COMMENT.search(x) for hint, x in zip(hinted, plain)):
+        return out
+    bare = [_MARKUP.sub("", x).strip() for x in plain]
     kept = [i for i, x in enumerate(bare) if x]
     comment = [_COMMENT.match(bare[i]) is not None for i in kept]
-    out = ["definition" if _CODE.search(x) else "" for x in plain]
     for j in range(len(kept) - 1):
         i, k = kept[j], kept[j + 1]
         if comment[j] != comment[j + 1] and _STATEMENT.match(bare[k] if comment[j] else bare[i]):
@@ -124,14 +127,17 @@ def _alone(lines: list[str]) -> list[str]:
 
 @lru_cache(maxsize=1 << 18)
 def _slot(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass"))
+    """A hash of a word; -1 of a line end."""
+    return -1 if word == "\n" else crc32(word.encode("utf-8", "surrogatepass"))
 
 
 def features(units: list[Unit]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words, word pairs and shapes of all units in a row, and each unit's number of them."""
-    words = [[_slot(w) for w in _WORD.findall(u.text.lower())] for u in units]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((h for w in words for h in w), np.uint64, int(sizes.sum()))
+    # one pass over all units, whose texts have no line ends
+    hashed = np.fromiter(map(_slot, _WORDS_AND_ENDS.findall("".join(f"{u.text}\n" for u in units).lower())), np.int64)
+    stops = np.flatnonzero(hashed < 0)
+    sizes = np.diff(stops, prepend=-1) - 1
+    flat = hashed[hashed >= 0].astype(np.uint64)
     mask = np.uint64((1 << _BITS) - 1)
     single = (flat * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & mask
     both = np.empty((len(flat), 2), np.int64)
@@ -218,18 +224,20 @@ class Fit:
 
     place: np.ndarray
     row: np.ndarray
-    value: np.ndarray
+    scaled: bool
     rounds: int
     rate: float
     shrink: float
 
     def __call__(self, target: np.ndarray) -> tuple[np.ndarray, float]:
         n, width = len(target), int(self.place.max(initial=0)) + 1
+        sizes = np.bincount(self.row, minlength=n)
+        value = (1 / np.sqrt(np.maximum(sizes, 1)) if self.scaled else np.ones(n))[self.row]
         own, bias, past, past_bias = np.zeros(width), -2.0, np.full(width, 1e-8), 1e-8
         for _ in range(self.rounds):
-            found = np.bincount(self.row, own[self.place] * self.value, n) + bias
+            found = np.bincount(self.row, own[self.place] * value, n) + bias
             error = (1 / (1 + np.exp(-np.clip(found, -30, 30))) - target) / n
-            slope = np.bincount(self.place, error[self.row] * self.value, width) + self.shrink / n * own
+            slope = np.bincount(self.place, error[self.row] * value, width) + self.shrink / n * own
             past += slope**2
             own -= self.rate * slope / np.sqrt(past)
             slope = error.sum()
@@ -245,9 +253,7 @@ def fit(place: np.ndarray, row: np.ndarray, targets: np.ndarray, rounds: int = 1
     ``place`` and ``row`` are the telling features and their examples, in order of the
     examples. ``scaled`` divides by the root of an example's number of them.
     """
-    sizes = np.bincount(row, minlength=len(targets))
-    value = (1 / np.sqrt(np.maximum(sizes, 1)) if scaled else np.ones(len(targets)))[row]
-    done = list(spread(Fit(place, row, value, rounds, rate, shrink), targets.T))
+    done = list(spread(Fit(place.astype(np.int32), row.astype(np.int32), scaled, rounds, rate, shrink), targets.T))
     return np.stack([w for w, _ in done], 1).astype(np.float32), np.array([b for _, b in done])
 
 
@@ -267,6 +273,16 @@ class Model:
     biases: np.ndarray
     thresholds: np.ndarray
 
+    def __getstate__(self) -> dict:
+        at = np.flatnonzero(self.places)
+        return self.__dict__ | {"places": (at.astype(np.int32), self.places[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        at, place = state["places"]
+        self.places = np.zeros(1 << _BITS, np.int32)
+        self.places[at] = place
+
     def documents(self, texts: Parsed) -> np.ndarray:
         """Each text's score for each subject: its best passage's second best unit nearby, or best unit that counts alone.
 
@@ -280,16 +296,18 @@ class Model:
         own = np.full(raw.shape, -np.inf)
         own[at, best] = np.where(raw[at, best] >= self.biases[best] + EVIDENCE, raw[at, best], -np.inf)
         spoke = np.isfinite(own[at, best])
-        at = passage = 0
-        for i, n in enumerate(texts.texts):
-            for size in texts.passages[passage : passage + n]:
-                if spoke[at : at + size].any():
-                    block = own[at : at + size]
-                    out[i] = np.maximum(out[i], _second(block))
-                    if texts.alone[at : at + size].any():
-                        out[i] = np.maximum(out[i], block[texts.alone[at : at + size]].max(0))
-                at += size
-            passage += n
+        ends = np.cumsum(texts.passages)
+        told = np.concatenate([[0], np.cumsum(spoke)])
+        alone = np.concatenate([[0], np.cumsum(spoke & texts.alone)])
+        first = ends - texts.passages
+        several, single = told[ends] - told[first] > 1, alone[ends] > alone[first]
+        owner = np.repeat(np.arange(len(texts.texts)), texts.texts)
+        for p in np.flatnonzero(several | single):
+            block, i = own[first[p] : ends[p]], owner[p]
+            if several[p]:
+                out[i] = np.maximum(out[i], _second(block))
+            if single[p]:
+                out[i] = np.maximum(out[i], block[texts.alone[first[p] : ends[p]]].max(0))
         return out
 
 
@@ -418,17 +436,19 @@ def spread_over(spark: SparkSession) -> Callable:
 
     def run(f: Callable, arrays: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, float]]:
         ship_package(spark)
-        shared = spark.sparkContext.broadcast((f, list(arrays)))
-        count = len(shared.value[1])
+        arrays = [a.astype(bool) if np.isin(a, (0, 1)).all() else a for a in arrays]
+        shared = spark.sparkContext.broadcast((f, arrays))
+        count = len(arrays)
 
         def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in batch.column(0).to_pylist():
                     own, arguments = shared.value
-                    weights, bias = own(arguments[i])
+                    weights, bias = own(arguments[i].astype(float))
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["i", "w", "b"])
 
         found = spark.range(0, count, 1, count).mapInArrow(work, "i long, w binary, b double").collect()
+        shared.destroy()
         for r in sorted(found, key=lambda r: r.i):
             yield np.frombuffer(bytes(r.w)), r.b
 
