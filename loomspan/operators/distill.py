@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import ship_package
 from . import validate
-from .agent import Model, mock_model
+from .models import Controller as Model
+from .models import mock_model
 
 #: The answer of a kept row whose output has no tag; as in the reference.
 NO_ANSWER = "信息不足"

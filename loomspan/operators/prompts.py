@@ -34,18 +34,44 @@ def fact_lines(facts: Column, most: int = 6) -> Column:
     return F.coalesce(F.array_join(F.transform(kept, lambda f: _filled("- {} ({}#{})", T.safe_text(f["content"]), f["doc_id"], f["chunk_id"])), "\n"), F.lit(""))
 
 
+#: The forms of a baseline's, an agent's and a repairing prompt.
+BASELINE = "你是一个严谨的问答助手。请只根据 Context 回答 Question，答案要简洁。\nQuestion: {}\nContext:\n{}\n请输出最终答案，不要输出推理过程。"
+AGENT = (
+    "你是端侧检索推理代理。你必须严格按协议输出：\n- 信息不足：<search>关键词</search>\n- 信息足够：<final>答案</final>\n不要输出其他文本。\n\n"
+    "[STEP]\n{}\n[/STEP]\n[MAX_STEPS]\n{}\n[/MAX_STEPS]\n[MEMORY_STRATEGY]\n{}\n[/MEMORY_STRATEGY]\n[QUESTION]\n{}\n[/QUESTION]\n[EVIDENCE]\n{}\n[/EVIDENCE]\n[FACTS]\n{}\n[/FACTS]\n[NOTE]\n{}\n[/NOTE]\n"
+)
+REPAIR = "你上次输出不符合协议。仅允许以下两种格式之一：\n<search>关键词</search> 或 <final>答案</final>。\n不要输出任何其他文本。\n\n[REPAIR_OUTPUT]\n{}\n[/REPAIR_OUTPUT]\n[QUESTION]\n{}\n[/QUESTION]\n[EVIDENCE]\n{}\n[/EVIDENCE]\n"
+
+
 def baseline_prompt(question: Column, context: Column) -> Column:
-    return _filled("你是一个严谨的问答助手。请只根据 Context 回答 Question，答案要简洁。\nQuestion: {}\nContext:\n{}\n请输出最终答案，不要输出推理过程。", question, context)
+    return _filled(BASELINE, question, context)
 
 
 def agent_prompt(question: Column, evidence_text: Column, step: Column | int, max_steps: Column | int, memory_strategy: Column | str, note: Column | str = "", facts_text: Column | str = "") -> Column:
-    form = (
-        "你是端侧检索推理代理。你必须严格按协议输出：\n- 信息不足：<search>关键词</search>\n- 信息足够：<final>答案</final>\n不要输出其他文本。\n\n"
-        "[STEP]\n{}\n[/STEP]\n[MAX_STEPS]\n{}\n[/MAX_STEPS]\n[MEMORY_STRATEGY]\n{}\n[/MEMORY_STRATEGY]\n[QUESTION]\n{}\n[/QUESTION]\n[EVIDENCE]\n{}\n[/EVIDENCE]\n[FACTS]\n{}\n[/FACTS]\n[NOTE]\n{}\n[/NOTE]\n"
-    )
-    return _filled(form, step, max_steps, memory_strategy, question, evidence_text, facts_text, note)
+    return _filled(AGENT, step, max_steps, memory_strategy, question, evidence_text, facts_text, note)
 
 
 def repair_prompt(raw_output: Column, question: Column, evidence_text: Column) -> Column:
-    form = "你上次输出不符合协议。仅允许以下两种格式之一：\n<search>关键词</search> 或 <final>答案</final>。\n不要输出任何其他文本。\n\n[REPAIR_OUTPUT]\n{}\n[/REPAIR_OUTPUT]\n[QUESTION]\n{}\n[/QUESTION]\n[EVIDENCE]\n{}\n[/EVIDENCE]\n"
-    return _filled(form, raw_output, question, evidence_text)
+    return _filled(REPAIR, raw_output, question, evidence_text)
+
+
+def text(form: str, *values) -> str:
+    """As the prompts above, of one sample's values."""
+    parts = form.split("{}")
+    return parts[0] + "".join(f"{'' if v is None else v}{after}" for v, after in zip(values, parts[1:], strict=True))
+
+
+def evidence_text(chunks: list[dict], strip: tuple[str, ...] = ()) -> str:
+    """As `evidence`, of one sample's chunks."""
+    lines = []
+    for c in chunks:
+        body = c["text"] or ""
+        for phrase in strip:
+            body = body.replace(phrase, "")
+        lines.append(text("【Evidence】{}#{}: {}", c.get("doc_id"), c["chunk_id"], text("```\n{}\n```", body.strip())))
+    return "\n".join(lines)
+
+
+def facts_text(facts: list[dict], most: int = 6) -> str:
+    """As `fact_lines`, of one sample's facts."""
+    return "\n".join(text("- {} ({}#{})", f["content"].strip(), f["doc_id"], f["chunk_id"]) for f in facts[: max(1, most)] if f["content"].strip())

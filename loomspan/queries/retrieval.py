@@ -13,12 +13,12 @@ from .base import CHUNKS, DOCS, SAMPLES, W, chunks, docs, samples, sql_query_tok
 from .text import SQL_KIND
 
 _BAG = f"CASE WHEN contains(t, ' ') THEN list_filter(string_split(t, ' '), lambda x: x <> '') ELSE list_filter(string_split(t, ''), lambda x: x <> '' AND NOT regexp_full_match(x, '{W}')) END"
-_QUERIES = "queries AS (SELECT id AS qid, id AS sample_id, question FROM samples)"
+QUERIES = "queries AS (SELECT id AS qid, id AS sample_id, question FROM samples)"
 _INDEX = (
     f"qb AS (SELECT qid, sample_id, token, count(*) AS qn FROM (SELECT qid, sample_id, unnest({_BAG}) AS token FROM (SELECT qid, sample_id, lower({sql_strip('question')}) AS t FROM queries)) GROUP BY ALL), "
     f"cb AS (SELECT chunk_id, sample_id, token, count(*) AS cn FROM (SELECT chunk_id, sample_id, unnest({_BAG}) AS token FROM (SELECT chunk_id, sample_id, lower({sql_strip('text')}) AS t FROM chunks)) GROUP BY ALL)"
 )
-_LEXICAL = (
+LEXICAL = (
     f"{_INDEX}, qs AS (SELECT qid, sum(qn * qn) AS qs FROM qb GROUP BY qid), cs AS (SELECT chunk_id, sum(cn * cn) AS cs FROM cb GROUP BY chunk_id), "
     "lex AS (SELECT qid, chunk_id, round(common / sqrt((qs * cs)::DOUBLE), 6) AS score FROM (SELECT qid, chunk_id, sum(least(qn, cn)) AS common FROM qb JOIN cb USING (sample_id, token) GROUP BY ALL) JOIN qs USING (qid) JOIN cs USING (chunk_id))"
 )
@@ -47,13 +47,13 @@ def chunk_windows(spark, d):
     return windows.windows(docs(spark, d))
 
 
-@query(f"WITH {SAMPLES}, {CHUNKS}, {_QUERIES}, {_LEXICAL}, allp AS (SELECT q.qid, c.chunk_id, coalesce(lex.score, 0.0) AS score FROM queries q JOIN chunks c USING (sample_id) LEFT JOIN lex ON lex.qid = q.qid AND lex.chunk_id = c.chunk_id) {_rank('allp', 5)}")
+@query(f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, allp AS (SELECT q.qid, c.chunk_id, coalesce(lex.score, 0.0) AS score FROM queries q JOIN chunks c USING (sample_id) LEFT JOIN lex ON lex.qid = q.qid AND lex.chunk_id = c.chunk_id) {_rank('allp', 5)}")
 def lexical_score_topk(spark, d):
     return retrieve.lexical_top_k(_questions(spark, d), chunks(spark, d))
 
 
 @query(
-    f"WITH {CHUNKS}, queries AS (SELECT item_id AS qid, 0 AS sample_id, question FROM eval_items WHERE item_id % 50 = 0), {_LEXICAL.replace('SELECT chunk_id, sample_id,', 'SELECT chunk_id, 0 AS sample_id,').replace('(SELECT chunk_id, 0 AS sample_id, lower', '(SELECT chunk_id, lower')} {_rank('lex', 5)}"
+    f"WITH {CHUNKS}, queries AS (SELECT item_id AS qid, 0 AS sample_id, question FROM eval_items WHERE item_id % 50 = 0), {LEXICAL.replace('SELECT chunk_id, sample_id,', 'SELECT chunk_id, 0 AS sample_id,').replace('(SELECT chunk_id, 0 AS sample_id, lower', '(SELECT chunk_id, lower')} {_rank('lex', 5)}"
 )
 def lexical_global_topk(spark, d):
     asked = table(spark, d, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), "question")
@@ -69,13 +69,13 @@ def dense_topk(spark, d):
     return retrieve.dense_top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-@query(f"WITH {SAMPLES}, {CHUNKS}, {_QUERIES}, {_LEXICAL}, {_DENSE} {_rank('den', 5)}")
+@query(f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, {_DENSE} {_rank('den', 5)}")
 def dense_hashed_topk(spark, d):
     return retrieve.search("dense", _questions(spark, d), chunks(spark, d))
 
 
 @query(
-    f"WITH {SAMPLES}, {CHUNKS}, {_QUERIES}, {_LEXICAL}, {_DENSE}, a AS ({_rank('den', 20)}), b AS ({_rank('lex', 20)}), "
+    f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, {_DENSE}, a AS ({_rank('den', 20)}), b AS ({_rank('lex', 20)}), "
     "f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, least(1.0, greatest(0.0, (coalesce(a.score, 0.0) + 1) / 2)) AS score_dense, least(1.0, greatest(0.0, coalesce(b.score, 0.0))) AS score_lexical FROM a FULL JOIN b ON a.qid = b.qid AND a.chunk_id = b.chunk_id), "
     f"g AS (SELECT *, round(score_dense * 0.65::DOUBLE + score_lexical * 0.35::DOUBLE, 9) AS score FROM f) {_rank('g', 5)}"
 )

@@ -9,7 +9,7 @@ from ..registry import query
 from ..session import table
 from .base import CHUNKS, DOCS, PREDS, SAMPLES, W, chunks, docs, preds, samples, sql_chars, sql_query_tokens, sql_scored, sql_strip
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
 def _markers(c: str, words: list[str]) -> str:
@@ -46,7 +46,7 @@ def token_bag(spark, d):
     return chunks(spark, d).select("chunk_id", F.explode(T.bag_tokens(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SAMPLES} SELECT id, coalesce(array_to_string({sql_query_tokens('question')}, '|'), '') AS tokens, coalesce(array_to_string(list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({_STOP})), '|'), '') AS kept FROM samples")
+@query(f"WITH {SAMPLES} SELECT id, coalesce(array_to_string({sql_query_tokens('question')}, '|'), '') AS tokens, coalesce(array_to_string(list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({STOP})), '|'), '') AS kept FROM samples")
 def query_token_lists(spark, d):
     return samples(spark, d).select("id", F.array_join(T.query_tokens(F.col("question")), "|").alias("tokens"), F.array_join(T.keyword_tokens(F.col("question")), "|").alias("kept"))
 
@@ -81,7 +81,7 @@ def forced_keyword(spark, d):
     return samples(spark, d).select("id", T.forced_keyword(F.col("question"), F.lit("")).alias("forced"))
 
 
-@query(f"WITH {SAMPLES}, t AS (SELECT id, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({_STOP}))[1:4] AS k FROM samples) SELECT id, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE '关键信息' END AS keyword FROM t")
+@query(f"WITH {SAMPLES}, t AS (SELECT id, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({STOP}))[1:4] AS k FROM samples) SELECT id, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE '关键信息' END AS keyword FROM t")
 def first_keywords(spark, d):
     return samples(spark, d).select("id", T.first_keywords(F.col("question")).alias("keyword"))
 
@@ -214,27 +214,15 @@ def fact_extract(spark, d):
     return facts(hits, limit=3)
 
 
-@query(
-    f"WITH {SAMPLES}, {DOCS}, c AS (SELECT s.id, s.question, d.text FROM samples s JOIN docs d ON d.id = s.id AND d.pos = 0), "
-    f"p AS (SELECT id, question, text, unnest(regexp_split_to_array(coalesce(text, ''), '[\\n。！？!?]')) AS raw, unnest(range(1, len(regexp_split_to_array(coalesce(text, ''), '[\\n。！？!?]')) + 1)) AS i FROM c), "
-    f"x AS (SELECT id, i, {sql_strip('raw')} AS s, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({_STOP})) AS k FROM p), "
-    "r AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY len(list_filter(k, lambda t: contains(lower(s), t))) DESC, i) AS n FROM x WHERE s <> '') "
-    "SELECT c.id, coalesce(r.s, substring(coalesce(c.text, ''), 1, 160)) AS sentence FROM c LEFT JOIN r ON r.id = c.id AND r.n = 1"
-)
-def best_sentence(spark, d):
-    own = samples(spark, d).where(F.size("documents") > 0)
-    return own.select("id", T.best_sentence(F.col("question"), F.col("documents")[0]["text"]).alias("sentence"))
-
-
 @query(
     f"WITH {SAMPLES}, c AS (SELECT id, question, coalesce(array_to_string(list_transform(documents, lambda e: coalesce(e.text, '')), chr(10)), '') AS text FROM samples), "
     "p AS (SELECT id, question, unnest(regexp_split_to_array(text, '[\\n。！？!?]')) AS raw, unnest(range(1, len(regexp_split_to_array(text, '[\\n。！？!?]')) + 1)) AS i FROM c), "
-    f"x AS (SELECT id, i, {sql_strip('raw')} AS s, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({_STOP})) AS k FROM p), "
+    f"x AS (SELECT id, i, {sql_strip('raw')} AS s, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({STOP})) AS k FROM p), "
     "r AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY len(list_filter(k, lambda t: contains(lower(s), t))) DESC, i) AS n FROM x WHERE s <> '') "
     "SELECT c.id, coalesce(r.s, substring(c.text, 1, 160)) AS sentence FROM c LEFT JOIN r ON r.id = c.id AND r.n = 1"
 )
-def best_sentence_context(spark, d):
-    """Over all documents of a sample; best_sentence reads the first only."""
+def best_sentence(spark, d):
+    """Over all documents of a sample, in order."""
     return samples(spark, d).select("id", T.best_sentence(F.col("question"), T.context(F.col("documents"))).alias("sentence"))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomspan.operators import agent, memory, ops, retrieve, sampling, stats, validate
+from loomspan.operators import memory, ops, retrieve, sampling, stats, validate
 from loomspan.operators.metrics import summary
 from pyspark.sql import functions as F
 
@@ -120,36 +120,6 @@ def test_shards(spark):
     assert [r.status for r in ops.shard_status(plan, done).orderBy("shard").collect()] == ["completed", "retry_pending", "failed"]
 
 
-SAMPLE = {"id": "s", "task": "open", "question": "who measured alpha beta near gamma", "top_k": 2, "max_steps": 3, "forced_retrieval": False}
-CHUNKS = [{"chunk_id": "c1", "text": "nothing here at all, really nothing."}, {"chunk_id": "c2", "text": "Ada measured alpha beta near gamma."}]
-
-
-def test_loop_answers_from_evidence():
-    got = agent.run_one({**SAMPLE, "chunks": CHUNKS}, agent.mock_model, agent.Limits())
-    assert got["pred"].startswith("Ada measured") and got["stop_reason"] == "final" and got["n_steps"] == 1
-
-
-def test_loop_survives_a_broken_model_and_no_chunks():
-    def broken(*_):
-        raise RuntimeError
-
-    got = agent.run_one({**SAMPLE, "chunks": CHUNKS}, broken, agent.Limits())
-    assert got["error_count"] == 1 and got["pred"]
-    empty = agent.run_one({**SAMPLE, "chunks": []}, agent.mock_model, agent.Limits())
-    assert empty["pred"] and empty["n_retrieval"] >= 0
-
-
-def test_loop_stops_on_a_repeated_keyword():
-    got = agent.run_one({**SAMPLE, "chunks": CHUNKS, "max_steps": 6}, lambda *_: "<search>alpha</search>", agent.Limits())
-    assert "same_keyword" in got["stop_reason"] and got["n_steps"] < 6
-
-
-def test_loop_repairs_once_then_gives_up():
-    got = agent.run_one({**SAMPLE, "chunks": CHUNKS}, lambda q, e, s, m, repair: "<final>fixed</final>" if repair else "garbage", agent.Limits())
-    assert got["pred"] == "fixed" and got["error_count"] == 0
-    assert agent.run_one({**SAMPLE, "chunks": CHUNKS}, lambda *_: "garbage", agent.Limits())["stop_reason"] == "no_protocol"
-
-
 def test_ranks_equal_one_window(spark):
     rng = random.Random(8)
     numbers = rng.sample(range(1_000_000), 300)
@@ -166,13 +136,3 @@ def test_limited_lines(spark):
     df = frame(spark, [(f"k{i}",) for i in range(5)], "key string")
     assert [r.line for r in ops.limited(df, "key", 3).collect()] == ["k0", "k1", "k2", "... and 2 more"]
     assert ops.limited(df, "key", 9).count() == 5
-
-
-def test_loop_refines_a_doubtful_answer_and_ends_in_time():
-    import time
-
-    row = {**SAMPLE, "refine": True, "chunks": CHUNKS}
-    got = agent.run_one(row, lambda q, e, s, m, repair: "<final>a longer and certain answer here</final>" if repair else "<final>short</final>", agent.Limits(refine=True))
-    assert got["pred"] == "a longer and certain answer here" and got["stop_reason"] == "final;refined"
-    late = agent.run_in_time(row, lambda *_: time.sleep(1) or "<final>x</final>", agent.Limits(timeout_s=0.1))
-    assert late["stop_reason"] == "timeout" and late["error_count"] == 1 and late["pred"].startswith("Ada measured")

@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from loomspan.functions import text as T
-from loomspan.operators import answers, chunks, memory, metrics
+from loomspan.functions import answers
+from loomspan.operators import chunks, memory, metrics
 from pyspark.sql import functions as F
 
 TEXT = st.lists(st.one_of(st.none(), st.text(st.sampled_from("aB c1_,.。！？ 世界é　 \n\t🙂<>/final"), max_size=30)), min_size=1, max_size=25)
@@ -105,9 +106,12 @@ def test_all_chunks_are_evidence(spark):
     assert got(df.withColumn("pos", F.lit(0) - F.substring("chunk_id", 2, 1).try_cast("int")))["s"] == "\n".join(lines[::-1])
 
 
-def test_answers_are_cleaned():
-    assert answers.clean_text("Wait, maybe Answer: Paris and") == "Paris"
-    assert answers.clean_text(None) == answers.clean_code("") == answers.compact(None, None) == ""
-    assert answers.clean_code("The next line of code is: ```python\nfoo = 1\n```") == "foo = 1"
-    assert answers.clean_code("Use `return x` here") == "return x"
-    assert answers.compact("He was born in Rome, Italy. Then he left.", "Where was he born?") == "Rome, Italy"
+def test_answers_are_cleaned(spark):
+    prose = [("Wait, maybe Answer: Paris and", "Paris"), (None, ""), ("", ""), ("It seems that\u3000the  end , which", "that the end"), ("I think. Well, so.", ". Well, so."), ("wait The first one is it. And more", "The first one is it."), ("x" * 230 + ". End here", "x" * 230 + "."), ("Answer：答案是；", "答案是；"), ("a, or;", "a, or")]
+    code = [("The next line of code is: ```python\nfoo = 1\n```", "foo = 1"), ("Use `return x` here", "return x"), (None, ""), ("plain words\r\nfoo(1)\r\nbar", "foo(1)"), ("` ` and `y`", "y"), ("z" * 300, "z" * 160), ("just words", "just words"), ("But path: a/b ,;", "a/b")]
+    short = [("He was born in Rome, Italy. Then he left.", "Where was he born?", "Rome, Italy"), (None, None, ""), ("It was **Ada**, they say", "Who was it?", "Ada"), ("One. Two", "x", "One."), ("position of chief clerk; x", "Which position?", "chief clerk"), ("y" * 120, "", "y" * 96)]
+    for cases, column in ((prose, answers.prose(F.col("a"))), (code, answers.code(F.col("a")))):
+        df = spark.createDataFrame(list(enumerate(cases)), "i int, r struct<a:string,w:string>").select("i", "r.*")
+        assert [(r.a, r.got) for r in df.select("i", "a", column.alias("got")).orderBy("i").collect()] == cases
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(short)], "i int, a string, q string, w string")
+    assert [r.got for r in df.select("i", answers.compact(F.col("a"), F.col("q")).alias("got")).orderBy("i").collect()] == [c[2] for c in short]
