@@ -27,6 +27,7 @@ from . import prompts
 from .memory import NOT_ENOUGH
 from .models import Controller, PromptModel, mock_model, tokens
 from .policy import COLUMNS, MULTI, SINGLE, Limits, policy
+from .skew import hot_values, spread_join
 
 Model = Controller | PromptModel
 _STEP = (
@@ -411,7 +412,8 @@ def run(samples: DataFrame, chunks: DataFrame, model: Model = mock_model, limits
     length = F.aggregate("documents", F.lit(0).cast("long"), lambda a, e: a + F.length(F.coalesce(e["text"], F.lit(""))))
     planned = policy(samples.select("id", "task", "question", F.coalesce(length, F.lit(0)).alias("context_chars")), limits)
     doc = F.col("doc_id") if "doc_id" in chunks.columns else F.lit("").alias("doc_id")
-    wanted = chunks.select(F.col("sample_id").alias("id"), F.struct("chunk_id", doc, "text").alias("c")).join(samples.select("id"), "id", "left_semi")
+    own = chunks.select(F.col("sample_id").alias("id"), F.struct("chunk_id", doc, "text").alias("c"))
+    wanted = spread_join(own, samples.select("id").distinct(), "id", hot_values(own, "id"), "leftsemi")  # a pool's chunks leave here
     grouped = wanted.groupBy("id").agg(F.collect_list("c").alias("chunks"))
     rows = planned.join(grouped, "id", "left").select("id", "task", "question", *COLUMNS, "chunks")
 

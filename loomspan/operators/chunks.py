@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,12 +23,13 @@ def windows(docs: DataFrame, size: int = 512, overlap: int = 128) -> DataFrame:
     excluded.
     """
     size, overlap = guarded(size, overlap)
-    n = F.length(F.coalesce("text", F.lit("")))
+    body = F.coalesce("text", F.lit(""))
+    n = F.length(body)
     step = size - overlap
     last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
-    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
-    pieces = docs.withColumn("offset_start", F.explode(starts)).withColumn("offset_end", F.least(F.col("offset_start") + size, n))
-    pieces = pieces.withColumn("piece", F.expr("substring(text, offset_start + 1, offset_end - offset_start)")).where(T.strip(F.col("piece")) != "")
-    i = F.row_number().over(Window.partitionBy("id", "pos").orderBy("offset_start")) - 1
+    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: (i * step).cast("int"))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("s"), F.least(s + size, n).alias("e"), F.substring(body, s + 1, F.lit(size)).alias("t")))
+    # numbered within the row, so nothing is shuffled
     name = F.coalesce("doc_id", F.concat("id", F.lit("_d"), "pos"))
-    return pieces.withColumn("i", i).select(F.col("id").alias("sample_id"), name.alias("doc_id"), F.concat_ws("_", "id", name, "i").alias("chunk_id"), "offset_start", "offset_end", F.col("piece").alias("text"))
+    pieces = docs.select(F.col("id").alias("sample_id"), name.alias("doc_id"), F.posexplode(F.filter(cut, lambda p: T.strip(p["t"]) != "")).alias("i", "p"))
+    return pieces.select("sample_id", "doc_id", F.concat_ws("_", "sample_id", "doc_id", "i").alias("chunk_id"), F.col("p.s").alias("offset_start"), F.col("p.e").alias("offset_end"), F.col("p.t").alias("text"))

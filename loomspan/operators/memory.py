@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .skew import spread_rank
 
 #: What is answered without evidence; a parameter of best_answers.
 NOT_ENOUGH = "Not enough information to answer."
@@ -15,7 +16,7 @@ def positioned(hits: DataFrame) -> DataFrame:
     """Adds pos: each chunk's place within its sample, by chunk_id unless it has one."""
     if "pos" in hits.columns:
         return hits
-    return hits.withColumn("pos", F.row_number().over(Window.partitionBy("sample_id").orderBy("chunk_id")) - 1)
+    return spread_rank(hits, "sample_id", [F.col("chunk_id")], "pos").withColumn("pos", F.col("pos") - 1)
 
 
 def formatted_evidence(hits: DataFrame, most: int | None = None) -> DataFrame:

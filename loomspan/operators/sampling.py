@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import spread_rank
+
 
 def first_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in the given order; rows with a null or blank key are dropped."""
@@ -78,31 +80,34 @@ def stratified(df: DataFrame, key: Column, id_col: str, target: int, seed: int =
     """About ``target`` rows: each stratum's quota in shuffled order, then leftovers until the target."""
     keyed = df.withColumn("_key", key).withColumn("_order", shuffled(F.col(id_col), seed))
     plan = quotas(keyed.groupBy(F.col("_key").alias("key")).agg(F.count("*").alias("cap")), target)
-    ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy("_order", id_col)))
+    ranked = spread_rank(keyed, "_key", [F.col("_order"), F.col(id_col)], "_rn")
     marked = ranked.join(F.broadcast(plan), F.col("_key") == F.col("key")).withColumn("_in", F.col("_rn") <= F.col("quota"))
     top = marked.orderBy(F.col("_in").desc(), "_order", id_col).limit(max(0, target))
     return top.drop("_key", "_order", "_rn", "_in", "key", "cap", "quota")
 
 
+def _numbered(df: DataFrame, key: str, id_col: str, seed: int) -> DataFrame:
+    """Adds _rn, the place in shuffled order within the key, and _n, the key's rows; a hot key is numbered in ranges."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    ranked = spread_rank(df.withColumn("_order", shuffled(F.col(id_col), seed)), key, [F.col("_order"), F.col(id_col)], "_rn").drop("_order")
+    own = sizes.withColumnRenamed(key, "_key")
+    # a row per key; null is a key of its own
+    return ranked.join(own, ranked[key].eqNullSafe(own["_key"])).drop("_key")
+
+
 def two_way(df: DataFrame, key: str, id_col: str, ratio: float, seed: int = 42) -> DataFrame:
     """Adds split: per key, round(n * ratio) rows but at least 1 and at most n - 1 are valid; a lone row is train."""
-    w = Window.partitionBy(key)
-    n = F.count("*").over(w)
-    rn = F.row_number().over(w.orderBy(shuffled(F.col(id_col), seed), id_col))
-    df = df.withColumn("_n", n).withColumn("_rn", rn)
     valid = F.greatest(F.lit(1), F.least(F.bround(F.col("_n") * F.lit(ratio)), F.col("_n") - 1))
-    return df.withColumn("split", F.when((F.col("_n") > 1) & (F.col("_rn") <= valid), "valid").otherwise("train")).drop("_n", "_rn")
+    return _numbered(df, key, id_col, seed).withColumn("split", F.when((F.col("_n") > 1) & (F.col("_rn") <= valid), "valid").otherwise("train")).drop("_n", "_rn")
 
 
 def three_way(df: DataFrame, key: str, id_col: str, seed: int = 42, train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """Adds split train, valid or test per key; one row is test, two are train and test."""
-    w = Window.partitionBy(key)
-    df = df.withColumn("_n", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(shuffled(F.col(id_col), seed), id_col)))
     n = F.col("_n")
     many = F.greatest(F.lit(1), F.least(F.bround(n * F.lit(train)), n - 2))
     a = F.when(n == 1, 0).when(n == 2, 1).otherwise(many)
     b = F.when(n <= 2, 0).otherwise(F.greatest(F.lit(1), F.least(F.bround(n * F.lit(valid)), n - a - 1)))
-    return df.withColumn("split", F.when(F.col("_rn") <= a, "train").when(F.col("_rn") <= a + b, "valid").otherwise("test")).drop("_n", "_rn")
+    return _numbered(df, key, id_col, seed).withColumn("split", F.when(F.col("_rn") <= a, "train").when(F.col("_rn") <= a + b, "valid").otherwise("test")).drop("_n", "_rn")
 
 
 def ranks(df: DataFrame, by: str, number: str, width: int = 100_000) -> DataFrame:
@@ -121,11 +126,10 @@ def ranks(df: DataFrame, by: str, number: str, width: int = 100_000) -> DataFram
 
 
 def slice_rows(df: DataFrame, order: list[Column], start: int, end: int) -> DataFrame:
-    """Rows number start to end - 1 in the given order; an end before the start is an error."""
+    """Rows number start to end - 1 in the given order, numbered in ranges; an end before the start is an error."""
     if end < start:
         raise ValueError("end is before start")
-    ranked = df.orderBy(*order).limit(end).withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
-    return ranked.where(F.col("_rn") > start).drop("_rn")
+    return spread_rank(df, None, order, "_rn").where((F.col("_rn") > start) & (F.col("_rn") <= end)).drop("_rn")
 
 
 def replicated(df: DataFrame, id_col: str, order: list[Column], n: int, split: str) -> DataFrame:
@@ -141,3 +145,15 @@ def per_source_limit(df: DataFrame, source: str, order: list[Column], most: int)
     if most <= 0:
         return df
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
+
+
+def annotated(df: DataFrame, sizes: dict[str, int], order: list[Column], columns: dict[str, Column] | None = None, part: str = "part") -> DataFrame:
+    """Consecutive samples of the table in the given order, each named in ``part``, with further columns, combined again.
+
+    ``sizes`` gives each sample's rows; the table may end before them. Rows beyond have none.
+    """
+    ranked, start, name = spread_rank(df, None, order, "_rn"), 0, F.lit(None).cast("string")
+    for label, size in sizes.items():
+        name = F.when(F.col("_rn").between(start + 1, start + size), label).otherwise(name)
+        start += max(0, size)
+    return ranked.where(F.col("_rn") <= start).withColumns({part: name, **(columns or {})}).drop("_rn")

@@ -33,6 +33,14 @@ def _rank(source: str, most: int) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {source}) WHERE rank <= {most}"
 
 
+def _fused_sql() -> str:
+    return (
+        f"a AS ({_rank('den', 20)}), b AS ({_rank('lex', 20)}), "
+        "f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, least(1.0, greatest(0.0, (coalesce(a.score, 0.0) + 1) / 2)) AS score_dense, least(1.0, greatest(0.0, coalesce(b.score, 0.0))) AS score_lexical FROM a FULL JOIN b ON a.qid = b.qid AND a.chunk_id = b.chunk_id), "
+        "g AS (SELECT *, round(score_dense * 0.65::DOUBLE + score_lexical * 0.35::DOUBLE, 9) AS score FROM f)"
+    )
+
+
 def _questions(spark, d):
     return samples(spark, d).select(F.col("id").alias("qid"), F.col("id").alias("sample_id"), "question")
 
@@ -57,7 +65,25 @@ def lexical_score_topk(spark, d):
 )
 def lexical_global_topk(spark, d):
     asked = table(spark, d, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), "question")
-    return retrieve.top_k(retrieve.lexical_scores(asked, chunks(spark, d), None), 5)
+    return retrieve.search("lexical", asked, chunks(spark, d), scope=None)
+
+
+_POOL = (
+    f"WITH {CHUNKS}, queries AS (SELECT item_id AS qid, 0 AS sample_id, question FROM eval_items WHERE item_id % 50 = 0), {LEXICAL.replace('SELECT chunk_id, sample_id,', 'SELECT chunk_id, 0 AS sample_id,').replace('(SELECT chunk_id, 0 AS sample_id, lower', '(SELECT chunk_id, lower')}, "
+    + _DENSE
+)
+
+
+@query(f"{_POOL} {_rank('den', 5)}")
+def dense_global_topk(spark, d):
+    asked = table(spark, d, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), "question")
+    return retrieve.search("dense", asked, chunks(spark, d), scope=None)
+
+
+@query(f"{_POOL}, {_fused_sql()} {_rank('g', 5)}")
+def hybrid_global_topk(spark, d):
+    asked = table(spark, d, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), "question")
+    return retrieve.search("hybrid", asked, chunks(spark, d), scope=None)
 
 
 @query(
@@ -75,9 +101,7 @@ def dense_hashed_topk(spark, d):
 
 
 @query(
-    f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, {_DENSE}, a AS ({_rank('den', 20)}), b AS ({_rank('lex', 20)}), "
-    "f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, least(1.0, greatest(0.0, (coalesce(a.score, 0.0) + 1) / 2)) AS score_dense, least(1.0, greatest(0.0, coalesce(b.score, 0.0))) AS score_lexical FROM a FULL JOIN b ON a.qid = b.qid AND a.chunk_id = b.chunk_id), "
-    f"g AS (SELECT *, round(score_dense * 0.65::DOUBLE + score_lexical * 0.35::DOUBLE, 9) AS score FROM f) {_rank('g', 5)}"
+    f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, {_DENSE}, {_fused_sql()} {_rank('g', 5)}"
 )
 def hybrid_topk(spark, d):
     return retrieve.search("hybrid", _questions(spark, d), chunks(spark, d))

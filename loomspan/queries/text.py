@@ -184,19 +184,9 @@ def strip_injection(spark, d):
     return chunks(spark, d).select("chunk_id", T.strip_phrases(F.col("text")).alias("clean"))
 
 
-@query(
-    f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY chunk_id) AS n FROM chunks) "
-    f"SELECT sample_id, string_agg('[' || coalesce(doc_id, '') || '#' || chunk_id || '] ' || {sql_strip('text')}, chr(10) ORDER BY n) AS evidence FROM r WHERE n <= 4 GROUP BY sample_id"
-)
-def format_evidence(spark, d):
-    from ..operators.memory import formatted_evidence
-
-    return formatted_evidence(chunks(spark, d), most=4)
-
-
 @query(f"WITH {CHUNKS}, r AS (SELECT sample_id, chunk_id, '[' || coalesce(doc_id, '') || '#' || chunk_id || '] ' || {sql_strip('text')} AS line FROM chunks) SELECT sample_id, string_agg(line, chr(10) ORDER BY chunk_id, line) AS evidence FROM r GROUP BY sample_id")
-def format_evidence_whole(spark, d):
-    """All chunks of a sample; format_evidence stops at four."""
+def format_evidence(spark, d):
+    """All chunks of a sample."""
     from ..operators.memory import formatted_evidence
 
     return formatted_evidence(chunks(spark, d))

@@ -1,6 +1,7 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.skew import hot_values, spread_join
+from loomspan.operators.skew import hot_values, spread_join, spread_rank
 
 
 def test_a_hot_key_is_named_and_split_without_changing_the_join(spark):
@@ -25,3 +26,14 @@ def test_empty_and_null_keys(spark):
     right = spark.createDataFrame([(None, 3), ("a", 4)], "k string, y int")
     assert [tuple(r) for r in spread_join(nulls, right, "k", ["a"]).collect()] == [("a", 2, 4)]
     assert sorted(map(tuple, spread_join(nulls, right, "k", ["a"], "left").collect()), key=repr) == [("a", 2, 4), (None, 1, None)]
+
+
+def test_ranks_of_hot_groups_equal_one_window(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 7 > 0, F.lit("b")).alias("g"), F.md5(F.col("id").cast("string")).alias("h"), "id").repartition(3)
+    for by in ("g", None):
+        w = Window.partitionBy(by or F.lit(1)).orderBy("h")
+        want = {(r.id, r.n) for r in df.withColumn("n", F.row_number().over(w)).collect()}
+        assert {(r.id, r.n) for r in spread_rank(df, by, [F.col("h")], "n", least=1000).collect()} == want
+    desc = {(r.id, r.n) for r in spread_rank(df, "g", [F.col("h").desc()], "n", least=1000).collect()}
+    assert desc == {(r.id, r.n) for r in df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.col("h").desc()))).collect()}
+    assert spread_rank(df.limit(0), "g", [F.col("h")], "n").count() == spread_rank(df.limit(0), None, [F.col("h")], "n").count() == 0
