@@ -56,12 +56,32 @@ def stalls(events: DataFrame, now: Column, idle: int = 1800, *by: str) -> DataFr
     return last.withColumn("idle_s", seconds).withColumn("stalled", F.coalesce(seconds >= idle, F.lit(True)))
 
 
-def anomalies(status: DataFrame) -> DataFrame:
-    """Shards that failed or wait for another try, and complete ones that took one, with the reason."""
+def anomalies(status: DataFrame, notes: list[str] | None = None) -> DataFrame:
+    """Shards that failed or wait for another try, complete ones that took one, and ones whose note has one of ``notes`` in it, with the reason."""
     reason = F.when(F.col("status") == "failed", "failed").when(F.col("status") == "retry_pending", "retry").when((F.col("status") == "completed") & (F.col("attempts") > 1), "late")
+    for note in notes or []:
+        reason = reason.when(F.contains(F.lower(F.coalesce("note", F.lit(""))), F.lit(note.lower())), f"note: {note}")
     return status.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
+def transitions(events: DataFrame, retries: int = 2) -> DataFrame:
+    """``method, shard, at, was, status``: each change of a shard's state, in order of its events.
+
+    ``events`` has method, shard, at, event ('start' or 'exit'), expected and out_lines. A
+    start makes a shard running, or retry_pending first if lines are there already; an
+    exit completes it if all lines are there, whatever its code, else it waits for another
+    try or, beyond the retries, has failed.
+    """
+    w = Window.partitionBy("method", "shard").orderBy("at")
+    tries = F.count_if(F.col("event") == "start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.col("out_lines") == F.col("expected")
+    ended = F.when(whole, "completed").when(tries <= retries, "retry_pending").otherwise("failed")
+    begun = F.when(whole, "completed").when((F.col("out_lines") > 0) & (tries == 1), "retry_pending").otherwise("running")
+    named = events.withColumn("status", F.when(F.col("event") == "start", begun).otherwise(ended))
+    named = named.withColumn("was", F.coalesce(F.lag("status").over(w), F.lit("pending")))
+    return named.where(F.col("was") != F.col("status")).select("method", "shard", "at", "was", "status")
+
+
 def flattened(config: Mapping, most: int = 8) -> dict[str, str]:
     """A nested configuration as dotted keys and text values; a longer list is summarised by its length."""
     out: dict[str, str] = {}

@@ -144,3 +144,33 @@ def snapshot_changes(df: DataFrame, order: list[str], value: str, *by: str) -> D
     """Rows whose value differs from the one before; the first of each group always stays."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_prev", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_prev"))).drop("_prev", "_n")
+
+
+def student_summary(rows: DataFrame, key_tasks: list[str], teacher: str, how: str = "macro") -> DataFrame:
+    """``scope, model, n_samples, em, f1, avg_retrieval, avg_latency_ms`` and the last three's and em's deltas to the teacher, per task and for the key tasks together.
+
+    ``rows`` are scored ones with model and task. Key tasks are weighed by their samples
+    ('micro') or alike ('macro'); a model without any has zeros. The teacher's own deltas are 0.
+    """
+    means = {"em": "em", "f1": "f1", "avg_retrieval": "n_retrieval", "avg_latency_ms": "latency_ms.total"}
+    per = rows.groupBy("model", F.col("task").alias("scope")).agg(F.count("*").alias("n_samples"), *(F.avg(F.coalesce(F.col(c), F.lit(0)).cast("double")).alias(m) for m, c in means.items()))
+    kept = per.where(F.col("scope").isin(key_tasks))
+    weight = F.col("n_samples") if how == "micro" else F.lit(1)
+    key = kept.groupBy("model").agg(F.sum("n_samples").alias("n_samples"), *((F.sum(F.col(m) * weight) / F.sum(weight)).alias(m) for m in means))
+    models = per.select("model").distinct()
+    key = models.join(key, "model", "left").select("model", F.lit(f"key_{how}").alias("scope"), F.coalesce("n_samples", F.lit(0)).alias("n_samples"), *(F.coalesce(m, F.lit(0.0)).alias(m) for m in means))
+    both = per.unionByName(key)
+    base = both.where(F.col("model") == teacher).select("scope", *(F.col(m).alias(f"_{m}") for m in means))
+    deltas = [F.round(F.col(m) - F.col(f"_{m}"), 6).alias(f"delta_{m.removeprefix('avg_')}") for m in means]
+    return both.join(base, "scope", "left").select("scope", "model", "n_samples", *(F.round(m, 6).alias(m) for m in means), *deltas)
+
+
+def keyword_hits(searches: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: searches and the share of them whose best chunk holds the gold answer; 0 without any.
+
+    ``searches`` has qid and gold; ``found`` qid, text and rank. A search without chunks or
+    without gold is no hit.
+    """
+    first = found.where("rank = 1").select("qid", "text")
+    hit = (F.coalesce("gold", F.lit("")) != "") & F.contains(F.coalesce("text", F.lit("")), F.col("gold"))
+    return searches.join(first, "qid", "left").agg(F.count("*").alias("n_searches"), F.round(F.coalesce(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), F.lit(0.0)), 6).alias("hit_rate"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import distill, ops, sampling, stats, validate
 from ..registry import query
 from ..session import table
@@ -279,20 +280,14 @@ def first_by_prefix(spark, d):
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: {sql_strip('s')}), lambda s: s <> '')[-1], '') AS last_line, CASE WHEN starts_with(coalesce(text, ''), '/think') THEN text ELSE '/think ' || coalesce(text, '') END AS switched FROM chunks")
 def reasoning_fallback(spark, d):
-    from ..functions import text as T
-
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.strip), lambda s: s != "")
-    last = F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise("")
-    switched = F.when(F.startswith(F.coalesce("text", F.lit("")), F.lit("/think")), F.col("text")).otherwise(F.concat(F.lit("/think "), F.coalesce("text", F.lit(""))))
-    return chunks(spark, d).select("chunk_id", last.alias("last_line"), switched.alias("switched"))
+    return chunks(spark, d).select("chunk_id", names.last_line(F.col("text")).alias("last_line"), names.switched(F.col("text"), "/think").alias("switched"))
 
 
 @query(f"WITH {PREDS}, p AS (SELECT id, 'results/seed_' || n_steps || '/' || coalesce(backend_mode, 'none') || '.jsonl' AS path FROM preds) SELECT id, regexp_extract(path, '([^/]+)\\.[^./]+$', 1) AS method, coalesce(nullif(regexp_extract(path, '.*(seed_[^/]*)', 1), ''), regexp_extract(path, '([^/]+)/[^/]+$', 1)) AS run_tag FROM p")
 def run_tags(spark, d):
     path = F.concat(F.lit("results/seed_"), "n_steps", F.lit("/"), F.coalesce("backend_mode", F.lit("none")), F.lit(".jsonl"))
     own = preds(spark, d).withColumn("path", path)
-    tag = F.coalesce(F.nullif(F.regexp_extract("path", ".*(seed_[^/]*)", 1), F.lit("")), F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
-    return own.select("id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("method"), tag.alias("run_tag"))
+    return own.select("id", names.method_of(F.col("path")).alias("method"), names.run_tag(F.col("path")).alias("run_tag"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (ORDER BY key) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT c_mktsegment || '.' || c_nationkey AS key FROM customer)) SELECT CASE WHEN n = 13 THEN '... and ' || (total - 12) || ' more' ELSE key END AS line FROM r WHERE n <= 13")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as T
 from ..registry import query
 from ..session import table
@@ -148,9 +149,7 @@ _GENERIC_SQL = " ".join(f"WHEN contains(q, '{p}') THEN '{p}'" for p in _GENERIC)
 
 @query(f"WITH {SAMPLES}, t AS (SELECT id, lower({sql_strip('question')}) AS q FROM samples) SELECT id, CASE {_GENERIC_SQL} ELSE '' END AS pattern FROM t")
 def generic_question(spark, d):
-    q = F.lower(T.safe_text(F.col("question")))
-    found = F.get(F.filter(T.lit_array(_GENERIC), lambda p: F.contains(q, p)), F.lit(0))
-    return samples(spark, d).select("id", F.coalesce(found, F.lit("")).alias("pattern"))
+    return samples(spark, d).select("id", names.generic_pattern(F.col("question"), _GENERIC).alias("pattern"))
 
 
 _ONE = "SELECT DISTINCT id, output FROM student_train"
@@ -224,8 +223,7 @@ def context_chars(spark, d):
 
 @query(f"WITH {SAMPLES} SELECT id, regexp_replace(regexp_replace(id, '^lb_', ''), '_[^_]*$', '') AS dataset, substring(sha1(coalesce(question, '')), 1, 16) AS q_hash, substring(replace(id, '_', '/'), 1, 24) AS short FROM samples")
 def id_builders(spark, d):
-    name = F.regexp_replace(F.regexp_replace("id", "^lb_", ""), "_[^_]*$", "")
-    return samples(spark, d).select("id", name.alias("dataset"), F.substring(F.sha1(F.coalesce("question", F.lit(""))), 1, 16).alias("q_hash"), F.substring(F.replace("id", F.lit("_"), F.lit("/")), 1, 24).alias("short"))
+    return samples(spark, d).select("id", names.dataset_of(F.col("id")).alias("dataset"), names.question_hash(F.col("question")).alias("q_hash"), names.short_name(F.col("id")).alias("short"))
 
 
 @query(

@@ -4,22 +4,59 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import urllib.request
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from io import BytesIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators import schema
+
 #: The sample schema.
 SAMPLE = "id string, task string, question string, documents array<struct<doc_id:string,text:string>>, answer string, meta map<string,string>"
 
 
-def read_lines(spark: SparkSession, path: str | list[str], schema: str = SAMPLE) -> DataFrame:
-    """JSON lines of a known schema; blank lines are skipped, a malformed one fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def read_lines(spark: SparkSession, path: str | list[str], schema: str = SAMPLE, most: int = 0) -> DataFrame:
+    """JSON lines of a known schema, at most ``most`` if it is positive; blank lines are skipped, a malformed one fails the job."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return df.limit(most) if most > 0 else df
+
+
+def read_document(path: str):
+    """One JSON document, such as a description or a registry."""
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def write_document(path: str, value) -> None:
+    """One JSON document, with the folders it needs; a reader never sees half of it."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.part", "w", encoding="utf-8") as file:
+        json.dump(value, file, ensure_ascii=False, indent=2)
+    os.replace(f"{path}.part", path)
+
+
+def read_config(path: str) -> dict:
+    """A YAML configuration as nested values; an empty file is an empty one."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("reading YAML needs the yaml module") from error
+    with open(path, encoding="utf-8") as file:
+        return yaml.safe_load(file) or {}
+
+
+def write_config(path: str, config: dict) -> None:
+    """A configuration as YAML, keys in their order."""
+    import yaml
+
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as file:
+        yaml.safe_dump(config, file, sort_keys=False, allow_unicode=True)
 
 
 def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
@@ -55,19 +92,32 @@ def matching_files(names: Iterable[str], prefixes: list[str], suffix: str = ".pa
 
 
 def zip_members(spark: SparkSession, path: str, wanted: DataFrame, suffix: str = ".content") -> DataFrame:
-    """``id, text`` of an archive's members whose stem is a wanted id."""
+    """``id, text`` of the members of archives, on storage that every worker mounts, whose stem is a wanted id.
+
+    Names are read from the archives' directories and joined with the wanted ids first;
+    only members that are left are unpacked, each a row of its own.
+    """
+    archives = [path] if os.path.isfile(path) else sorted(os.path.join(path, n) for n in os.listdir(path) if n.endswith(".zip"))
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with zipfile.ZipFile(file) as archive:
+                    names = [n for n in archive.namelist() if n.endswith(suffix)]
+                stems = [os.path.splitext(os.path.basename(n))[0] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([file] * len(names), pa.string()), pa.array(names, pa.string())], names=["id", "file", "member"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                with zipfile.ZipFile(BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if name.endswith(suffix):
-                            stem = os.path.splitext(os.path.basename(name))[0]
-                            yield pa.RecordBatch.from_arrays([pa.array([stem]), pa.array([archive.read(name).decode("utf-8", "ignore")])], names=["id", "text"])
+            ids, files, members = (c.to_pylist() for c in batch.columns)
+            for file in dict.fromkeys(files):
+                with zipfile.ZipFile(file) as archive:
+                    for i, name in ((i, m) for i, f, m in zip(ids, files, members) if f == file):
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([archive.read(name).decode("utf-8", "ignore")])], names=["id", "text"])
 
-    members = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id string, text string")
-    return members.join(wanted.select("id").distinct(), "id", "left_semi")
+    names = spark.createDataFrame([(a,) for a in archives], "file string").repartition(max(1, len(archives))).mapInArrow(listed, "id string, file string, member string")
+    kept = names.join(wanted.select("id").distinct(), "id", "left_semi")
+    return kept.mapInArrow(unpacked, "id string, text string")
 
 
 def concatenated(spark: SparkSession, paths: list[str], schema: str = SAMPLE) -> DataFrame:
@@ -120,6 +170,15 @@ def run_metadata(run_id: str, at: str, configs: list[str], **parts) -> dict:
     return {"run_id": run_id, "timestamp_utc": at, "config_paths": configs, **parts}
 
 
+def snapshot_run(folder: str, described: dict) -> dict:
+    """Writes a run's description, which must fit its schema, with copies of its configurations beside it."""
+    schema.require(described, "run_metadata")
+    write_document(os.path.join(folder, "run_metadata.json"), described)
+    for path in described["config_paths"]:
+        shutil.copyfile(path, os.path.join(folder, os.path.basename(path)))
+    return described
+
+
 def upsert(registry_path: str, key: str, entry: dict) -> dict:
     """Sets a dotted key of a JSON registry; a missing or unreadable file counts as empty."""
     try:
@@ -157,33 +216,47 @@ class Page(InputPartition):
 
 
 class PagedReader(DataSourceReader):
+    """Pages of ``path``, a JSON array in a file, or of ``url``, a service that takes offset and length and answers {"rows": [{"row": ...}]}."""
+
     def __init__(self, options: dict):
-        self.path, self.size, self.most = options["path"], int(options.get("page", 100)), int(options.get("most", 0))
-        self.total = int(options["total"])
+        self.path, self.url = options.get("path", ""), options.get("url", "")
+        self.size, self.most, self.total = int(options.get("page", 100)), int(options.get("most", 0)), int(options.get("total", -1))
 
     def partitions(self) -> list[Page]:
+        """One per page if the total is known; else one that reads on until a page is short."""
+        if self.total < 0:
+            return [Page(0, -1)]
         end = min(self.total, self.most) if self.most > 0 else self.total
         return [Page(o, min(self.size, end - o)) for o in range(0, end, self.size)]
 
-    def read(self, page: Page) -> Iterator[tuple]:
-        """A page of ``path``, a JSON array in a file; a service's pages come by the same offsets."""
-
-        def get(offset: int, length: int) -> list:
-            with open(self.path, encoding="utf-8") as file:
-                return json.load(file)[offset : offset + length]
-
-        for i, row in enumerate(fetched(get, page.offset, page.length)):
-            yield page.offset + i, json.dumps(row, ensure_ascii=False, sort_keys=True)
+    def get(self, offset: int, length: int) -> list:
+        if not self.url:
+            return read_document(self.path)[offset : offset + length]
+        with urllib.request.urlopen(f"{self.url}{'&' if '?' in self.url else '?'}offset={offset}&length={length}", timeout=120) as answer:
+            return [r.get("row", {}) for r in json.load(answer).get("rows", [])]
+
+    def read(self, page: Page | None) -> Iterator[tuple]:
+        if page is None:  # no pages at all
+            return
+        at = page.offset
+        while True:
+            left = page.length if page.length >= 0 else min(self.size, self.most - at) if self.most > 0 else self.size
+            rows = fetched(self.get, at, left) if left > 0 else []
+            for i, row in enumerate(rows):
+                yield at + i, json.dumps(row, ensure_ascii=False, sort_keys=True)
+            at += len(rows)
+            if page.length >= 0 or len(rows) < left or not rows:
+                return
 
 
 class PagedSource(DataSource):
-    """Format 'paged': rows by offset and length, one partition per page. Options path, total, page, most."""
+    """Format 'paged': rows by offset and length. Options path or url, total, page, most."""
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
-    def schema(self) -> str:
+    def schema(self) -> str:  # named by the interface
         return "position long, row string"
 
     def reader(self, schema) -> PagedReader:
