@@ -84,7 +84,8 @@ def joined_lines(lines: Column) -> Column:
 
 def long_context(df: DataFrame, source_task: str) -> DataFrame:
     """Rows of _id, input, context, answers, language, length."""
-    name = F.coalesce(F.nullif(T.safe_text(F.col("_id")), F.lit("")), F.monotonically_increasing_id().cast("string"))
+    # a row without an id is named by its content, alike in every run
+    name = F.coalesce(F.nullif(T.safe_text(F.col("_id")), F.lit("")), F.md5(F.concat_ws("|", "input", "context")))
     meta = F.create_map(F.lit("source_task"), F.lit(source_task), F.lit("language"), T.safe_text(F.col("language")), F.lit("length"), F.col("length").cast("string"))
     return normalized(df.select(F.concat(F.lit(f"mlb_{source_task}_"), F.substring(name, 1, 24)).alias("id"), task_type(F.lit(source_task), F.col("language"), F.col("context")).alias("task"), F.col("input").alias("question"), split_passages(F.col("context")).alias("documents"), first_answer(F.col("answers"), True).alias("answer"), meta.alias("meta")))
 
