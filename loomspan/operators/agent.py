@@ -416,6 +416,8 @@ def run(samples: DataFrame, chunks: DataFrame, model: Model = mock_model, limits
     wanted = spread_join(own, samples.select("id").distinct(), "id", hot_values(own, "id"), "leftsemi")  # a pool's chunks leave here
     grouped = wanted.groupBy("id").agg(F.collect_list("c").alias("chunks"))
     rows = planned.join(grouped, "id", "left").select("id", "task", "question", *COLUMNS, "chunks")
+    # a model takes far longer than moving a row: as many parts as there are cores, not as the rows' size suggests
+    rows = rows.repartition(max(samples.sparkSession.sparkContext.defaultParallelism, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id")
 
     def loop(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late: list = []

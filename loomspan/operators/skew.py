@@ -13,14 +13,17 @@ SHARE = 1 / 1000
 SALTS = 64
 
 
-def hot_values(df: DataFrame, key: str, share: float = SHARE, least: int = 10_000) -> list:
+def hot_values(df: DataFrame, key: str, share: float = SHARE, least: int = 10_000, total: int | None = None) -> list:
     """Values of ``key`` that hold more than ``share`` of the rows, and over ``least`` of them.
 
     By definition fewer than ``1 / share`` values, whatever the input; counts are summed
-    before they are shuffled. ``df`` is read once. Nulls are never hot: they join nothing.
+    before they are shuffled. ``total`` may be the number of rows, where it is known, and
+    saves a pass. Nulls are never hot: they join nothing.
     """
+    if total is not None and total <= least:
+        return []
     counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counted.agg(F.sum("_n")).first()[0] or 0
+    total = (counted.agg(F.sum("_n")).first()[0] or 0) if total is None else total
     if total <= least:
         return []
     return [r[0] for r in counted.where(F.col("_n") > max(share * total, least)).select(key).collect()]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import memory, ops, retrieve, rounds, sampling, schema, stats, validate
 from ..registry import query
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import files
 from ..streaming import progress
 from .base import CHUNKS, PREDS, SAMPLES, chunks, preds, samples, sql_strip
@@ -146,9 +145,8 @@ def stream_throughput(spark, d):
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet" if os.path.isfile(f"{d}/events.parquet") else "*.parquet")
     stream = source.parquet(d if os.path.isfile(f"{d}/events.parquet") else f"{d}/events.parquet")
     name = f"throughput_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspan-stream-")
     made = progress.throughput(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-    made.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start().awaitTermination()
+    made.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select("method", "start", "n", F.round("mean", 6).alias("mean"))
 
 

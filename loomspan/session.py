@@ -47,21 +47,37 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     A local session without that setting (tests, a laptop) gets a folder of its own; on a
     cluster executors couldn't read one, so a missing setting is an error.
     """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="loomspan-checkpoint-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspan-checkpoint-"))
+        folder = shared_folder(df.sparkSession)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, before work that takes longer than moving them, where the scan has fewer parts than there are cores.
+
+    A large table has more parts than cores and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -54,7 +54,7 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         sparkContext = Context
 
     class Frame:
-        sparkSession = Session
+        sparkSession = Session()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpointed(Frame)
