@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_values, spread_join
-from ..session import checkpointed, ship_package
+from ..session import checkpointed, ship_package, spread
 from . import cores, partials
 
 #: Items of up to this many code points in all go to every worker; more are joined by seed.
@@ -202,7 +202,7 @@ def leaks(documents: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
     seed instead of broadcast, seeds of very many documents split over tasks.
     """
     ship_package(documents.sparkSession)
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    texts = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
     asked = items.select("item_id", "lang", *_PARTS).where(F.col("item_id").isNotNull())
     total = asked.agg(F.sum(sum(F.coalesce(F.length(p), F.lit(0)) for p in _PARTS))).first()[0] or 0
     schema = f"doc_id {dict(texts.dtypes)['doc_id']}, item_id {dict(asked.dtypes)['item_id']}, {_FIELDS}"

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_values, spread_join
-from ..session import checkpointed, ship_package
+from ..session import checkpointed, ship_package, spread
 from . import cores, partials, sketch
 
 #: Candidate filters use a map of 2 ** 22 bits (512 KiB), whatever the input.
@@ -89,7 +89,7 @@ def read(batches: Iterable[pa.RecordBatch], least: int, words: int) -> Iterator[
 
 
 def _usable(records: DataFrame) -> DataFrame:
-    return records.select("grp", "key", "text").where(F.col("key").isNotNull() & F.col("text").isNotNull())
+    return spread(records.select("grp", "key", "text").where(F.col("key").isNotNull() & F.col("text").isNotNull()))
 
 
 def members(records: DataFrame, least: int = 100, words: int = 0) -> DataFrame:
@@ -282,7 +282,8 @@ def estimated(pairs: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame
     wanted = _wanted(pairs)
     some = _held(drawn, wanted, True)
     side = lambda one, n, regs: some.select(F.col("handle").alias(one), F.col("n").alias(n), F.col("regs").alias(regs))
-    both = spread_join(spread_join(pairs, side("a", "n", "x"), "a", hot_values(pairs, "a")), side("b", "m", "y"), "b", hot_values(pairs, "b"))
+    total = pairs.count()
+    both = spread_join(spread_join(pairs, side("a", "n", "x"), "a", hot_values(pairs, "a", total=total)), side("b", "m", "y"), "b", hot_values(pairs, "b", total=total))
     return both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
@@ -313,7 +314,8 @@ def verified(pairs: DataFrame, records: DataFrame, threshold: float, k: int = 8,
 
     texts = _usable(records).mapInArrow(bodies, "handle long, cid binary, body string").distinct()
     side = lambda one, cid, body: texts.select(F.col("handle").alias(one), F.col("cid").alias(cid), F.col("body").alias(body))
-    both = spread_join(spread_join(pairs, side("a", "ca", "x"), "a", hot_values(pairs, "a")), side("b", "cb", "y"), "b", hot_values(pairs, "b"))
+    total = pairs.count()
+    both = spread_join(spread_join(pairs, side("a", "ca", "x"), "a", hot_values(pairs, "a", total=total)), side("b", "cb", "y"), "b", hot_values(pairs, "b", total=total))
     return both.select("ca", "x", "cb", "y").mapInArrow(lambda batches: compared(batches, threshold, k, words), "a binary, b binary, similarity double")
 
 

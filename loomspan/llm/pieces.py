@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 from . import cores
 
 #: Punctuation at which a text may be cut, beside white space.
@@ -110,7 +110,7 @@ def pieces(items: DataFrame, overlap: int = 64, share: float = 0.1) -> DataFrame
             lists = [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int32())), pa.array([m[2] for m in made], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], names=names)
 
-    return items.where(over & F.col("text").isNotNull()).select(*others, "text").mapInArrow(run, f"{fields}, starts array<int>, ends array<int>, kinds array<string>")
+    return spread(items.where(over & F.col("text").isNotNull()).select(*others, "text")).mapInArrow(run, f"{fields}, starts array<int>, ends array<int>, kinds array<string>")
 
 
 def cut_kind(kinds: Column) -> Column:

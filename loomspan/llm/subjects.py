@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, ship_package
+from ..session import checkpointed, ship_package, spread
 from . import cores
 
 #: At most so many labelled documents are fitted on, in an order by hash, and at most so many features of theirs (32 MB).
@@ -376,17 +376,20 @@ def calibrate(scores: np.ndarray, truth: np.ndarray) -> float:
     return float(np.clip(middle, -4.0, 2.0))
 
 
-def source_labels(documents: DataFrame, labels: DataFrame, share: float = SOURCE_SHARE, known: int = SOURCE_KNOWN) -> DataFrame:
-    """``doc_id, subject``: labels of unlabelled documents by their source alone.
+def source_labels(documents: DataFrame, named: DataFrame, share: float = SOURCE_SHARE, known: int = SOURCE_KNOWN) -> DataFrame:
+    """``doc_id, subjects``: labels of unlabelled documents by their source alone.
 
     Of a source's labelled documents, ``known`` or more, at least ``share`` must have the
-    subject. Null sources label nothing. ``labels`` has distinct rows.
+    subject. Null sources label nothing. ``named`` has a row per labelled document with its
+    subjects. Only ids and sources move.
     """
-    placed = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("source")).alias("source")).where("source is not null").distinct()
-    told = placed.join(labels, "doc_id")
-    totals = told.groupBy("source").agg(F.countDistinct("doc_id").alias("n"))
-    rules = told.groupBy("source", "subject").agg(F.countDistinct("doc_id").alias("hits")).join(totals, "source").where((F.col("n") >= known) & (F.col("hits") >= share * F.col("n")))
-    return placed.join(rules.select("source", "subject"), "source").join(labels.select("doc_id").distinct(), "doc_id", "leftanti").select("doc_id", "subject")
+    placed = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("source")).alias("source")).where("source is not null")
+    placed = checkpointed(placed.join(named, "doc_id", "left").select("doc_id", "source", "subjects"))
+    told = placed.where("subjects is not null")
+    hits = told.select("source", F.explode("subjects").alias("subject")).groupBy("source", "subject").agg(F.count("*").alias("hits"))
+    rules = hits.join(told.groupBy("source").agg(F.count("*").alias("n")), "source").where((F.col("n") >= known) & (F.col("hits") >= share * F.col("n")))
+    rules = rules.groupBy("source").agg(F.sort_array(F.collect_set("subject")).alias("given"))
+    return placed.where("subjects is null").join(rules, "source").groupBy("doc_id").agg(F.max("given").alias("subjects"))
 
 
 _FEATURES = "ids array<int>, sizes array<int>, alone array<boolean>, passages array<int>"
@@ -399,14 +402,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str]
     of the hash, the first of which always. Where ``documents`` has a source, it labels too.
     """
     ship_package(documents.sparkSession)
-    labels = labels.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).select("doc_id", "subject").distinct()
+    labels = labels.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull())
+    named = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    told = named.withColumn("weak", F.lit(False))
     if "source" in documents.columns:
-        weak = source_labels(documents, labels).withColumn("weak", F.lit(True))
-        labels = labels.withColumn("weak", F.lit(False)).unionByName(weak)
-    else:
-        labels = labels.withColumn("weak", F.lit(False))
-    named = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"), F.max("weak").alias("weak"))
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        told = told.unionByName(source_labels(documents, named).withColumn("weak", F.lit(True)))
+    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -476,4 +477,4 @@ def assign(documents: DataFrame, model: Model) -> DataFrame:
                 picked = batch.column(0).slice(lo, hi - lo).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([picked, pa.array(names[subject].tolist(), pa.string()), pa.array(np.clip(scores[doc, subject], -99, 99))], names=["doc_id", "subject", "score"])
 
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, f"doc_id {kind}, subject string, score double")
+    return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInArrow(run, f"doc_id {kind}, subject string, score double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 from . import bpe, cores
 
 ALL = "(all)"
@@ -44,7 +44,7 @@ def token_counts(texts: DataFrame, vocabulary: str = bpe.BYTE_BPE_50K, folder: s
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
-    return texts.select(*kept.columns, "text").mapInArrow(run, f"{fields}, n_chars long, n_tokens long")
+    return spread(texts.select(*kept.columns, "text")).mapInArrow(run, f"{fields}, n_chars long, n_tokens long")
 
 
 def budget_cube(counted: DataFrame) -> DataFrame:
@@ -88,5 +88,5 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
                     part = batch.slice(lo, hi - lo)
                     yield pa.RecordBatch.from_arrays([part.column(0), lists([own.ids(t, leaf, pool) for t in texts[lo:hi]])], names=["k", "ids"])
 
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return rows.mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
