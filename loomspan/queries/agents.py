@@ -73,13 +73,32 @@ def agent_always_searches(spark, d):
     return done.join(agent.roll_up(done).select("id", F.col("keywords").alias("distinct")), "id").select("id", "n_steps", "n_retrieval", "chunks_total", "error_count", "stop_reason", F.col("distinct").alias("keywords"))
 
 
+_TOP = (
+    "allp AS (SELECT q.qid, c.chunk_id, c.text, coalesce(lex.score, 0.0) AS score FROM queries q JOIN chunks c USING (sample_id) LEFT JOIN lex ON lex.qid = q.qid AND lex.chunk_id = c.chunk_id), "
+    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS r FROM allp))"
+)
+
+
+@query(
+    f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, {_TOP}, c AS (SELECT qid AS id, string_agg({sql_strip('text')}, chr(10) ORDER BY r) AS context, count(*) AS n FROM top WHERE r <= 2 GROUP BY qid), "
+    f"k AS (SELECT s.id, context, n, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({STOP})) AS keys FROM samples s JOIN c USING (id)), "
+    "e AS (SELECT * FROM k WHERE length(context) >= 24 AND len(list_filter(keys, lambda t: contains(lower(context), t))) >= 2), "
+    "p AS (SELECT id, keys, unnest(regexp_split_to_array(context, '[\\n。！？!?]')) AS raw, unnest(range(1, len(regexp_split_to_array(context, '[\\n。！？!?]')) + 1)) AS i FROM e), "
+    f"x AS (SELECT id, i, keys, {sql_strip('raw')} AS s FROM p), b AS (SELECT id, arg_min(s, (-len(list_filter(keys, lambda t: contains(lower(s), t)))) * 1000000 + i) AS answer FROM x WHERE s <> '' GROUP BY id) "
+    "SELECT id, answer, 1 AS n_retrieval, n::INT AS chunks_total, 0 AS error_count, 'final' AS stop_reason FROM b JOIN e USING (id)"
+)
+def agent_first_step(spark, d):
+    """The runs of the deterministic model that end with their first step."""
+    done = agent.run(samples(spark, d), chunks(spark, d), limits=_OPEN).where("n_steps = 1")
+    return done.select("id", F.col("raw").alias("answer"), "n_retrieval", "chunks_total", "error_count", "stop_reason")
+
+
 _PROMPT = "'你是一个严谨的问答助手。请只根据 Context 回答 Question，答案要简洁。' || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Context:' || chr(10) || context || chr(10) || '请输出最终答案，不要输出推理过程。'"
 
 
 @query(
-    f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, allp AS (SELECT q.qid, c.chunk_id, c.text, coalesce(lex.score, 0.0) AS score FROM queries q JOIN chunks c USING (sample_id) LEFT JOIN lex ON lex.qid = q.qid AND lex.chunk_id = c.chunk_id), "
-    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS r FROM allp) WHERE r <= 3), "
-    f"c AS (SELECT qid AS id, string_agg({sql_strip('text')}, chr(10) ORDER BY r) AS context, count(*) AS n FROM top GROUP BY qid), "
+    f"WITH {SAMPLES}, {CHUNKS}, {QUERIES}, {LEXICAL}, {_TOP}, "
+    f"c AS (SELECT qid AS id, string_agg({sql_strip('text')}, chr(10) ORDER BY r) AS context, count(*) AS n FROM top WHERE r <= 3 GROUP BY qid), "
     "j AS (SELECT s.id, s.question, coalesce(c.context, '') AS context, coalesce(c.n, 0) AS n FROM samples s LEFT JOIN c USING (id)), "
     "p AS (SELECT id, question, unnest(regexp_split_to_array(context, '[\\n。！？!?]')) AS raw, unnest(range(1, len(regexp_split_to_array(context, '[\\n。！？!?]')) + 1)) AS i FROM j), "
     f"x AS (SELECT id, i, {sql_strip('raw')} AS s, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({STOP})) AS k FROM p), "

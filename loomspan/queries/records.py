@@ -8,7 +8,8 @@ from ..functions import names
 from ..operators import distill, ops, sampling, stats, validate
 from ..registry import query
 from ..session import table
-from .base import CHUNKS, DOCS, PREDS, SAMPLES, chunks, docs, preds, samples, sql_strip
+from .base import CHUNKS, DOCS, PREDS, SAMPLES, chunks, docs, preds, samples, sql_query_tokens, sql_strip
+from .text import STOP
 
 _SPLIT = "regexp_extract(id, '_(train|valid|test)_[0-9]+$', 1)"
 _STUDENT = "student AS (SELECT DISTINCT * FROM student_train)"
@@ -154,14 +155,30 @@ def distill_stats(spark, d):
     return distill.rates(_student(spark, d))
 
 
-@query()
+_TAUGHT = (
+    f"{SAMPLES}, e AS (SELECT id, task, coalesce(question, '') AS question, coalesce(array_to_string(list_transform(documents, lambda e: coalesce(e.text, '')), chr(10)), '') AS evidence, list_filter({sql_query_tokens('question')}, lambda x: x NOT IN ({STOP})) AS keys FROM samples), "
+    "t AS (SELECT *, length(evidence) < 24 OR len(list_filter(keys, lambda t: contains(lower(evidence), t))) < 2 AS thin FROM e), "
+    "p AS (SELECT id, keys, unnest(regexp_split_to_array(evidence, '[\\n。！？!?]')) AS raw, unnest(range(1, len(regexp_split_to_array(evidence, '[\\n。！？!?]')) + 1)) AS i FROM t), "
+    f"x AS (SELECT id, keys, i, {sql_strip('raw')} AS s FROM p), b AS (SELECT id, arg_min(s, (-len(list_filter(keys, lambda t: contains(lower(s), t)))) * 1000000 + i) AS best FROM x WHERE s <> '' GROUP BY id), "
+    "f AS (SELECT t.*, CASE WHEN thin THEN coalesce(nullif(array_to_string(keys[1:4], ' '), ''), '关键信息') ELSE coalesce(best, '') END AS content FROM t LEFT JOIN b USING (id)), "
+    "g AS (SELECT *, thin AND (length(content) < 2 OR length(content) > 24) AS bad FROM f), "
+    "o AS (SELECT id, task, question, bad, CASE WHEN bad THEN '<final><search>' || content || '</search></final>' WHEN thin THEN '<search>' || content || '</search>' ELSE '<final>' || content || '</final>' END AS output, CASE WHEN thin AND NOT bad THEN 'search' ELSE 'final' END AS tag FROM g)"
+)
+
+
+@query(f"WITH {_TAUGHT} SELECT id, task, question, output, bad AS repaired, 'ok' AS quality_reason FROM o")
 def distill_taught(spark, d):
-    return distill.train_rows(distill.taught(samples(spark, d)))
+    return distill.train_rows(distill.taught(samples(spark, d))).select("id", "task", "question", "output", "meta.repaired", "meta.quality_reason")
 
 
-@query()
+@query(
+    f"WITH {_TAUGHT}, n AS (SELECT coalesce(task, 'unknown') AS task, count(*) AS n FROM o GROUP BY 1) SELECT count(*) AS total, count(*) AS valid, round(avg(bad::INT), 6) AS invalid_rate, round(avg(bad::INT), 6) AS repaired_rate, 0.0::DOUBLE AS dropped_rate, "
+    "round(avg((tag = 'search')::INT), 6) AS search_ratio, round(avg((tag = 'final')::INT), 6) AS final_ratio, (SELECT string_agg(task || '=' || n, ',' ORDER BY task) FROM n) AS tasks FROM o"
+)
 def distill_taught_stats(spark, d):
-    return distill.taught_rates(distill.taught(samples(spark, d)))
+    told = distill.taught_rates(distill.taught(samples(spark, d)))
+    entries = F.transform(F.array_sort(F.map_entries("task_distribution")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return told.withColumn("tasks", F.array_join(entries, ",")).drop("task_distribution")
 
 
 @query(f"WITH {_STUDENT}, {_PARSED} SELECT task, count(*) AS n, round(avg((tag = 'search')::INT), 6) AS search_ratio, CASE WHEN avg((tag = 'search')::INT) >= 0.5 THEN 'search' ELSE 'final' END AS action, round_even(coalesce(avg(length(content)) FILTER (tag = 'search'), 0), 0)::BIGINT AS keyword_length FROM c WHERE reason = 'ok' GROUP BY task")
