@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import metrics, stats
 from ..registry import query
-from ..session import table
-from .base import PREDS, SAMPLES, W, preds, samples, sql_chars, sql_scored
+from .base import PREDS, SAMPLES, preds, samples, sql_chars, sql_scored
 
 KEY = ["multi_doc_qa", "code_qa"]
 _KEY = "('multi_doc_qa', 'code_qa')"

@@ -8,7 +8,7 @@ from ..functions import names
 from ..operators import distill, ops, sampling, stats, validate
 from ..registry import query
 from ..session import table
-from .base import CHUNKS, DOCS, PREDS, SAMPLES, chunks, docs, preds, samples, sql_query_tokens, sql_strip
+from .base import CHUNKS, PREDS, SAMPLES, chunks, preds, samples, sql_query_tokens, sql_strip
 from .text import STOP
 
 _SPLIT = "regexp_extract(id, '_(train|valid|test)_[0-9]+$', 1)"

@@ -8,7 +8,7 @@ from ..functions import names
 from ..functions import text as T
 from ..registry import query
 from ..session import table
-from .base import CHUNKS, DOCS, PREDS, SAMPLES, W, chunks, docs, preds, samples, sql_chars, sql_query_tokens, sql_scored, sql_strip
+from .base import CHUNKS, DOCS, PREDS, SAMPLES, W, chunks, preds, samples, sql_query_tokens, sql_scored, sql_strip
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -57,10 +57,6 @@ def keyword_normalize(spark, d):
     return samples(spark, d).select("id", T.squeezed(F.col("question")).alias("keyword"))
 
 
-def _first_distinct(list_sql: str, cap: int) -> str:
-    return f"(SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest({list_sql}) AS x, unnest(range(1, len({list_sql}) + 1)) AS i) GROUP BY x ORDER BY i LIMIT {cap}))"
-
-
 @query(
     f"WITH {SAMPLES}, t AS (SELECT id, question, answer, {sql_query_tokens('question')} AS q, list_concat({sql_query_tokens('question')}, {sql_query_tokens('answer')}) AS a FROM samples), "
     "u AS (SELECT id, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS i FROM t), "
