@@ -14,7 +14,6 @@ from . import languages
 
 ORDER = ("empty", "copied_question", "refusal", "wrong_language", "truncated")
 
-_TAG = r"(?is)^[\s\p{Cf}]*<?/?\s*(?:final|search|answer)\s*>|<?\s*/?\s*(?:final|search|answer)\s*>?[\s\p{Cf}]*$"
 _CLOSING = r"(?is)<\s*/\s*(?:final|search|answer)?\s*>?[\s\p{Cf}]*$"
 _OPENING = r"(?is)^[\s\p{Cf}]*<?\s*(?:final|search|answer)\s*>"
 _INTRO = r"(?iu)^\s*(?:answer|question|antwort|frage|bitte|please|q|a|you asked|the question (?:is|was)|sie fragten|答案(?:是|：|:)?|答|问题(?:是)?|问|您问(?:的是)?|你问(?:的是)?)\s*[:：.]?\s*"

@@ -40,7 +40,6 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"”’)*\]\d]*\s+|(?<=[。！？；])\s*")
 #: Two sentences on an area count if they are so close together in their passage.
 REACH = 6
 _GAP = r"[^\S\n]"
-_BREAK = re.compile(r"\r\n?|</p>|<br\s*/?>", re.I)
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORDS = "async def class func public private protected static function import from include".split()
 # keywords in lower or in upper case; a capital at the beginning alone is how a sentence begins
