@@ -70,12 +70,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan's rows over all cores, before work that takes longer than moving them, where the scan has fewer parts than there are cores.
+    """A scan's rows over all cores, before work that takes longer than moving them, where the scan has so few parts that half the cores would idle.
 
     A large table has more parts than cores and isn't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

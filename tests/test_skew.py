@@ -2,6 +2,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.skew import hot_values, spread_join, spread_rank
+from loomspan.session import spread
 
 
 def test_a_hot_key_is_named_and_split_without_changing_the_join(spark):
@@ -37,3 +38,10 @@ def test_ranks_of_hot_groups_equal_one_window(spark):
     desc = {(r.id, r.n) for r in spread_rank(df, "g", [F.col("h").desc()], "n", least=1000).collect()}
     assert desc == {(r.id, r.n) for r in df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.col("h").desc()))).collect()}
     assert spread_rank(df.limit(0), "g", [F.col("h")], "n").count() == spread_rank(df.limit(0), None, [F.col("h")], "n").count() == 0
+
+
+def test_only_scans_of_few_parts_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=cores)
+    assert spread(few).rdd.getNumPartitions() == cores and spread(few).count() == 100
+    assert spread(many) is many
