@@ -45,3 +45,12 @@ def test_only_scans_of_few_parts_are_spread(spark):
     few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=cores)
     assert spread(few).rdd.getNumPartitions() == cores and spread(few).count() == 100
     assert spread(many) is many
+
+
+def test_hot_binary_keys(spark):
+    left = spark.range(300).select(F.unhex(F.when(F.col("id") % 3 > 0, F.lit("00ff")).otherwise(F.hex(F.col("id") + 65536))).alias("k"), "id")
+    right = left.select("k").distinct().withColumn("y", F.lit(1))
+    hot = hot_values(left, "k", share=0.1, least=10)
+    assert [bytes(h) for h in hot] == [b"\x00\xff"]
+    for how in ("inner", "left"):
+        assert spread_join(left, right, "k", hot, how).count() == 300
