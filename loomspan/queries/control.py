@@ -139,7 +139,7 @@ def keyword_hit_rate(spark, d):
     return stats.keyword_hits(asked, found)
 
 
-@query("SELECT event_type AS method, date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+@query("SELECT event_type AS method, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_throughput(spark, d):
     """The events table read as a stream, to its end; every window with all its rows."""
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet" if os.path.isfile(f"{d}/events.parquet") else "*.parquet")
@@ -147,7 +147,7 @@ def stream_throughput(spark, d):
     name = f"throughput_{uuid.uuid4().hex}"
     made = progress.throughput(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     made.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("method", "start", "n", F.round("mean", 6).alias("mean"))
+    return spark.table(name).select("method", F.date_format("start", "yyyy-MM-dd HH:00").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
 _STEPS = "SELECT * FROM (VALUES ('start', 0, 1), ('exit', 1, 2), ('start', 1, 3), ('exit', 2, 4), ('start', 2, 5), ('exit', 3, 6)) t(event, share, moment)"
