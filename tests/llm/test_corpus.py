@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures with all kinds of dirt."""
 
 import random
+import tempfile
 import time
 
 import numpy as np
@@ -240,6 +241,38 @@ def test_cross_split_overlaps_equal_brute_force(spark, indexed):
     assert sum(r.n_pairs for r in crosssplit.report(spark.createDataFrame(sorted(got), "train_id string, held_id string"), spark.createDataFrame([(k, "s") for k in held], "id string, source string")).collect()) == len(got)
 
 
+@pytest.mark.parametrize("direct", [0, crosssplit.DIRECT])
+def test_cross_split_overlaps_are_the_same_in_blocks(spark, direct):
+    rng = random.Random(5)
+    rows = samples(random.Random(11))
+    asked, t = "What does this function do?", text(rng, 40)
+    rows += [(f"c_{i}_{s}_{i}", asked, [("d1", edited(rng, t, 4 * i))], "extra") for i in range(9) for s in ("train", "valid")]
+    df = spark.createDataFrame(rows, "id string, question string, documents array<struct<doc_id:string,text:string>>, split string").drop("split")
+    got = sorted(map(tuple, crosssplit.overlaps(df).collect()))
+    assert len(got) == len(set(got)) and any(a.startswith("c_") for a, _ in got)
+    assert sorted(map(tuple, crosssplit.overlaps(df, most_indexed=-1, most_asked=-1, most_compared=-1, direct=direct).collect())) == got
+
+
+def test_cross_split_overlaps_shuffle_less_than_the_texts(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(40):
+        q, t = text(rng, 8), text(rng, 1200)
+        rows += [(f"x_{i}_{s}_{i}", q, [("d", edited(rng, t, 9))]) for s in ("train", "test")]
+    df = spark.createDataFrame(rows, "id string, question string, documents array<struct<doc_id:string,text:string>>").repartition(4)
+    df.write.mode("overwrite").parquet(folder := tempfile.mkdtemp() + "/t")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    assert crosssplit.overlaps(spark.read.parquet(folder), most_indexed=-1).count() == 40
+    assert written() - before < sum(len(d[0][1]) for _, _, d in rows)
+
+
 def test_the_question_last_prepared_counts(spark):
     rng = random.Random(3)
     t, q = text(rng, 40), text(rng, 8)
